@@ -25,7 +25,7 @@ WINDOW = 8
 RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 20"),
     ("repeated_words", "100 * n_repeat_words > 30 * n_words"),
-    ("symbols", "10 * n_symbols > 5 * n_words"),
+    ("symbols", "10 * n_symbols > 3 * n_words"),
     ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
     ("repeated_lines", "100 * n_dup_lines > 50 * n_lines"),
     ("no_lower_case", "n_words >= 20 and 100 * n_lower < 20 * word_chars"),
