@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, quality, url_reputation
+from . import bpe, chat, fingerprint, langid, mixing, quality, url_reputation
 from .common import table
 
 
@@ -70,12 +70,32 @@ def op7_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "evidence")
 
 
+def topic():
+    """A plain topic of a text: its form."""
+    text = F.coalesce("text", F.lit(""))
+    return F.when(text.contains(" | "), "tables").when(text.contains("icense"), "licensed").when(text.contains("!!"), "shouting").when(F.length(text) < 500, "short").otherwise("prose")
+
+
+#: Powers that flatten the token shares of the mixing query's dimensions, and the part of all tokens to draw.
+MIX, MIX_PART = {"source": 0.7, "lang": 0.5, "topic": 0.7}, 0.5
+
+
+def op8_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").withColumn("topic", topic()), MIX, MIX_PART)
+
+
+def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ledger": op2_quality_ledger,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op5_host_reputation": op5_host_reputation,
     "op6_chat_round_trip": op6_chat_round_trip,
     "op7_language_bitmask": op7_language_bitmask,
+    "op8_mix_to_targets": op8_mix_to_targets,
+    "op10_edit_fingerprints": op10_edit_fingerprints,
 }
 
 ORACLES: dict[str, str] = {}
