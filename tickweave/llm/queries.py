@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, mixing, quality, url_reputation
+from . import bpe, chat, fingerprint, jaccard, langid, mixing, quality, url_reputation
 from .common import table
 
 
@@ -84,6 +84,10 @@ def op8_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").withColumn("topic", topic()), MIX, MIX_PART)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edits(table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_round_trip": op6_chat_round_trip,
     "op7_language_bitmask": op7_language_bitmask,
     "op8_mix_to_targets": op8_mix_to_targets,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_edit_fingerprints": op10_edit_fingerprints,
 }
 
