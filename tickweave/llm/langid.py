@@ -143,8 +143,12 @@ def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float
     spark = docs.sparkSession
     small_batches(spark)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
-    chosen = named.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id").distinct()
+    # Ids are thinned by a hash first, so that a frequent language is not ranked whole in one task.
+    ids = named.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
+    counts = named.groupBy("lang").agg(F.count("*").alias("n"))
+    thin = ids.join(counts, "lang").where(F.pmod("h", F.lit(1_000_003)) * F.col("n") <= F.lit(1_000_003 * 2 * sample))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id").distinct()
     taken = named.join(F.broadcast(chosen), "doc_id", "left_semi")  # sample rows a language at most
 
     def count(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, mixing, quality, url_reputation
+from . import bpe, chat, fingerprint, jaccard, langid, mixing, quality, suffix_dedup, url_reputation
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The rules of the url query (verdict, host, path).
 URL_RULES = [
     ("allow", "com", "/"),
@@ -95,6 +100,7 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_ledger": op2_quality_ledger,
     "op3_prefix_bpe": op3_prefix_bpe,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_host_reputation": op5_host_reputation,
     "op6_chat_round_trip": op6_chat_round_trip,
     "op7_language_bitmask": op7_language_bitmask,
