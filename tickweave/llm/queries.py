@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, mixing, quality, suffix_dedup, url_reputation
+from . import bpe, chat, fingerprint, jaccard, langid, mixing, pii, quality, suffix_dedup, url_reputation
 from .common import table
 
 
+#: The key of the registered query; a production run passes its own secret.
+PII_KEY = "surrogate-key-1"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.ledger(table(spark, sf_dir, "documents"))
     base = quality.judged(found, "base")
@@ -98,6 +106,7 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_quality_ledger": op2_quality_ledger,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
