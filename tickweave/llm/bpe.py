@@ -288,14 +288,16 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return _mapped(one, path, "ids", [("text", pa.string(), "string")], lambda bpe, ids: (bpe.decode(ids),))
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass over the texts."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encoding and decoding in one pass over the texts."""
 
     def row(bpe: PrefixBpe, text: str | None):
         found = bpe.found(text)
         ids = " ".join([x[0] for x in found])
         tokens = " ".join([x[2] for x in found])
-        return sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
+        out = sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
+        return (*out, [i for x in found for i in x[3]]) if with_ids else out
 
     fields = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    fields += [("ids", pa.list_(pa.int32()), "array<int>")] if with_ids else []
     return _mapped(_texts(docs, id_col, text_col), path, "text", fields, row)

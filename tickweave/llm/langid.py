@@ -194,6 +194,20 @@ def identify(docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col:
     return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, evidence double")
 
 
+def keep_identified(docs: DataFrame, model: Filters, least: float = 0.1, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with ``lang_col`` predicted, without those that are ``und`` or of which less than ``least`` of the n-grams are the language's: no shuffle."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            names, _, evidence = model.predict(batch.column(text_col).to_pylist())
+            keep = pa.array([k for k, (n, e) in enumerate(zip(names, evidence, strict=True)) if n != "und" and e >= least], pa.int64())
+            cols = [pa.array(names, pa.string()) if c == lang_col else batch.column(c) for c in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).take(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: Column) -> Column:
     """Whether a document is kept out of learning: crc32 of its id as text, mod 5, is 0."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -118,6 +118,27 @@ def cell_rates(cells: DataFrame, dims: list[str], wanted: dict, part: float) ->
     return rated.select(*dims, "rate", p.alias("p"), F.when(p > 0, F.col("rate") / p).otherwise(0.0).alias("weight"))
 
 
+def _dims(wanted: dict) -> list:
+    return [F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in wanted]
+
+
+def _tokens(text_col: str):
+    return F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORDS)).cast("long")
+
+
+def _draw(id_col: str, seed: int):
+    return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+
+def sample(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: float = 0.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that mix() selects, with all their columns; while cells are few, texts are not shuffled."""
+    dims = list(wanted)
+    cells = docs.select(*_dims(wanted), _tokens(text_col).alias("n")).groupBy(*dims).agg(F.sum("n").alias("tokens"))
+    rates = cell_rates(staged(cells, "cells"), dims, wanted, part).select(*[F.col(d).alias(f"_mix_{d}") for d in dims], F.col("p").alias("_mix_p"))
+    match = [F.coalesce(F.col(d).cast("string"), F.lit("(none)")) == F.col(f"_mix_{d}") for d in dims]
+    return docs.join(rates, match).where(_draw(id_col, seed) < F.col("_mix_p")).select(*docs.columns)
+
+
 def mix(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: float = 0.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the dimensions, n_tokens (words), rate, p, weight, selected.
 
@@ -126,12 +147,11 @@ def mix(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: floa
     dims = list(wanted)
     one = docs.select(
         F.col(id_col).alias("doc_id"),
-        *[F.coalesce(F.col(d).cast("string"), F.lit("(none)")).alias(d) for d in dims],
-        F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORDS)).cast("long").alias("n_tokens"),
+        *_dims(wanted),
+        _tokens(text_col).alias("n_tokens"),
     )
     one = staged(one, "mixing")
     cells = one.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens"))
     rated = one.join(cell_rates(cells, dims, wanted, part), dims, "left")
-    u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     p = F.coalesce("p", F.lit(0.0))
-    return rated.select("doc_id", *dims, "n_tokens", F.coalesce("rate", F.lit(0.0)).alias("rate"), p.alias("p"), F.coalesce("weight", F.lit(0.0)).alias("weight"), (u < p).alias("selected"))
+    return rated.select("doc_id", *dims, "n_tokens", F.coalesce("rate", F.lit(0.0)).alias("rate"), p.alias("p"), F.coalesce("weight", F.lit(0.0)).alias("weight"), (_draw("doc_id", seed) < p).alias("selected"))
