@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import parts, small_batches, staged
 from .shingles import BASE, INVERSE, mixed, powers
 
-GRAM, LONGEST, SEGMENT, BATCH, HOT = 64, 256, 1 << 19, 1 << 20, 512
+GRAM, LONGEST, SEGMENT, BATCH, HOT = 64, 256, 1 << 18, 1 << 20, 512
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def _sorted_bins(stretches: DataFrame, length: int) -> DataFrame:
 
 
 def _hashed_bins(stretches: DataFrame, length: int) -> DataFrame:
-    """The same for hot bins: windows dealt out by hash, packed into few rows."""
+    """The same for hot bins: windows dealt out by hash, then those that repeat by stretch; rows of both deals are packed."""
     width = parts(stretches.sparkSession)
     other = 0xC2B2AE3D27D4EB4F
 
@@ -252,14 +252,34 @@ def _hashed_bins(stretches: DataFrame, length: int) -> DataFrame:
         twice[1:] |= same
         twice[:-1] |= same
         b, d, at = b[twice], d[twice], at[twice]
+        to = ((b ^ d).view(np.uint64) % np.uint64(width)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=width))]).astype(np.int32)
+        full = np.flatnonzero(np.diff(ends))
+        offsets = pa.array(np.concatenate([ends[full], ends[-1:]]))
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (b, d, at))], names=["part", "bin", "digest", "at"])
+
+    def gather(batches):
+        flat = [[] for _ in range(3)]
+        for batch in batches:
+            for col, name in zip(flat, ("bin", "digest", "at"), strict=True):
+                col.append(batch.column(name).flatten().to_numpy())
+        if not flat[0]:
+            return
+        b, d, at = (np.concatenate(c) for c in flat)
         order = np.lexsort((at, d, b))
         b, d, at = b[order], d[order], at[order]
-        first = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (d[1:] != d[:-1])])) if len(b) else np.zeros(0, np.int64)
-        offsets = pa.array(np.concatenate([first, [len(b)]]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(b[first]), pa.array(d[first]), pa.ListArray.from_arrays(offsets, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.ones(len(at), np.int32)))], names=["bin", "digest", "starts", "lengths"])
+        other_stretch = np.concatenate([[True], (b[1:] != b[:-1]) | (d[1:] != d[:-1])])
+        starts = np.flatnonzero(other_stretch | np.concatenate([[True], at[1:] != at[:-1] + 1]))
+        lengths = np.diff(np.concatenate([starts, [len(at)]]))
+        first = np.flatnonzero(other_stretch[starts])
+        offsets = pa.array(np.concatenate([first, [len(starts)]]).astype(np.int32))
+        of = starts[first]
+        yield pa.RecordBatch.from_arrays([pa.array(b[of]), pa.array(d[of]), pa.ListArray.from_arrays(offsets, pa.array(at[starts].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(lengths.astype(np.int32)))], names=["bin", "digest", "starts", "lengths"])
 
     longs = ", ".join(f"{c} array<long>" for c in ("h", "g", "bin", "digest", "at", "copies"))
-    return stretches.mapInArrow(deal, f"part int, {longs}").repartition(width, "part").mapInArrow(count, FOUND)
+    counted = stretches.mapInArrow(deal, f"part int, {longs}").repartition(width, "part").mapInArrow(count, "part int, bin array<long>, digest array<long>, at array<long>")
+    return counted.repartition(width, "part").mapInArrow(gather, FOUND)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
