@@ -72,6 +72,16 @@ def pieces(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
                 yield k, c[s : s + CHUNK + max(SIZES) - 1]
 
 
+def laid_out(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code points, whether an n-gram may start there: not in what the next piece has as well) of pieces in a row."""
+    gap = np.zeros(max(SIZES), np.uint32)
+    codes = np.concatenate([x for _, c in held for x in (c, gap)])
+    sizes = np.array([len(c) + len(gap) for _, c in held])
+    owner = np.repeat(np.array([k for k, _ in held]), sizes)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return owner, codes, place < CHUNK
+
+
 @dataclass
 class Filters:
     """A learned model: languages, the bit-sliced table, each filter's false-positive rate."""
@@ -96,10 +106,10 @@ class Filters:
         def flush() -> None:
             if not held:
                 return
-            owner = np.concatenate([np.full(len(c) + 4, k) for k, c in held])
-            codes = np.concatenate([np.concatenate([c, np.zeros(4, np.uint32)]) for _, c in held])
+            owner, codes, first = laid_out(held)
             for n in SIZES:
                 at, h = grams(codes, n)
+                at, h = at[first[at]], h[first[at]]
                 who, mask = owner[at], self.lookup(h)
                 total[:] += np.bincount(who, minlength=len(texts))
                 for k in range(len(self.languages)):
@@ -144,9 +154,14 @@ def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float
     small_batches(spark)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     # Ids are thinned by a hash first, so that a frequent language is not ranked whole in one task.
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
+    if not counts:
+        return Filters([], np.zeros(1, np.uint8), np.zeros(0))
+    if len(counts) > 64:
+        raise ValueError("more than 64 languages; a mask has 64 bits")
+    part = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(2.0 * sample / n))]), F.col("lang"))
     ids = named.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    counts = named.groupBy("lang").agg(F.count("*").alias("n"))
-    thin = ids.join(counts, "lang").where(F.pmod("h", F.lit(1_000_003)) * F.col("n") <= F.lit(1_000_003 * 2 * sample))
+    thin = ids.where(F.pmod("h", F.lit(1_000_003)) < part * F.lit(1_000_003.0))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id").distinct()
     taken = named.join(F.broadcast(chosen), "doc_id", "left_semi")  # sample rows a language at most
@@ -155,9 +170,11 @@ def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float
         for batch in batches:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             for lang in sorted(set(langs)):
-                codes = [np.concatenate([c, np.zeros(4, np.uint32)]) for _, c in pieces([t for t, x in zip(texts, langs, strict=True) if x == lang])]
-                for n in SIZES if codes else ():
-                    h, times = np.unique(grams(np.concatenate(codes), n)[1], return_counts=True)
+                held = list(pieces([t for t, x in zip(texts, langs, strict=True) if x == lang]))
+                for n in SIZES if held else ():
+                    _, codes, first = laid_out(held)
+                    at, h = grams(codes, n)
+                    h, times = np.unique(h[first[at]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.astype(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(times)], names=["lang", "h", "n", "times"])
 
     counted = taken.select("lang", "text").mapInArrow(count, "lang string, h long, n int, times long").groupBy("lang", "n", "h").agg(F.sum("times").alias("times"))
@@ -165,8 +182,6 @@ def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float
     if not len(rows):
         return Filters([], np.zeros(1, np.uint8), np.zeros(0))
     languages = sorted(rows["lang"].unique())
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages; a mask has 64 bits")
     rows["rate"] = rows["times"] / rows.groupby(["lang", "n"])["times"].transform("sum")
     rows = rows[rows["rate"] >= share * rows.groupby(["n", "h"])["rate"].transform("max")]
     kind = np.uint8 if len(languages) <= 8 else np.uint64
