@@ -8,9 +8,10 @@ Grammar of the formatted text::
 A control string inside a role or text gets one backslash after its first
 character (``</s>`` becomes ``<\\/s>``), one more if it has some already, so
 escaping is reversible and no control string is left. The plain rendering is
-parsed first; only if its turns differ from the source is the escaped one used,
-which is then compared as well (``round_trip``). All of it is DataFrame
-expressions.
+parsed first; if the turns read back differ from the source, or content holds a
+control string of its own, the escaped one is rendered and compared as well
+(``round_trip``). Content without control strings is the same in both, so one
+parser reads either. All of it is DataFrame expressions.
 
 Defined cases: null role or text is empty; turns are ordered by (turn, role,
 text), repeated rows are turns of their own; a null conversation id is one
@@ -43,7 +44,7 @@ def render(turns: Column, change=lambda x: x) -> Column:
     return F.array_join(F.transform(turns, one), "")
 
 
-def parse(formatted: Column, change=lambda x: x) -> Column:
+def parse(formatted: Column) -> Column:
     """The array of (role, text) that a formatted text says, by the grammar.
 
     Each piece up to a closing mark is cut at its first middle mark.
@@ -55,7 +56,7 @@ def parse(formatted: Column, change=lambda x: x) -> Column:
         body = piece.substr(F.lit(len(OPEN) + 1), F.length(piece))
         role = F.substring_index(body, MIDDLE, 1)
         text = body.substr(F.length(role) + F.lit(len(MIDDLE) + 1), F.length(body))
-        return F.struct(change(role).alias("role"), change(text).alias("text"))
+        return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
 
     return F.transform(pieces, turn)
 
@@ -74,9 +75,11 @@ def format_chats(rows: DataFrame, conv_col="conv_id", turn_col="turn", role_col=
     source = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     source = source.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = source.withColumn("_plain", render(F.col("source")))
-    tried = plain.withColumn("escaped", ~parse(F.col("_plain")).eqNullSafe(F.col("source")))
+    marks = F.regexp_count(F.col("_plain"), F.lit(CONTROL))
+    conflict = ~parse(F.col("_plain")).eqNullSafe(F.col("source")) | (marks != 4 * F.size("source"))
+    tried = plain.withColumn("escaped", conflict)
     done = tried.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), escape)).otherwise(F.col("_plain"))).drop("_plain")
-    read = done.withColumn("turns", F.when(F.col("escaped"), parse(F.col("formatted"), unescape)).otherwise(parse(F.col("formatted"))))
+    read = done.withColumn("turns", parse(F.col("formatted")))
     return read.select("conv_id", "formatted", "escaped", "turns", F.col("turns").eqNullSafe(F.col("source")).alias("round_trip"))
 
 

@@ -53,7 +53,8 @@ def op5_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of the same number: bad if of low quality or toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    return url_reputation.judge_urls(pages, pages.join(labels, "page_id").select("url", "bad"), URL_RULES)
+    out = url_reputation.judge_urls(pages, pages.join(labels, "page_id").select("url", "bad"), URL_RULES)
+    return out.withColumn("bad_mean", F.round("bad_mean", 6)).withColumn("bad_lower", F.round("bad_lower", 6))
 
 
 def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,4 +119,71 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_edit_fingerprints": op10_edit_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+SPACE = r"[^\x20\x09-\x0D]"
+
+_QUALITY_SQL = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{SPACE}+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{SPACE}')) AS lines FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g),
+n AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM c WHERE n > 1),
+r AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS rep FROM n GROUP BY 1),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, CAST(coalesce(rep, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '\P{{Ll}}', '', 'g')) AS n_lower FROM w LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(quality.RULES))} AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, failed & {quality.mask("base")} <> 0 AS base_failed, failed & {quality.mask("base") | quality.mask("v2")} = 0 AS kept FROM f"""
+
+_RULE_SQL = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{k}}}" for k, (_, h, p) in sorted(enumerate(URL_RULES), key=lambda r: -len(r[1][1] + r[1][2]))
+) + " END"
+
+
+def _strength_sql(level: str) -> str:
+    """The moments of url_reputation.strength over a level's table."""
+    return f"""(SELECT CASE WHEN k < 2 OR n <= k OR b <= 0 OR b >= n THEN 1000.0
+  WHEN bw + (sz - 1) * wi <= 0 OR sz <= 0 OR (bw - wi) / (bw + (sz - 1) * wi) <= 0 THEN 1000.0
+  ELSE least(1000.0, greatest(1.0, (1 - (bw - wi) / (bw + (sz - 1) * wi)) / ((bw - wi) / (bw + (sz - 1) * wi)))) END
+  FROM (SELECT *, (b2n - n * (b / n) * (b / n)) / nullif(k - 1, 0) AS bw, (b - b2n) / nullif(n - k, 0) AS wi, (n - n2 / n) / nullif(k - 1, 0) AS sz
+  FROM (SELECT CAST(count(*) AS DOUBLE) AS k, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(b) AS DOUBLE) AS b, CAST(sum(n * n) AS DOUBLE) AS n2, sum(b * b / n) AS b2n FROM {level} WHERE n > 0)))"""
+
+
+_URL_SQL = f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS after FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
+p AS (SELECT page_id, translate(regexp_extract(after, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+h0 AS (SELECT host, count(l.bad) AS n, coalesce(sum(l.bad), 0) AS b FROM p LEFT JOIN (SELECT doc_id, CAST(quality = 0 OR toxic = 1 AS INT) AS bad FROM labels) l ON l.doc_id = page_id GROUP BY 1),
+h1 AS (SELECT *, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS parts FROM h0),
+h2 AS (SELECT *, array_to_string(list_slice(parts, greatest(1, len(parts) - 1), len(parts)), '.') AS two FROM h1),
+h AS (SELECT host, n, b, CASE WHEN two IN ({", ".join(f"'{s}'" for s in url_reputation.WIDE_SUFFIXES)}) THEN two ELSE parts[len(parts)] END AS suffix,
+  CASE WHEN two IN ({", ".join(f"'{s}'" for s in url_reputation.WIDE_SUFFIXES)}) THEN array_to_string(list_slice(parts, greatest(1, len(parts) - 2), len(parts)), '.') ELSE two END AS domain FROM h2),
+d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(b) AS b FROM h GROUP BY 1), s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY 1),
+k AS (SELECT {_strength_sql("h")} AS kh, {_strength_sql("d")} AS kd, {_strength_sql("s")} AS ks, (SELECT (sum(b) + 0.5) / (sum(n) + 1.0) FROM h) AS p0),
+sm AS (SELECT suffix, (b + ks * p0) / (n + ks) AS ms FROM s, k), dm AS (SELECT domain, (b + kd * ms) / (n + kd) AS md FROM d JOIN sm USING (suffix), k),
+ab AS (SELECT host, n, b + kh * md AS al, n - b + kh * (1 - md) AS be FROM h JOIN dm USING (domain), k),
+q AS (SELECT host, n AS labelled, al / (al + be) AS m, greatest(0.0, al / (al + be) - 1.645 * sqrt(al * be / ((al + be) * (al + be) * (al + be + 1)))) AS lo FROM ab)
+SELECT page_id, host, path, {_RULE_SQL.format(*[f"'{h}{p}'" for _, h, p in URL_RULES])} AS rule, coalesce({_RULE_SQL.format(*[f"'{v}'" for v, _, _ in URL_RULES])}, CASE WHEN lo > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(labelled AS BIGINT) AS labelled, round(m, 6) AS bad_mean, round(lo, 6) AS bad_lower FROM p JOIN q USING (host)"""
+
+_CHAT_SQL = r"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(role, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g') AS er, regexp_replace(text, '([<\[])(\\*)(/?(?:s>|INST\]))', '\1\\\2\3', 'g') AS et FROM r)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(20 + length(er) + length(et)) AS BIGINT) AS formatted_chars, true AS round_trip FROM e GROUP BY 1"""
+
+_JACCARD_SQL = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE}+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pr AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+lk AS (SELECT x, y FROM pr JOIN sz s ON s.doc_id = x JOIN sz t ON t.doc_id = y WHERE 5 * c >= 4 * (s.n + t.n - c)),
+re AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT re.x, lk.y FROM re JOIN lk ON re.y = lk.x),
+cl AS (SELECT x, min(y) AS class_id FROM re GROUP BY 1), nl AS (SELECT x, count(*) AS n FROM lk GROUP BY 1)
+SELECT d.doc_id, CASE WHEN len(w) = 0 THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY w) END AS copy_id, class_id, coalesce(n, 0) AS n_links
+FROM d JOIN cl ON cl.x = d.doc_id LEFT JOIN nl ON nl.x = d.doc_id"""
+
+#: DuckDB SQL of the same rows. The others learn, encode, hash or sort in ways that SQL
+#: cannot state (or not at this size); tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op2_quality_ledger": _QUALITY_SQL,
+    "op5_host_reputation": _URL_SQL,
+    "op6_chat_round_trip": _CHAT_SQL,
+    "op9_ngram_jaccard": _JACCARD_SQL,
+}
