@@ -37,7 +37,7 @@ def valid() -> Column:
 
 def order_steps(ordered: DataFrame) -> DataFrame:
     """Events as steps of order keys: op SET, DEL or RED of (f, ref), sub 0 before 1 within an event."""
-    ev = ordered.where(F.col("code").isin("ADD", "CANCEL", "MODIFY", "TRADE")).withColumn("_ok", valid())
+    ev = ordered.where(F.col("code").isin("ADD", "CANCEL", "MODIFY", "TRADE")).withColumn("_ok", F.coalesce(valid(), F.lit(False)))
     step = lambda op, ref, sub: F.struct(F.lit(op).alias("op"), F.col(ref).alias("key"), F.lit(sub).alias("sub"))
     none = F.array().cast("array<struct<op:string,key:string,sub:int>>")
     same = F.col("prev_ref").eqNullSafe(F.col("ref"))
@@ -84,11 +84,15 @@ def lifecycle(ordered: DataFrame) -> DataFrame:
 
 def level_deltas(life: DataFrame) -> DataFrame:
     """Differences of levels: f, side, price, order, delta; ``clamp``: a removal or add, after which a level of EPS or less is gone."""
-    base = ["f", *ORDER, "eff_ts"]
-    out = F.when(F.col("op") == "RED", F.when(F.col("after") > 0, F.col("after") - F.col("before")).otherwise(-F.col("before"))).otherwise(-F.col("before"))
-    left = life.where("before > 0").select(*base, (F.col("sub") * 2).alias("sub"), F.col("was_side").alias("side"), F.col("was_price").alias("price"), out.alias("delta"), ((F.col("op") != "RED") | (F.col("after") <= 0)).alias("whole"))
-    new = life.where("op = 'SET' and not keyless").select(*base, (F.col("sub") * 2 + 1).alias("sub"), "side", "price", F.col("qty").alias("delta"), F.lit(True).alias("whole"))
-    return left.unionByName(new)
+    gone = F.when(F.col("op") == "RED", F.when(F.col("after") > 0, F.col("after") - F.col("before")).otherwise(-F.col("before"))).otherwise(-F.col("before"))
+
+    def one(sub: Column, side: str, price: str, delta: Column, whole: Column) -> Column:
+        return F.struct(sub.alias("sub"), F.col(side).alias("side"), F.col(price).alias("price"), delta.alias("delta"), whole.alias("whole"))
+
+    left = F.when(F.col("before") > 0, one(F.col("sub") * 2, "was_side", "was_price", gone, (F.col("op") != "RED") | (F.col("after") <= 0)))
+    new = F.when((F.col("op") == "SET") & ~F.col("keyless"), one(F.col("sub") * 2 + 1, "side", "price", F.col("qty"), F.lit(True)))
+    # One pass: a step takes from where the order rested and gives to where it goes.
+    return life.select("f", *ORDER, "eff_ts", F.explode(F.array_compact(F.array(left, new))).alias("d")).select("f", *ORDER, "eff_ts", "d.*")
 
 
 def refless_trades(life: DataFrame, level_feeds: DataFrame) -> DataFrame:
@@ -135,18 +139,19 @@ def _fold_prices(pdf: pd.DataFrame) -> pd.DataFrame:
 def levels(ordered: DataFrame, fallback: bool = True) -> DataFrame:
     """Every change of a level: f, side, price, order, sub, eff_ts, level (0 or less: gone).
 
-    Two short jobs ask whether any feed or price needs a fold; without one the
-    plan has windows only.
+    One short job asks whether any feed or price can need a fold; without one
+    the plan has windows only.
     """
     cols = ["f", "side", "price", *ORDER, "sub", "eff_ts", "level"]
-    odd = odd_feeds(ordered) if fallback else None
-    if odd is None or odd.isEmpty():
-        return _window_levels(ordered).select(*cols)
+    asked = ordered.agg(F.coalesce(F.max(_odd()), F.lit(False)), F.coalesce(F.max((F.col("code") == "TRADE") & F.col("price").isNotNull()), F.lit(False))).first()
+    if not (fallback and asked[0]):
+        return _window_levels(ordered, asked[1]).select(*cols)
+    odd = odd_feeds(ordered)
     plain, rest = ordered.join(odd, "f", "left_anti"), ordered.join(odd, "f", "left_semi")
-    return _window_levels(plain).select(*cols).unionByName(fold_book(rest).select(*cols))
+    return _window_levels(plain, asked[1]).select(*cols).unionByName(fold_book(rest).select(*cols))
 
 
-def _window_levels(plain: DataFrame) -> DataFrame:
+def _window_levels(plain: DataFrame, priced_trades: bool) -> DataFrame:
     life = lifecycle(plain)
     base = ["f", "side", "price", *ORDER, "sub", "eff_ts", "delta", "whole", "kind"]
     deltas = level_deltas(life).withColumn("kind", F.lit("delta"))
@@ -154,7 +159,7 @@ def _window_levels(plain: DataFrame) -> DataFrame:
     assigned = plain.where(F.col("code").isin("LEVEL_SET", "LEVEL_DEL") & F.col("side").isin(SIDES) & F.col("price").isNotNull()).withColumns({"sub": F.lit(0), "delta": fin, "whole": F.lit(True), "kind": F.lit("assign")})
     moves = reduce(DataFrame.unionByName, [x.select(*base) for x in (deltas, assigned)])
     takes = None
-    if not plain.where("code = 'TRADE' and price is not null").isEmpty():
+    if priced_trades:
         lost = refless_trades(life, feeds_with_levels(plain)).where(~F.col("on_level") & F.col("price").isNotNull())
         takes = lost.select("f", "side", "price", *ORDER, F.lit(0).alias("sub"), "eff_ts", F.coalesce("qty", F.lit(0.0)).alias("delta"), F.lit(True).alias("whole"), F.lit("take").alias("kind"))
         takes = None if takes.isEmpty() else takes
@@ -174,7 +179,11 @@ def _summed(moves: DataFrame) -> DataFrame:
 
 def odd_feeds(ordered: DataFrame) -> DataFrame:
     """Feeds that need the sequential fold: a modify to an invalid price or size under another reference."""
-    return ordered.where((F.col("code") == "MODIFY") & ~valid() & ~F.col("prev_ref").eqNullSafe(F.col("ref"))).select("f").distinct()
+    return ordered.where(_odd()).select("f").distinct()
+
+
+def _odd() -> Column:
+    return (F.col("code") == "MODIFY") & ~F.coalesce(valid(), F.lit(False)) & ~F.col("prev_ref").eqNullSafe(F.col("ref"))
 
 
 def resting(ordered: DataFrame) -> DataFrame:

@@ -42,10 +42,11 @@ def standing(spans: DataFrame, n: int, keys: list[str], span: int = SPAN) -> Dat
     key = [*keys, "side"]
     cut = spans.withColumn("s", F.explode(F.sequence((F.col("lo") / span).cast("long"), ((F.col("hi") - 1) / span).cast("long"))))
     cut = cut.withColumns({"lo": F.greatest("lo", F.col("s") * span), "hi": F.least("hi", (F.col("s") + 1) * span), "rank_price": better()})
-    full = cut.where(F.col("hi") - F.col("lo") == span).select(*key, "s", "rank_price")
-    w = Window.partitionBy(*key, "s").orderBy("rank_price")
-    bound = full.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).where(F.col("k") == n).select(*key, "s", F.col("rank_price").alias("bound"))
-    kept = cut.join(bound, [*key, "s"], "left").where(F.col("bound").isNull() | (F.col("rank_price") <= F.col("bound")))
+    w = Window.partitionBy(*key, "s")
+    whole = F.col("hi") - F.col("lo") == span
+    nth = F.sum(F.when(whole, 1).otherwise(0)).over(w.orderBy("rank_price").rowsBetween(Window.unboundedPreceding, 0))
+    counted = cut.withColumn("nth", nth).withColumn("bound", F.min(F.when(whole & (F.col("nth") == n), F.col("rank_price"))).over(w))
+    kept = counted.where(F.col("bound").isNull() | (F.col("rank_price") <= F.col("bound")))
     rows = kept.withColumn("gi", F.explode(F.sequence("lo", F.col("hi") - 1)))
     top = Window.partitionBy(*key, "gi").orderBy("rank_price")
     return rows.withColumn("k", F.row_number().over(top)).where(F.col("k") <= n).select("gi", *key, "price", "qty")
