@@ -269,7 +269,7 @@ BOOK = EV + """, be AS (SELECT CASE WHEN event_type = 'view' THEN 'LVL' ELSE 'F'
   CASE event_type WHEN 'signup' THEN 'ADD' WHEN 'click' THEN 'MODIFY' WHEN 'error' THEN 'CANCEL' WHEN 'purchase' THEN 'TRADE' ELSE 'LEVEL_SET' END AS code,
   CASE WHEN user_id % 2 = 0 THEN 'Bid' ELSE 'Ask' END AS side, CASE WHEN event_type <> 'purchase' THEN round(value) + CASE WHEN user_id % 2 = 0 THEN 0 ELSE 8 END END AS price,
   CASE WHEN event_type = 'view' AND k % 4 = 0 THEN 0.0 ELSE k + 1 END AS qty, CASE WHEN event_type = 'click' AND k % 5 = 0 THEN user_id + 3 ELSE user_id END AS ref,
-  user_id AS prev_ref, event_id, (ts_us - (event_id * 37 % 11) * 1000000000) * 1000 AS ts_ns FROM ev),
+  user_id AS prev_ref, k % 2 = 0 AS maintain, event_id, (ts_us - (event_id * 37 % 11) * 1000000000) * 1000 AS ts_ns FROM ev),
 o AS (SELECT *, max(ts_ns) OVER (PARTITION BY f ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS eff_ts FROM be)"""
 
 LIFE = BOOK + """, st AS (SELECT f, event_id, 1 AS sub, 'SET' AS op, ref AS key, side, price, qty, code, eff_ts, ts_ns FROM o WHERE code = 'ADD' OR code = 'MODIFY'
@@ -454,3 +454,48 @@ x AS (SELECT 'X_bidprice_1' AS field, bid1 AS a, bid1 + CASE WHEN h % 7 = 0 THEN
 SELECT field, count(*) AS n, round(avg(CAST(abs(a - b) <= 1e-6 * greatest(1, abs(b)) AS INT)), 6) AS match_rate, round(avg(abs(a - b)), 6) AS mean_abs_diff FROM x WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1""",
 }
 ORACLES["resting_sextiles"] = f"WITH r AS ({ORACLES['resting_series']}) SELECT CASE " + " ".join(f"WHEN gi < {(k + 1) * POINTS // 6} THEN {k}" for k in range(5)) + " ELSE 5 END AS sextile, round(avg(resting), 6) AS mean FROM r GROUP BY 1"
+
+ORACLES["lob_stats"] = f"""WITH {LIFE}, c AS (SELECT count(*) AS events, count(*) FILTER (WHERE code = 'ADD') AS n_add, count(*) FILTER (WHERE code = 'CANCEL') AS n_cancel, count(*) FILTER (WHERE code = 'MODIFY') AS n_modify, count(*) FILTER (WHERE code = 'TRADE') AS n_trade,
+  count(*) FILTER (WHERE code = 'LEVEL_SET') AS n_level_set, count(*) FILTER (WHERE code = 'LEVEL_DEL') AS n_level_del, count(*) FILTER (WHERE code = 'MODIFY' AND NOT maintain) AS modify_reprioritized, count(*) FILTER (WHERE f = 'LVL') AS mbp_level_events FROM o),
+mv AS (SELECT event_id FROM life WHERE code = 'MODIFY' AND op = 'DEL' AND before > 0)
+SELECT c.*, (SELECT count(*) FROM life WHERE op = 'SET' AND before > 0 AND (code = 'ADD' OR event_id IN (SELECT event_id FROM mv))) AS dup_add, (SELECT count(*) FROM life WHERE code = 'CANCEL' AND before <= 0) AS cancel_no_order,
+  CAST(0 AS BIGINT) AS trade_on_mbp_skipped, (SELECT count(*) FROM life WHERE code = 'TRADE' AND before <= 0) AS trade_no_ref FROM c"""
+
+_CLOCKED = TOP.replace("o AS (SELECT *, max(ts_ns) OVER (PARTITION BY f ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS eff_ts FROM be)", "o AS (SELECT * REPLACE (row_number() OVER (ORDER BY ts_ns, event_id) AS event_id), ts_ns AS eff_ts FROM be)")
+_RATE = f"SELECT round(count(*) FILTER (WHERE bid1 > ask1 + 1e-9) / {POINTS}.0, 6) AS rate FROM top"
+ORACLES["ordering_ab"] = f"SELECT a.rate AS clock_rate, b.rate AS sequence_rate FROM (WITH {_CLOCKED} {_RATE}) a, (WITH {TOP} {_RATE}) b"
+
+
+def _found(kind: str, severity: str, check: str, subject: str, value: str, message: str, rows: str) -> str:
+    return f"SELECT '{kind}' AS kind, {severity} AS severity, '{check}' AS \"check\", {subject} AS subject, round(CAST({value} AS DOUBLE), 6) AS value, '{message}' AS message FROM {rows}"
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE message_type IN ({t})) AS {n}" for n, t in (("adds", "'mt_add_order'"), ("cancels", "'mt_cancel_order'"), ("removals", "'mt_cancel_order', 'mt_trade'"), ("levels", "'mt_price_level_update'")))
+_HEALTH = "avg(CAST(side IN ('Bid', 'Ask') AS INT)) AS side_ok, avg(CAST(price IS NULL AS INT)) AS bad_price, avg(CAST(qty IS NULL OR qty < 0 AS INT)) AS bad_qty, avg(CAST(ref IS NULL AS INT)) AS no_ref, median(price) AS median_price"
+_FINDINGS = f"WITH {MSGS}, i AS (SELECT {_COUNTS} FROM msgs), fm AS (SELECT f, {_COUNTS} FROM msgs GROUP BY 1), fh AS (SELECT f, count(*) AS n, {_HEALTH} FROM msgs GROUP BY 1), " + """
+sp AS (SELECT max(median_price) / min(median_price) AS spread FROM fh WHERE n > 100), st AS (SELECT message_type, count(seq) AS have FROM msgs GROUP BY 1),
+sq AS (SELECT sum(have) AS have, count(*) FILTER (WHERE have = 0) AS lacking, string_agg(message_type, ',' ORDER BY message_type) FILTER (WHERE have = 0) AS names FROM st),
+gp AS (SELECT f, 1 - count(DISTINCT seq) / (max(seq) - min(seq) + 1) AS missing FROM msgs WHERE seq IS NOT NULL GROUP BY 1),
+ck AS (SELECT f, count(*) AS n, count(*) FILTER (WHERE ts_ns IS NULL) AS nulls, (max(ts_ns) - min(ts_ns)) / 1e9 AS span FROM msgs GROUP BY 1), fd AS (""" + " UNION ALL ".join(
+    _found(*x)
+    for x in (
+        ("DATA", "'FATAL'", "inventory", "'all'", "adds", "orders are added but never removed", "i WHERE adds > 0 AND removals = 0"),
+        ("DATA", "'SEVERE'", "inventory", "'all'", "cancels / adds", "few cancels for the adds", "i WHERE adds > 0 AND removals > 0 AND cancels < 0.2 * adds"),
+        ("DATA", "'FATAL'", "inventory", "'all'", "adds", "neither orders nor price levels", "i WHERE adds = 0 AND levels = 0"),
+        ("DATA", "'FATAL'", "feeds", "f", "adds", "a feed adds orders but never removes any", "fm WHERE adds > 1000 AND removals = 0"),
+        ("DATA", "'SEVERE'", "feeds", "f", "removals / adds", "a feed has few removals for its adds", "fm WHERE adds > 1000 AND removals > 0 AND removals < 0.2 * adds"),
+        ("DATA", "CASE WHEN side_ok < 0.5 THEN 'FATAL' ELSE 'SEVERE' END", "fields", "f", "side_ok", "side tokens are not recognised", "fh WHERE side_ok < 0.99"),
+        ("DATA", "'SEVERE'", "fields", "f", "bad_price", "prices are missing", "fh WHERE bad_price > 0.01"),
+        ("DATA", "'SEVERE'", "fields", "f", "bad_qty", "quantities are missing or negative", "fh WHERE bad_qty > 0.01"),
+        ("DATA", "'SEVERE'", "fields", "f", "no_ref", "references are missing", "fh WHERE no_ref > 0.01"),
+        ("DATA", "'SEVERE'", "fields", "'all'", "spread", "feeds price on different scales", "sp WHERE spread > 5"),
+        ("CODE", "'FATAL'", "sequence", "'sequencenumber'", "have", "no row has a sequencenumber: venues'' own order is lost", "sq WHERE have = 0"),
+        ("CODE", "'SEVERE'", "sequence", "names", "lacking", "some message types lack sequencenumber", "sq WHERE have > 0 AND lacking > 0"),
+        ("DATA", "CASE WHEN missing >= 0.2 THEN 'FATAL' ELSE 'SEVERE' END", "sequence", "f", "missing", "sequence numbers are missing", "gp WHERE missing > 0.02"),
+        ("CODE", "'FATAL'", "clock", "f", "nulls", "rows without a clock", "ck WHERE nulls > 0"),
+        ("DATA", "'FATAL'", "clock", "f", "span", "the clock stands still", "ck WHERE n > 1000 AND span < 60"),
+    )
+) + ")"
+ORACLES["frame_findings"] = f"{_FINDINGS} SELECT * FROM fd"
+ORACLES["verdict"] = f"""{_FINDINGS}, v AS (SELECT count(*) AS n, count(*) FILTER (WHERE kind = 'DATA' AND severity <> 'MINOR') AS data, count(*) FILTER (WHERE kind = 'CODE' AND severity <> 'MINOR') AS code FROM fd)
+SELECT CASE WHEN n = 0 THEN 'NONE' WHEN data > code THEN 'DATA' WHEN code > data THEN 'CODE' ELSE 'MIXED' END AS verdict, CAST(CASE WHEN n = 0 THEN 0 WHEN data > code THEN 2 ELSE 3 END AS BIGINT) AS rc, data, code FROM v"""
