@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 
 SIZE = 5
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Powers that stay in memory.
+KEPT = 1 << 20
 #: Bytes hashed at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 
-@cache
 def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1), modulo 2 ** 64; the usual length is kept, longer ones are made anew."""
+    return _powers(base, KEPT)[:n] if n <= KEPT else _made(base, n)
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    return _made(base, n)
+
+
+def _made(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base), np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
