@@ -45,3 +45,12 @@ def test_a_heavy_bid_pulls_the_microprice_up(spark):
     df = spark.createDataFrame([(10.0, 500.0, 10.1, 100.0), (10.0, 100.0, 10.1, 100.0)], "X_bidprice_1 double, X_bidquantity_1 double, X_askprice_1 double, X_askquantity_1 double")
     a, b = features.with_features(df, "X").collect()
     assert a["X_wmid"] > a["X_mid"] and b["X_wmid"] == pytest.approx(b["X_mid"]) and b["X_spread_bps"] == pytest.approx(0.1 / 10.05 * 1e4)
+
+
+def test_shape_of_a_side(spark):
+    rows = [("a", k, 100 + 0.01 * k, 10.0) for k in range(1, 6)] + [("b", 1, 100.0, 1.0), ("b", 2, 100.01, 1.0), ("b", 3, 109.0, 50.0), ("c", 1, 5.0, 5.0), ("c", 2, None, 5.0)]
+    got = {r["k"]: r for r in features.side_costs(spark.createDataFrame(rows, "k string, level int, price double, qty double"), ["k"]).collect()}
+    assert got["a"]["impact_length"] == pytest.approx(2**0.5) and 2**0.5 <= got["b"]["impact_length"] <= 2 and got["c"]["impact_length"] is None
+    assert got["c"]["decay_cost_bps"] == 0 and got["b"]["decay_cost_bps"] > got["a"]["decay_cost_bps"] > 0
+    mid = spark.range(1).select(features.depth_weighted_mid([(F.lit(10.0), F.lit(1.0), F.lit(11.0), F.lit(2.0)), (F.lit(9.0), F.lit(1.0), F.lit(None).cast("double"), F.lit(0.0))])).first()[0]
+    assert mid == pytest.approx((9.5 + 11.0) / 2)

@@ -172,6 +172,18 @@ def features_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two.select("l_orderkey", r6(features.mid(b, a)).alias("mid"), r6(features.microprice(b, bq, a, aq)).alias("wmid"), r6(features.spread_bps(b, a)).alias("spread_bps"))
 
 
+def side_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = features.side_costs(ladders(spark, sf_dir), ["l_orderkey"])
+    return got.select("l_orderkey", r6(F.col("decay_cost_bps")).alias("decay_cost_bps"), r6(F.col("impact_length")).alias("impact_length"))
+
+
+def order_flow_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("p"), F.max("l_quantity").alias("q"))
+    wide = df.select("l_orderkey", "l_linenumber", F.floor(F.col("p") / 10000).cast("double").alias("X_bidprice_1"), F.col("q").alias("X_bidquantity_1"), (F.floor(F.col("p") / 8000) + 1).cast("double").alias("X_askprice_1"), (F.col("q") + 1).alias("X_askquantity_1"))
+    got = features.order_flow_imbalance(wide, "X", "l_linenumber", ["l_orderkey"])
+    return got.select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), r6(F.col("X_ofi")).alias("ofi"))
+
+
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_date("o_orderdate").alias("d")).distinct()
 
@@ -393,7 +405,7 @@ def snapshot_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        trade_bucket_agg, msg_bucket_agg, trade_scrub, trade_scrub_stats, flow_attach, session_outer_join, vwap_to_lot, features_l1, third_friday, front_month,
+        trade_bucket_agg, msg_bucket_agg, trade_scrub, trade_scrub_stats, flow_attach, session_outer_join, vwap_to_lot, features_l1, side_costs, order_flow_imbalance, third_friday, front_month,
         type_inventory, feed_matrix, field_health, side_tokens, seq_continuity, clock_inversions, clock_health, frame_findings, verdict,
         event_order, lob_levels, lob_ladder, lob_nbbo, lob_wide, lob_crossed_rate, lob_stats, resting_orders, orphan_provenance, resurrections, resting_series,
         resting_sextiles, feed_crossings, pinned_prices, wrong_side, ordering_ab, replay_findings, snapshot_validate,
@@ -421,6 +433,13 @@ SELECT l_orderkey, CASE WHEN sum(fill) >= 60.0 - 1e-12 THEN round(sum(price * fi
     "features_l1": f"""WITH {LADDERS}, q AS (SELECT * FROM lad WHERE qty IS NOT NULL), bb AS (SELECT l_orderkey, max(row(price, qty)) AS x FROM q WHERE flag <> 'R' GROUP BY 1), aa AS (SELECT l_orderkey, min(row(price, qty)) AS x FROM q WHERE flag = 'R' GROUP BY 1),
 t AS (SELECT l_orderkey, bb.x[1] AS b, bb.x[2] AS bq, aa.x[1] AS a, aa.x[2] AS aq FROM bb JOIN aa USING (l_orderkey))
 SELECT l_orderkey, round((b + a) / 2, 6) AS mid, round((b * aq + a * bq) / (bq + aq), 6) AS wmid, round((a - b) / ((b + a) / 2) * 1e4, 6) AS spread_bps FROM t""",
+    "side_costs": f"""WITH {LADDERS}, a AS (SELECT l_orderkey, level, price, qty AS q, abs(price - first_value(price) OVER w) AS far, sum(qty) OVER w AS cum, first_value(qty) OVER w AS fq, first_value(price) OVER w AS p1 FROM lad WHERE qty > 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY level ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT *, (cum - fq) / nullif(sum(q) OVER (PARTITION BY l_orderkey) - fq, 0) AS x, far / nullif(max(far) OVER (PARTITION BY l_orderkey), 0) AS y, q * exp(-(level - 1) / 3.0) AS w FROM a),
+c AS (SELECT *, sqrt(pow(x - lag(x) OVER v, 2) + pow(y - lag(y) OVER v, 2)) AS d FROM b WINDOW v AS (PARTITION BY l_orderkey ORDER BY level))
+SELECT l_orderkey, round(sum(far / p1 * 1e4 * w) / sum(w), 6) AS decay_cost_bps, round(sum(d), 6) AS impact_length FROM c GROUP BY 1""",
+    "order_flow_imbalance": """WITH d AS (SELECT l_orderkey, l_linenumber, max(l_extendedprice) AS p, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2), w AS (SELECT l_orderkey, l_linenumber, floor(p / 10000) AS b, q AS bq, floor(p / 8000) + 1 AS a, q + 1 AS aq FROM d),
+l AS (SELECT *, lag(b) OVER v AS b0, lag(bq) OVER v AS bq0, lag(a) OVER v AS a0, lag(aq) OVER v AS aq0 FROM w WINDOW v AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, CASE WHEN b0 IS NOT NULL THEN round((CASE WHEN b >= b0 THEN bq ELSE 0 END - CASE WHEN b <= b0 THEN bq0 ELSE 0 END) - (CASE WHEN a <= a0 THEN aq ELSE 0 END - CASE WHEN a >= a0 THEN aq0 ELSE 0 END), 6) END AS ofi FROM l""",
     "third_friday": f"WITH d AS (SELECT DISTINCT year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders) SELECT y, m, CAST({_EXPIRY.format(y='y', m='m')} AS VARCHAR) AS third_friday FROM d",
     "front_month": f"""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), c AS (SELECT d, year(d) + a AS y, code, m FROM d, (VALUES (0), (1)) t(a), (VALUES {_CONTRACTS}) u(code, m)),
 e AS (SELECT *, {_EXPIRY.format(y='y', m='m')} AS expiry FROM c) SELECT CAST(d AS VARCHAR) AS d, 'ES' || arg_min(code, expiry) || (arg_min(y, expiry) % 10) AS contract, CAST(min(expiry) AS VARCHAR) AS expiry FROM e WHERE d <= expiry - 8 GROUP BY 1""",
