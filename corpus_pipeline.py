@@ -32,8 +32,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.select(*COLUMNS)
     kept = jaccard.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source"))
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("_nth", first).where("_nth = 1").select(*COLUMNS)
+    named = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
+    if not docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source"))
+        named = named.withColumn("_nth", first).where("_nth = 1").select(*COLUMNS)
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -158,10 +158,14 @@ def test_fingerprint_edges(spark):
 
 def test_near_copies_by_bands(spark):
     rng = random.Random(6)
-    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(30)]
-    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t[:-20] + "end") for k, t in enumerate(texts)] + [(200, texts[0])]
-    got = {r["doc_id"]: r["leader"] for r in fingerprint.near_copies(fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert all(got[k] == k for k in range(30)) and got[200] == 0 and np.mean([got[100 + k] == k for k in range(30)]) >= 0.9
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(20)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t[:-20] + "end") for k, t in enumerate(texts)] + [(200, texts[0]), (300, ""), (301, None)]
+    got = {r["doc_id"]: r for r in fingerprint.near_copies(fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    prints = {i: fingerprint.fingerprint(t) for i, t in rows}
+    links = {i: sum(fingerprint.likeness(prints[i], prints[j]) >= 0.8 for j in prints if j != i) for i in prints}
+    assert len(got) == len(rows) and sum(r["n_links"] for r in got.values()) >= 0.95 * sum(links.values()) and all(got[i]["n_links"] <= links[i] for i in got)
+    assert all(got[k]["class_id"] == k for k in range(20)) and got[200]["copy_id"] == 0 and got[301]["class_id"] == 300
+    assert np.mean([got[100 + k]["class_id"] == k for k in range(20)]) >= 0.9
 
 
 PERSONAL = [

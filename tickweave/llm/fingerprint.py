@@ -10,7 +10,7 @@ likeness of two fingerprints is the part of time in which they agree, each sampl
 standing for its stretch of time, corrected for agreement by chance.
 
 Near copies are found by bit-sampled banding: a band is a fixed draw of samples;
-equal bands meet, and each member is verified against the first of its band.
+texts with an equal band meet and are verified on their whole fingerprints.
 
 Defined cases: null text is empty and has the fingerprint ''; equal texts have
 equal fingerprints; documents are ordered by (id descending, text), null ids
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts, small_batches, staged
+from .jaccard import BLOCK, by_node, clusters, in_units, joined
 
 CLASSES, PERIOD, PER_OCTAVE, OCTAVES = 32, 256, 32, 36
 PIECE = 300_000
@@ -209,24 +210,40 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.where("role = 0").select(*columns).unionByName(closed.select(*columns))
 
 
+def alike(prints: list[str], first: np.ndarray, second: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of the pairs between two masks whose likeness is ``least`` or more."""
+    most = max(map(len, prints))
+    table = np.zeros((len(prints), most), np.uint8)
+    for k, p in enumerate(prints):
+        table[k, : len(p)] = np.frombuffer(p.encode(), np.uint8)
+    sizes, width = np.array([len(p) for p in prints]), _tables()["width"][:most].astype(np.float32)
+    total = np.concatenate([[0], np.cumsum(width)])
+    left, right = [], []
+    for i in range(len(prints)):
+        share = ((table == table[i]) & (table[i] > 0)) @ width / np.maximum(total[np.maximum(sizes, sizes[i])], 1e-9)
+        good = ((share - 1 / 16) / (15 / 16) >= least) & ((second & first[i]) | (first & second[i]))
+        good[: i + 1] = False
+        found = np.flatnonzero(good)
+        left.append(np.full(len(found), i))
+        right.append(found)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def near_copies(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band: int = 6) -> DataFrame:
-    """prints(doc_id, fingerprint) -> doc_id, leader, near: the first document of a shared band that is alike enough.
+    """prints(doc_id, fingerprint) -> doc_id, copy_id, class_id, n_links, as the Jaccard join has them.
 
-    Equal fingerprints are one class; a band's members are verified against its
-    first member only, so a band of any size costs one comparison a member.
+    A band is a fixed draw of the first 96 samples. Equal fingerprints are one
+    class; classes that share a band are one cluster, and all pairs of a cluster
+    are verified in blocks. Empty texts are alike only to each other.
     """
     rng = np.random.default_rng(7)
     draws = [sorted(rng.choice(96, per_band, replace=False).tolist()) for _ in range(bands)]
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("leader"))
-    key = lambda d: F.concat(*[F.substring("fingerprint", i + 1, 1) for i in d])
-    rows = classes.select("leader", "fingerprint", F.posexplode(F.array(*[key(d) for d in draws])).alias("band", "key"))
-    first = rows.groupBy("band", "key").agg(F.min(F.struct("leader", "fingerprint")).alias("first"))
-    met = rows.join(first, ["band", "key"]).where(F.col("first.leader") < F.col("leader")).select("leader", "fingerprint", F.col("first.leader").alias("other"), F.col("first.fingerprint").alias("other_print")).distinct()
-
-    @F.pandas_udf("double")
-    def near(a, b):
-        return a.combine(b, likeness)
-
-    best = met.withColumn("near", near("fingerprint", "other_print")).where(F.col("near") >= least).groupBy("leader").agg(F.min(F.struct("other", "near")).alias("best"))
-    joined = prints.select("doc_id", "fingerprint").join(classes, "fingerprint").join(best, "leader", "left")
-    return joined.select("doc_id", F.coalesce("best.other", "leader").alias("leader"), F.coalesce("best.near", F.lit(1.0)).alias("near"))
+    prints = prints.select("doc_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).withColumn("node", F.xxhash64("fingerprint"))
+    key = lambda k, d: F.xxhash64(F.lit(k), F.concat(*[F.substring("fingerprint", i + 1, 1) for i in d]))
+    classes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("fingerprint").alias("fingerprint")), "classes")
+    keyed = classes.where("fingerprint <> ''").select("node", F.array(*[key(k, d) for k, d in enumerate(draws)]).alias("bands"))
+    found = staged(clusters(keyed), "clusters")
+    sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = found.join(sizes, "cluster").join(classes, "node")
+    checked = staged(joined(in_units(members, "fingerprint"), least, lambda batch: batch.column("fingerprint").to_pylist(), alike), "verified")
+    return prints.select("doc_id", "node").join(by_node(classes, checked), "node").select("doc_id", "copy_id", "class_id", "n_links")

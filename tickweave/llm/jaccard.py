@@ -123,8 +123,22 @@ def verified(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, thre
     return np.nonzero(np.triu(good, 1))
 
 
-def joined(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows(cluster, i, j, block, node, copies, set), by unit (cluster, i, j) -> node, root, links."""
+def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    lists = batch.column("set")
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [np.array(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def in_units(members: DataFrame, *columns: str) -> DataFrame:
+    """members(cluster, blocks, node, copies, columns) once for each unit (pair of blocks i, j of a cluster) that they are in."""
+    blocked = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", *columns)
+
+
+def joined(rows: DataFrame, threshold: float, values=sets_of, check=None) -> DataFrame:
+    """rows of in_units() -> node, root, links: all pairs of each unit by ``check`` (verified()), on what ``values`` reads from a batch."""
+    check = check or verified
 
     def unit(held: list[tuple]):
         nodes, copies, sets, block = {}, [], [], []
@@ -138,7 +152,7 @@ def joined(rows: DataFrame, threshold: float) -> DataFrame:
 
     def solve(key: tuple, held: list[tuple]):
         nodes, copies, sets, block = unit(held)
-        i, j = verified(sets, block == key[1], block == key[2], threshold)
+        i, j = check(sets, block == key[1], block == key[2], threshold)
         if not len(i):
             return None
         links = np.bincount(i, copies[j], len(nodes)) + np.bincount(j, copies[i], len(nodes))
@@ -159,14 +173,12 @@ def joined(rows: DataFrame, threshold: float) -> DataFrame:
         key, held = None, []
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "block", "node", "copies")]
-            lists = batch.column("set")
-            flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            for k, (c, i, j, block, node, n) in enumerate(zip(*cols, strict=True)):
+            for c, i, j, block, node, n, value in zip(*cols, values(batch), strict=True):
                 if (c, i, j) != key:
                     if len(held) > 1 and (out := solve(key, held)) is not None:
                         yield out
                     key, held = (c, i, j), []
-                held.append((block, node, n, np.array(flat[at[k] : at[k + 1]])))
+                held.append((block, node, n, value))
         if len(held) > 1 and (out := solve(key, held)) is not None:
             yield out
 
@@ -174,6 +186,16 @@ def joined(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "node long, root long, links long")
 
 
+def by_node(classes: DataFrame, checked: DataFrame) -> DataFrame:
+    """classes(node, rep, copies) and joined()'s rows -> node, copy_id, class_id (least rep of all linked), n_links (documents)."""
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    rooted = classes.select("node", "rep", "copies").join(groups.withColumnRenamed("u", "node"), "node", "left").join(links, "node", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
+    return rooted.join(least, "root").select("node", F.col("rep").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, copy_id (least id with the same words), class_id (least id of all linked, directly or through others), n_links (other documents at the threshold or above)."""
     one = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -183,7 +205,8 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, id_co
     found = staged(clusters(classes), "clusters")
     sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = found.join(sizes, "cluster").join(classes.select("node", "rep", "copies"), "node")
-    texts = one.join(members, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "cluster", "blocks", "copies")
+    # The small side of each partition is hashed, so whole texts are not sorted.
+    texts = one.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "cluster", "blocks", "copies")
 
     def sets(batches):
         for batch in batches:
@@ -197,15 +220,10 @@ def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, id_co
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[*kept.schema.names, "set"])
 
     shipped = texts.mapInArrow(sets, "node long, cluster long, blocks int, copies long, set array<long>")
-    blocked = shipped.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "set")
+    units = in_units(shipped, "set")
     checked = staged(joined(units, threshold), "verified")
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    rooted = classes.select("node", "rep", "copies").join(groups.withColumnRenamed("u", "node"), "node", "left").join(links, "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    info = rooted.join(least, "root").select("node", F.col("rep").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("doc_id", "node").join(info, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("copy_id")).cast(kind).alias("copy_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    info = by_node(classes, checked)
+    linked = signed.where("node is not null").join(info, "node").select("doc_id", "copy_id", "class_id", "n_links")
+    own = F.col("doc_id").cast(kind)
+    alone = signed.where("node is null").select("doc_id", own.alias("copy_id"), own.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(alone)

@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 cols = zip(*rows[s : s + 20_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bin", "digest", "copies", "hot", "bytes"])
 
-    fetched = texts.join(lists, ["k", "tag"]).select("text", "runs").mapInArrow(fetch, "bin long, digest long, copies long, hot boolean, bytes binary")
+    fetched = texts.join(lists.hint("shuffle_hash"), ["k", "tag"]).select("text", "runs").mapInArrow(fetch, "bin long, digest long, copies long, hot boolean, bytes binary")
     fetched = staged(fetched, "stretches")
     found = _sorted_bins(fetched.where("not hot").drop("hot"), length).unionByName(_hashed_bins(fetched.where("hot").drop("hot"), length))
     parts_ = found.select("bin", "digest", F.explode(F.arrays_zip("starts", "lengths")).alias("x"))
@@ -344,7 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 kept.append(b"".join(stays))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.join(every, ["k", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(drop, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return texts.join(every.hint("shuffle_hash"), ["k", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(drop, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
