@@ -21,6 +21,7 @@ import json
 import unicodedata
 from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Words kept with their encodings in one Python worker.
-KEPT_WORDS = 300_000
-KEPT_PAIRS = 1_000_000
+#: Words kept with their encodings in one Python worker, in each of two generations.
+KEPT_WORDS = 150_000
+KEPT_PAIRS = 250_000
+#: Beginnings of words whose prefix tables are kept: their length, and how many.
+HEAD, KEPT_HEADS = 6, 60_000
 _MADE: dict[str, PrefixBpe] = {}
 
 
@@ -131,7 +134,9 @@ class PrefixBpe:
         self.auto = SuffixAutomaton([(i, symbols(t)) for t, i in vocab.items()], 512)
         self.compatible: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.kept: dict[str, tuple[str, int, str, tuple[int, ...]]] = {}
+        self.kept: dict[str, tuple[str, int, str]] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int], int, int]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
 
     def _seam(self, left: int, right: int, limit: int) -> bool:
         """Whether no merge with a rank under limit crosses the seam of two tokens.
@@ -175,8 +180,15 @@ class PrefixBpe:
         auto, own, near, link, step, width = self.auto, self.auto.own, self.auto.near, self.auto.link, self.auto.next, self.auto.width
         known = self.compatible
         last, size = [0] * (n + 1), [0] * (n + 1)
-        state, length = 0, 0
-        for i in range(n):
+        state, length, first = 0, 0, 0
+        if n > HEAD and (head := self.heads.get(raw[:HEAD])) is not None:  # a prefix's table is the same in every word
+            last[: HEAD + 1], size[: HEAD + 1], state, length = head
+            first = HEAD
+        for i in range(first, n):
+            if i == HEAD and not first:
+                if len(self.heads) >= KEPT_HEADS:
+                    self.heads.clear()
+                self.heads[raw[:HEAD]] = (last[: HEAD + 1], size[: HEAD + 1], state, length)
             c = raw[i] if i < n - 1 else raw[i] + 256
             while state and state * width + c not in step:
                 state = link[state]
@@ -208,34 +220,38 @@ class PrefixBpe:
             end -= size[end]
         return ids[::-1]
 
-    def word(self, word: str) -> tuple[str, int, str, tuple[int, ...]]:
-        """(ids as text, number, tokens as text, ids) of a pre-token; kept for the next time."""
+    def word(self, word: str) -> tuple[str, int, str]:
+        """(ids as text, number, tokens as text) of a pre-token; kept for the next time."""
+        if len(self.kept) >= KEPT_WORDS:  # words in use move on to the next generation
+            self.kept, self.older = {}, self.kept
+        if (found := self.older.get(word)) is not None:
+            self.kept[word] = found
+            return found
         ids = self.encode_word(word)
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        found = (" ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids]), tuple(ids))
+        found = (" ".join(map(str, ids)), len(ids), " ".join([self.names[i] for i in ids]))
         if len(word) <= 64:
             self.kept[word] = found
         return found
 
-    def found(self, text: str | None) -> list[tuple[str, int, str, tuple[int, ...]]]:
+    def found(self, text: str | None) -> list[tuple[str, int, str]]:
         """The encodings of a text's pre-tokens and special tokens, in order."""
         if not text:
             return []
         parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-        out, get = [], self.kept.get
+        out = []
         for part in parts:
             if part in self.special:
                 i = self.special[part]
-                out.append((str(i), 1, part, (i,)))
+                out.append((str(i), 1, part))
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+            get = self.kept.get  # of the generation at the start; word() knows the present one
             out += [get(w) or self.word(w) for w in self.words.findall(part.lower())]
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for x in self.found(text) for i in x[3]]
+        return [int(i) for x in self.found(text) for i in x[0].split(" ")]
 
     def decode(self, ids: list[int] | None) -> str:
         """The tokens joined by spaces: the file names no decoder."""
@@ -296,7 +312,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         ids = " ".join([x[0] for x in found])
         tokens = " ".join([x[2] for x in found])
         out = sum([x[1] for x in found]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
-        return (*out, [i for x in found for i in x[3]]) if with_ids else out
+        return (*out, np.array(ids.split(" ") if ids else [], np.int32)) if with_ids else out
 
     fields = [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
     fields += [("ids", pa.list_(pa.int32()), "array<int>")] if with_ids else []
