@@ -9,8 +9,9 @@ of a hash of what stands there (three characters from the walk's place). The
 likeness of two fingerprints is the part of time in which they agree, each sample
 standing for its stretch of time, corrected for agreement by chance.
 
-Near copies are found by bit-sampled banding: a band is a fixed draw of samples;
-texts with an equal band meet and are verified on their whole fingerprints.
+Near copies are found by bit-sampled banding: a band draws samples from the whole
+fingerprint, by their stretches of time; texts with an equal band meet and are
+verified on their whole fingerprints.
 
 Defined cases: null text is empty and has the fingerprint ''; equal texts have
 equal fingerprints; documents are ordered by (id descending, text), null ids
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import parts, small_batches, staged
-from .jaccard import BLOCK, by_node, clusters, in_units, joined
+from .jaccard import BLOCK, band_keys, bands_for, by_node, clusters, in_units, joined
 
 CLASSES, PERIOD, PER_OCTAVE, OCTAVES = 32, 256, 32, 36
 PIECE = 300_000
@@ -229,19 +230,51 @@ def alike(prints: list[str], first: np.ndarray, second: np.ndarray, least: float
     return np.concatenate(left), np.concatenate(right)
 
 
-def near_copies(prints: DataFrame, least: float = 0.8, bands: int = 24, per_band: int = 6) -> DataFrame:
+def draws(bands: int, per_band: int) -> np.ndarray:
+    """(samples, bands * per_band): row n - 1 has the samples that the bands of a fingerprint of n samples hold.
+
+    A place of a band draws from all samples that a fingerprint has, each by its
+    stretch of time (the least of exponential times). Of two fingerprints it draws
+    the same sample, with equal bits, with probability the part of time in which they
+    agree: wherever the edits are, and with unequal lengths.
+    """
+    width = _tables()["width"]
+    times = np.random.default_rng(7).exponential(size=(len(width), bands * per_band)) / width[:, None]
+    least = np.minimum.accumulate(times)
+    at = np.where(times == least, np.arange(len(width))[:, None], 0)
+    return np.maximum.accumulate(at)
+
+
+def banded(prints: list[str], table: np.ndarray, bands: int, per_band: int) -> np.ndarray:
+    """(fingerprints, bands) keys of fingerprints that are not empty."""
+    values = np.zeros((len(prints), bands * per_band), np.uint64)
+    for k, p in enumerate(prints):
+        at = table[len(p) - 1]
+        values[k] = at * 256 + np.frombuffer(p.encode(), np.uint8)[at]
+    return band_keys(values, bands, per_band)
+
+
+def near_copies(prints: DataFrame, least: float = 0.8, recall: float = 0.99999, per_band: int = 8) -> DataFrame:
     """prints(doc_id, fingerprint) -> doc_id, copy_id, class_id, n_links, as the Jaccard join has them.
 
-    A band is a fixed draw of the first 96 samples. Equal fingerprints are one
+    Bands hold draws() from the whole of a fingerprint; there are as many as let a pair
+    at ``least`` share one with probability ``recall``. Equal fingerprints are one
     class; classes that share a band are one cluster, and all pairs of a cluster
     are verified in blocks. Empty texts are alike only to each other.
     """
-    rng = np.random.default_rng(7)
-    draws = [sorted(rng.choice(96, per_band, replace=False).tolist()) for _ in range(bands)]
+    small_batches(prints.sparkSession)
+    bands = bands_for(1 / 16 + 15 / 16 * least, recall, per_band)
     prints = prints.select("doc_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).withColumn("node", F.xxhash64("fingerprint"))
-    key = lambda k, d: F.xxhash64(F.lit(k), F.concat(*[F.substring("fingerprint", i + 1, 1) for i in d]))
     classes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("fingerprint").alias("fingerprint")), "classes")
-    keyed = classes.where("fingerprint <> ''").select("node", F.array(*[key(k, d) for k, d in enumerate(draws)]).alias("bands"))
+
+    def run(batches):
+        table = draws(bands, per_band)
+        for batch in batches:
+            keys = banded(batch.column("fingerprint").to_pylist(), table, bands, per_band)
+            at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(at, pa.array(keys.reshape(-1)))], names=["node", "bands"])
+
+    keyed = staged(classes.where("fingerprint <> ''").select("node", "fingerprint").mapInArrow(run, "node long, bands array<long>"), "bands")
     found = staged(clusters(keyed), "clusters")
     sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = found.join(sizes, "cluster").join(classes, "node")
