@@ -9,6 +9,11 @@ numbers keep their brand digit and Luhn validity, IBANs get right check digits,
 phones keep the country code, emails of one domain share a new domain, names
 agree with the title's gender and with the script, surname by surname.
 
+Entities side by side stay apart: a number ends where another entity begins, a
+phone number after its country's count of digits, an IBAN after its country's
+length. Where a country's phone numbers vary in length, a plain number behind one
+that still fits is taken as part of it.
+
 Distinctness is checked over the whole corpus: if two entities of a kind get one
 surrogate, or a surrogate is an entity that occurs, the later one (by canonical
 form) is drawn again with the next attempt, until none collides.
@@ -34,15 +39,55 @@ TITLES = {
 }
 _ALL = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
 TITLE = rf"(?<![\p{{L}}])(?:{_ALL})\.? "
-NAME = TITLE + r"\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 SECRET = r"(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_.~-]{8,}[\"']?)"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?: \d{4}){2,3}(?: \d{1,3})?|\d{4}(?:-\d{4}){2,3}(?:-\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
-PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,11}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)"
+LOCAL = r"\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
+_LONG = r"\d{13,19}|\d{4}(?: \d{4}){2,3}+(?! \d{4}(?!\d))|\d{4}(?:-\d{4}){2,3}|\d{4}[ -]\d{6}[ -]\d{5}"
+#: What a number does not take in across a separator: the beginning of another entity.
+NEXT = rf"(?!{IP}|{SSN}|{LOCAL}|(?:{_LONG})(?!\d)|\d+[\p{{L}}\p{{N}}._%+-]*@)"
+CARD = rf"(?<!\d)(?:\d{{13,19}}|\d{{4}}(?: \d{{4}}){{2,3}}(?: {NEXT}\d{{1,3}}(?![.-]?\d))?|\d{{4}}(?:-\d{{4}}){{2,3}}(?:-\d{{1,3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?!\d)"
+#: IBAN lengths by country (those of the registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+_IBAN_NEXT = rf"(?!{IP}|{SSN}|{LOCAL}|{EMAIL}|{SECRET}|(?:{_IBANS})(?![\p{{L}}\p{{N}}]))"
+#: An IBAN of its country's length, else any of the form.
+IBAN = rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}\d)(?:(?:{_IBANS})(?![\p{{L}}\p{{N}}])|[A-Z]{{2}}\d{{2}}(?:(?: {_IBAN_NEXT})?[A-Z0-9]{{4}}){{2,7}}(?:(?: {_IBAN_NEXT})?[A-Z0-9]{{1,3}})?(?![\p{{L}}\p{{N}}]))"
+#: Least and most digits of a phone number after the country code.
+PHONE_DIGITS = {
+    (10, 10): "1 7 30 52 57 90 91 92", (8, 8): "45 47 65 371 372 373 852 853", (9, 9): "33 34 48 51 56 94 213 251 254 255 256 351 380 420 421 966", (8, 9): "32 36 40 41 61 84 353 359 370 385 386 971 972",
+    (9, 10): "44 31 46 60 62 63 66 81", (8, 10): "20 27 64 82 98", (10, 11): "54 55 86",
+}
+
+
+#: No IP address begins, but for eight digits in pairs.
+_NO_IP = rf"(?!(?!\d\d(?:\.\d\d){{3}}(?!\d)){IP})"
+
+
+def _digits(least: int, most: int) -> str:
+    return rf"\d(?:(?:[ .-]{_NO_IP})?\d){{{least - 1}}}(?:(?:[ .-]{NEXT})?\d){{0,{most - least}}}(?!\d)"
+
+
+def _national(least: int, most: int) -> str:
+    """``least`` to ``most`` digits; those in parentheses count, without a leading 0."""
+    area = [rf"\(0?\d{{{k}}}\)[ .-]?{_digits(least - k, most - k)}" for k in (2, 3, 4)]
+    return "(?:" + "|".join([_digits(least, most), rf"\(0\)[ .-]?{_digits(least, most)}", *area]) + ")"
+
+
+_CODE_END = rf"(?:[ .-]{_NO_IP})?"
+_KNOWN = "|".join(rf"(?:{c.replace(' ', '|')}){_CODE_END}{_national(*n)}" for n, c in PHONE_DIGITS.items())
+#: By the country's count of digits, else 6 to 12 digits.
+_ANY = rf"\d{{1,3}}{_CODE_END}(?:\(\d{{1,4}}\)[ .-]?)?{_digits(6, 12)}"
+PHONE = rf"(?<![\d+])(?:\+(?:{_KNOWN}|{_ANY})|\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]{NEXT}\d{{3,4}}|{LOCAL})(?!\d)"
+#: Words of a name do not begin another entity.
+_WORD = rf"(?!{EMAIL}|{SECRET}|{IBAN}|{TITLE}\p{{Lu}})\p{{Lu}}[\p{{L}}'’-]+"
+NAME = rf"{TITLE}{_WORD}(?: {_WORD}){{0,2}}"
 ENTITY = "|".join([EMAIL, SECRET, IBAN, IP, SSN, PHONE, CARD, NAME])
 #: Texts without any of these hold no entity.
 GATE = rf"[0-9@=:]|{TITLE}"
