@@ -12,8 +12,9 @@ most ``MAX_CELLS``; beyond that the same sweeps run as joins of staged tables.
 Defined cases: null values of a dimension are the value ``(none)``; documents
 without tokens have probability 0 if their cell has no tokens at all, else their
 cell's; a target value that does not occur is ignored, a value without target
-keeps its share of the tokens; repeated rows count and are drawn each by their
-id; an empty table gives no rows. Drawing is by a hash of the id and the seed.
+keeps its share of the tokens; rows that repeat an id share its draw; rows
+without an id are drawn each by their text (equal texts share a draw); an empty
+table gives no rows. Drawing is by a hash of the id, or of the text, and the seed.
 """
 
 from __future__ import annotations
@@ -126,8 +127,9 @@ def _tokens(text_col: str):
     return F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORDS)).cast("long")
 
 
-def _draw(id_col: str, seed: int):
-    return F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+def _draw(id_col: str, seed: int, text_col: str):
+    h = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, F.lit(seed))).otherwise(F.xxhash64(F.col(text_col).cast("string"), F.lit(seed)))
+    return F.pmod(h, F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
 def sample(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: float = 0.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +138,7 @@ def sample(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: f
     cells = docs.select(*_dims(wanted), _tokens(text_col).alias("n")).groupBy(*dims).agg(F.sum("n").alias("tokens"))
     rates = cell_rates(staged(cells, "cells"), dims, wanted, part).select(*[F.col(d).alias(f"_mix_{d}") for d in dims], F.col("p").alias("_mix_p"))
     match = [F.coalesce(F.col(d).cast("string"), F.lit("(none)")) == F.col(f"_mix_{d}") for d in dims]
-    return docs.join(rates, match).where(_draw(id_col, seed) < F.col("_mix_p")).select(*docs.columns)
+    return docs.join(rates, match).where(_draw(id_col, seed, text_col) < F.col("_mix_p")).select(*docs.columns)
 
 
 def mix(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: float = 0.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,9 +151,10 @@ def mix(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: floa
         F.col(id_col).alias("doc_id"),
         *_dims(wanted),
         _tokens(text_col).alias("n_tokens"),
+        _draw(id_col, seed, text_col).alias("_draw"),
     )
     one = staged(one, "mixing")
     cells = one.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens"))
     rated = one.join(cell_rates(cells, dims, wanted, part), dims, "left")
     p = F.coalesce("p", F.lit(0.0))
-    return rated.select("doc_id", *dims, "n_tokens", F.coalesce("rate", F.lit(0.0)).alias("rate"), p.alias("p"), F.coalesce("weight", F.lit(0.0)).alias("weight"), (_draw("doc_id", seed) < p).alias("selected"))
+    return rated.select("doc_id", *dims, "n_tokens", F.coalesce("rate", F.lit(0.0)).alias("rate"), p.alias("p"), F.coalesce("weight", F.lit(0.0)).alias("weight"), (F.col("_draw") < p).alias("selected"))
