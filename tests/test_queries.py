@@ -9,7 +9,7 @@ from tickweave.operators.checks import verdict
 from tickweave.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-SKIPPED = {"lob_wide", "ordering_ab", "replay_findings", "snapshot_validate", "pinned_prices"}  # covered by their parts; slow
+SKIPPED = {"lob_wide", "ordering_ab", "snapshot_validate", "pinned_prices"}  # covered by their parts; slow
 
 
 @pytest.fixture(scope="module")

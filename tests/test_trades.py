@@ -1,10 +1,11 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.market import ns, tape, write_log
 from tickweave.operators import trades
-from tickweave.operators.blocks import carried_forward, previous, running_max
+from tickweave.operators.blocks import carried, running_max, ticks
 from tickweave.sources import messages as src
 
 
@@ -30,10 +31,11 @@ def test_breaks_and_corrections(spark, tmp_path):
 def test_running_functions_do_not_depend_on_blocks(spark, blocks):
     rows = [(k, None if k % 4 == 0 else float(k * 7 % 11)) for k in range(60)]
     df = spark.createDataFrame(rows, "k long, v double").repartition(5).withColumn("b", F.floor(F.col("k") * blocks / 60))
-    out = running_max(carried_forward(previous(df, "v", ["k"], "b", "p"), "v", ["k"], "b", "c"), "v", ["k"], "b", "m").orderBy("k").toPandas()
+    out = running_max(ticks(carried(df, ["v"], ["k"], "b"), "v", ["k"], "b", "t"), "v", ["k"], "b", "m").orderBy("k").toPandas()
     v = pd.Series([x for _, x in rows], dtype=float)
-    for name, want in (("p", v.shift()), ("c", v.ffill()), ("m", v.cummax().ffill())):
-        assert out[name].astype(float).fillna(-1).tolist() == want.fillna(-1).tolist(), name
+    tick = np.sign(v.diff()).replace(0, np.nan).ffill()
+    for name, want in (("v_was", v.ffill().shift()), ("v_filled", v.ffill()), ("m", v.cummax().ffill()), ("t", tick)):
+        assert out[name].astype(float).fillna(-9).tolist() == want.fillna(-9).tolist(), name
 
 
 def signs(spark, tmp_path, futures, how):

@@ -1,44 +1,20 @@
-"""Ordered functions of a tape: tick rule, trade signs, fills, returns."""
+"""What a row of the tape says about its own sign."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
-
-EPS = 1e-12
-
-
-def ordered(*keys: str) -> WindowSpec:
-    """The consolidated tape in the order of ``keys`` (totally ordered)."""
-    return Window.orderBy(*keys)
-
-
-def tick_sign(price: Column, w: WindowSpec) -> Column:
-    """Sign of the change from the row before; no change carries the last sign, 0 before any."""
-    step = F.signum(price - F.lag(price).over(w))
-    return F.nullif(step, F.lit(0.0))
-
-
-def carried(step: Column, w: WindowSpec) -> Column:
-    return F.coalesce(F.last(step, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)).cast("int")
-
-
-def fill_forward(c: Column, w: WindowSpec) -> Column:
-    return F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-
-
-def log_return_bps(price: Column, w: WindowSpec) -> Column:
-    x = F.when(price > EPS, F.ln(price))
-    return (x - F.lag(x).over(w)) * 1e4
 
 
 def declared_sign(how: str, aggressor: Column | None = None, side: Column | None = None, buy_label: str = "Bid") -> Column:
-    """The sign that a row states itself, or null: then the tick rule decides."""
+    """The sign that a row states itself, or null: then the tick rule decides.
+
+    By "side" only the two labels say something: ``buy_label`` a buy, the opposite one a sell.
+    """
     if how == "aggressor" and aggressor is not None:
         a = F.lower(F.trim(aggressor))
         return F.when(a == "buy", 1).when(a == "sell", -1)
     if how == "side" and side is not None:
         s = F.trim(side)
-        return F.when(s == buy_label, 1).when(s.isNotNull() & (s != ""), -1)
+        return F.when(s == buy_label, 1).when(s == ("Ask" if buy_label == "Bid" else "Bid"), -1)
     return F.lit(None).cast("int")

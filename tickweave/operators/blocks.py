@@ -2,7 +2,8 @@
 
 The order is cut into blocks (a function of its leading key, such as the hour).
 Rows are windowed within blocks; what a block hands on is one summary row, and
-only the summaries (one a block) are windowed together.
+only the summaries (one a block) are windowed together. All functions of one
+order share the summaries, so the rows are read twice however many there are.
 """
 
 from __future__ import annotations
@@ -11,37 +12,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _with_before(df: DataFrame, keys: list[str], block: str, handed: Column, name: str, running) -> DataFrame:
-    """df with ``name``: ``running`` (over the earlier blocks of the same keys) of what each block hands on."""
-    w = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    each = df.groupBy(*keys, block).agg(handed.alias("_hand"))
-    before = each.select(*keys, block, running(F.col("_hand")).over(w).alias(name))
+def join_back(df: DataFrame, keys: list[str], block: str, before: DataFrame) -> DataFrame:
+    """df with the other columns of before(keys, block), one row a block."""
     match = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in [*keys, block]]
-    return df.alias("_l").join(before.alias("_r"), match, "left").select("_l.*", f"_r.{name}")
+    return df.alias("_l").join(before.alias("_r"), match, "left").select("_l.*", *[f"_r.{c}" for c in before.columns if c not in (*keys, block)])
 
 
-def previous(df: DataFrame, value: str, order: list[str], block: str, out: str, keys: list[str] = ()) -> DataFrame:
-    """Adds ``out``: value of the row before (null for the first)."""
-    keys = list(keys)
-    w = Window.partitionBy(*keys, block).orderBy(*order)
-    last = F.max(F.struct(*order, value))[value]
-    got = _with_before(df, keys, block, F.struct(last.alias("v")), "_before", lambda c: F.last(c))
-    first = F.row_number().over(w) == 1
-    return got.withColumn(out, F.when(first, F.col("_before.v")).otherwise(F.lag(value).over(w))).drop("_before")
+def with_before(df: DataFrame, keys: list[str], block: str, handed: dict[str, tuple[Column, object]]) -> DataFrame:
+    """df with a column for each of ``handed``: name -> (what a block hands on, an aggregate; how earlier blocks' values run together)."""
+    w = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    each = df.groupBy(*keys, block).agg(*[one.alias(name) for name, (one, _) in handed.items()])
+    return join_back(df, keys, block, each.select(*keys, block, *[running(F.col(name)).over(w).alias(name) for name, (_, running) in handed.items()]))
+
+
+def last_value(value: str, order: list[str]) -> Column:
+    """A block's last value that is not null."""
+    return F.max(F.when(F.col(value).isNotNull(), F.struct(*order, value)))[value]
+
+
+def latest(c: Column) -> Column:
+    return F.last(c, ignorenulls=True)
 
 
-def carried_forward(df: DataFrame, value: str, order: list[str], block: str, out: str, keys: list[str] = ()) -> DataFrame:
-    """Adds ``out``: the last value that is not null, up to and with the row."""
+def in_block(keys: list[str], block: str, order: list):
+    return Window.partitionBy(*keys, block).orderBy(*order)
+
+
+def upto(w):
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def carried(df: DataFrame, values: list[str], order: list[str], block: str, keys: list[str] = ()) -> DataFrame:
+    """Adds for each value v ``v_filled`` (the last one that is not null, up to and with the row) and ``v_was`` (the same of the row before)."""
     keys = list(keys)
-    w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col(value).isNotNull(), F.struct(*order, value)))[value]
-    got = _with_before(df, keys, block, last, "_before", lambda c: F.last(c, ignorenulls=True))
-    return got.withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("_before"))).drop("_before")
+    w = in_block(keys, block, order)
+    got = with_before(df, keys, block, {f"_{v}": (last_value(v, order), latest) for v in values})
+    got = got.withColumns({f"{v}_filled": F.coalesce(latest(F.col(v)).over(upto(w)), F.col(f"_{v}")) for v in values})
+    was = {f"{v}_was": F.when(F.row_number().over(w) == 1, F.col(f"_{v}")).otherwise(F.lag(f"{v}_filled").over(w)) for v in values}
+    return got.withColumns(was).drop(*[f"_{v}" for v in values])
+
+
+def ticks(df: DataFrame, price: str, order: list[str], block: str, out: str) -> DataFrame:
+    """Adds ``out``: the sign of the last change of price from one row to the next (a null price is no change), null before any."""
+    w, blocks = in_block([], block, order), Window.orderBy(block)
+    change = lambda a, b: F.nullif(F.signum(a - b), F.lit(0.0))
+    own = df.withColumns({"_nth": F.row_number().over(w), "_step": change(F.col(price), F.lag(price).over(w))})
+    end = F.struct(*order, price)
+    each = own.groupBy(block).agg(F.min(end)[price].alias("_a"), F.max(end)[price].alias("_b"), last_value("_step", order).alias("_s"))
+    each = each.withColumn("_last", F.lag("_b").over(blocks))
+    each = each.withColumn("_s", F.coalesce("_s", change(F.col("_a"), F.col("_last"))))
+    each = each.select(block, "_last", latest(F.col("_s")).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    got = join_back(own, [], block, each)
+    step = F.when(F.col("_nth") == 1, change(F.col(price), F.col("_last"))).otherwise(F.col("_step"))
+    return got.withColumn("_step", step).withColumn(out, F.coalesce(latest(F.col("_step")).over(upto(w)), F.col("_before"))).drop("_nth", "_step", "_last", "_before")
 
 
 def running_max(df: DataFrame, value: str, order: list, block: str, out: str, keys: list[str] = ()) -> DataFrame:
     """Adds ``out``: the greatest value up to and with the row."""
     keys = list(keys)
-    w = Window.partitionBy(*keys, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    got = _with_before(df, keys, block, F.max(value), "_before", F.max)
-    return got.withColumn(out, F.greatest(F.max(value).over(w), F.col("_before"))).drop("_before")
+    got = with_before(df, keys, block, {"_before": (F.max(value), F.max)})
+    return got.withColumn(out, F.greatest(F.max(value).over(upto(in_block(keys, block, order))), F.col("_before"))).drop("_before")

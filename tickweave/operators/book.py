@@ -7,10 +7,12 @@ generations; within one, what remains is the size less the reductions so far.
 Levels: each (feed, side, price) gets the differences of its orders, and assigned
 sizes of price-level feeds; a running sum within the stretch since the last
 assignment is the level. Prices hit by a trade without an order are folded in
-event order by (feed, price), the only place that needs a fold.
+event order by (feed, price).
 
-A modify with an invalid new price or size and another reference leaves its own
-reference only if the old one is gone: such feeds go through the sequential fold.
+A modify with an invalid new price or size and another reference takes its own
+reference away only if the old one is not resting (step IFGONE). Which of those
+steps take effect is decided by a fold over the steps of the references that such
+modifies name, and no others; all else stays with the windows.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.operators.fold import fold_book
 from tickweave.operators.ordering import ORDER
 
 EPS = 1e-9
@@ -36,7 +37,7 @@ def valid() -> Column:
 
 
 def order_steps(ordered: DataFrame) -> DataFrame:
-    """Events as steps of order keys: op SET, DEL or RED of (f, ref), sub 0 before 1 within an event."""
+    """Events as steps of order keys: op SET, DEL, IFGONE or RED of (f, ref), sub 0 before 1 within an event."""
     ev = ordered.where(F.col("code").isin("ADD", "CANCEL", "MODIFY", "TRADE")).withColumn("_ok", F.coalesce(valid(), F.lit(False)))
     step = lambda op, ref, sub: F.struct(F.lit(op).alias("op"), F.col(ref).alias("key"), F.lit(sub).alias("sub"))
     none = F.array().cast("array<struct<op:string,key:string,sub:int>>")
@@ -46,16 +47,56 @@ def order_steps(ordered: DataFrame) -> DataFrame:
         .when(F.col("code") == "CANCEL", F.array(step("DEL", "ref", 0)))
         .when(F.col("code") == "TRADE", F.array(step("RED", "ref", 0)))
         .when(same, F.when(F.col("_ok"), F.array(step("SET", "ref", 1))).otherwise(F.array(step("DEL", "ref", 0))))
-        .otherwise(F.when(F.col("_ok"), F.array(step("DEL", "prev_ref", 0), step("SET", "ref", 1))).otherwise(F.array(step("DEL", "prev_ref", 0))))
+        .otherwise(F.when(F.col("_ok"), F.array(step("DEL", "prev_ref", 0), step("SET", "ref", 1))).otherwise(F.array(step("DEL", "prev_ref", 0), step("IFGONE", "ref", 1))))
     )
     # A missing reference never matches: each such step is a key of its own, so they do not meet in one task.
     key = F.coalesce("_s.key", F.concat(F.lit("\0"), F.col("arrival").cast("string")))
-    return ev.withColumn("_s", F.explode(steps)).select("f", "code", "side", "price", "qty", "ref", "maintain", "ts_ns", "eff_ts", *ORDER, "_s.op", key.alias("key"), F.col("_s.key").isNull().alias("keyless"), "_s.sub")
+    return ev.withColumn("_s", F.explode(steps)).select("f", "code", "side", "price", "qty", "ref", "maintain", "ts_ns", "eff_ts", *ORDER, "_s.op", key.alias("key"), F.col("_s.key").isNull().alias("keyless"), "_s.sub", same.alias("same"))
 
 
-def lifecycle(ordered: DataFrame) -> DataFrame:
-    """Steps with ``before`` (size of the order just before: 0 if it was not resting), ``after``, and the side and price it rested at."""
+FIRED = "f string, k1 long, k2 long, arrival long"
+
+
+def _fired(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The IFGONE steps of one feed that take effect, from the steps of the references that they touch."""
+    rest: dict[str, float] = {}
+    out, met = [], False
+    for r in pdf.sort_values([*ORDER, "sub"], kind="stable").itertuples(index=False):
+        size = rest.get(r.key)
+        if r.op == "SET":
+            rest[r.key] = r.qty
+        elif r.op == "RED":
+            left = 0.0 if size is None else size - (0.0 if pd.isna(r.qty) else r.qty)
+            if left > EPS:
+                rest[r.key] = left
+            else:
+                rest.pop(r.key, None)
+        elif r.op == "DEL":
+            met = rest.pop(r.key, None) is not None
+        elif not met:
+            rest.pop(r.key, None)
+            out.append((r.f, r.k1, r.k2, r.arrival))
+    return pd.DataFrame(out, columns=["f", *ORDER])
+
+
+def resolved(ordered: DataFrame) -> DataFrame:
+    """order_steps() with IFGONE decided: DEL if it takes effect, else left out. One short job asks whether there is any."""
     steps = order_steps(ordered)
+    odd = ordered.where(_odd())
+    if odd.isEmpty():
+        return steps
+    touched = odd.select("f", F.explode(F.array("prev_ref", "ref")).alias("key")).where("key is not null").distinct()
+    fired = steps.join(touched, ["f", "key"], "left_semi").select("f", "key", "op", "qty", *ORDER, "sub").groupBy("f").applyInPandas(_fired, FIRED)
+    at = steps.join(fired.withColumn("_fired", F.lit(True)), ["f", *ORDER], "left").where("op <> 'IFGONE' or (_fired and not keyless)")
+    return at.withColumn("op", F.when(F.col("op") == "IFGONE", "DEL").otherwise(F.col("op"))).select(steps.columns)
+
+
+def lifecycle(ordered: DataFrame) -> DataFrame:
+    """Steps with ``before`` (size of the order just before: 0 if it was not resting), ``after``, the side and price it rested at.
+
+    ``killed_before``: a cancel or trade took the order away, and nothing has set its reference since.
+    """
+    steps = resolved(ordered)
     w = Window.partitionBy("f", "key").orderBy(*ORDER, "sub")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     gen = Window.partitionBy("f", "key", "gen").orderBy(*ORDER, "sub").rowsBetween(Window.unboundedPreceding, 0)
@@ -73,13 +114,10 @@ def lifecycle(ordered: DataFrame) -> DataFrame:
     left = F.when(F.col("gen") == 0, 0.0).otherwise(F.col("_size") - F.col("_taken"))
     cut = cut.withColumn("after", F.when(left > EPS, left).otherwise(0.0))
     lagged = lambda c: F.lag(c).over(w)
-    return cut.withColumns(
-        {
-            "before": F.when(F.col("keyless"), 0.0).otherwise(F.coalesce(lagged("after"), F.lit(0.0))),
-            "was_side": lagged("_side"), "was_price": lagged("_price"),
-            "killed_before": F.coalesce(F.max(F.when((F.col("code").isin("CANCEL", "TRADE")) & (F.col("after") <= 0), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        }
-    ).drop("_size", "_taken")
+    cut = cut.withColumns({"before": F.when(F.col("keyless"), 0.0).otherwise(F.coalesce(lagged("after"), F.lit(0.0))), "was_side": lagged("_side"), "was_price": lagged("_price")})
+    kill = F.col("code").isin("CANCEL", "TRADE") & (F.col("before") > 0) & (F.col("after") <= 0)
+    state = F.last(F.when(is_set, 0).when(kill, 1), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return cut.withColumn("killed_before", F.coalesce(state, F.lit(0))).drop("_size", "_taken")
 
 
 def level_deltas(life: DataFrame) -> DataFrame:
@@ -136,23 +174,18 @@ def _fold_prices(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["f", "side", "price", *ORDER, "sub", "eff_ts", "level"])
 
 
-def levels(ordered: DataFrame, fallback: bool = True) -> DataFrame:
+def levels(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
     """Every change of a level: f, side, price, order, sub, eff_ts, level (0 or less: gone).
 
-    One short job asks whether any feed or price can need a fold; without one
-    the plan has windows only.
+    One short job asks whether any trade without an order can hit a price; without one
+    the plan has windows only. ``life``: lifecycle(ordered), if it is at hand.
     """
     cols = ["f", "side", "price", *ORDER, "sub", "eff_ts", "level"]
-    asked = ordered.agg(F.coalesce(F.max(_odd()), F.lit(False)), F.coalesce(F.max((F.col("code") == "TRADE") & F.col("price").isNotNull()), F.lit(False))).first()
-    if not (fallback and asked[0]):
-        return _window_levels(ordered, asked[1]).select(*cols)
-    odd = odd_feeds(ordered)
-    plain, rest = ordered.join(odd, "f", "left_anti"), ordered.join(odd, "f", "left_semi")
-    return _window_levels(plain, asked[1]).select(*cols).unionByName(fold_book(rest).select(*cols))
+    priced = ordered.where((F.col("code") == "TRADE") & F.col("price").isNotNull())
+    return _window_levels(ordered, lifecycle(ordered) if life is None else life, not priced.isEmpty()).select(*cols)
 
 
-def _window_levels(plain: DataFrame, priced_trades: bool) -> DataFrame:
-    life = lifecycle(plain)
+def _window_levels(plain: DataFrame, life: DataFrame, priced_trades: bool) -> DataFrame:
     base = ["f", "side", "price", *ORDER, "sub", "eff_ts", "delta", "whole", "kind"]
     deltas = level_deltas(life).withColumn("kind", F.lit("delta"))
     fin = F.when(F.col("qty").isNotNull() & ~F.isnan("qty") & (F.col("code") == "LEVEL_SET"), F.col("qty")).otherwise(0.0)
@@ -177,30 +210,35 @@ def _summed(moves: DataFrame) -> DataFrame:
     return moves.withColumn("_set", F.sum(F.when(F.col("kind") == "assign", 1).otherwise(0)).over(w)).withColumn("level", F.sum("delta").over(stretch))
 
 
-def odd_feeds(ordered: DataFrame) -> DataFrame:
-    """Feeds that need the sequential fold: a modify to an invalid price or size under another reference."""
-    return ordered.where(_odd()).select("f").distinct()
-
-
 def _odd() -> Column:
     return (F.col("code") == "MODIFY") & ~F.coalesce(valid(), F.lit(False)) & ~F.col("prev_ref").eqNullSafe(F.col("ref"))
 
 
-def resting(ordered: DataFrame) -> DataFrame:
+def resting(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
     """Orders that rest at the end: f, ref, side, price, size, born (clock of the SET)."""
-    last = lifecycle(ordered).groupBy("f", "key").agg(F.max(F.struct(*ORDER, "sub", "after", "_side", "_price", "keyless")).alias("x"), F.max(F.when(F.col("op") == "SET", F.struct(*ORDER, "ts_ns")))["ts_ns"].alias("born"))
+    life = lifecycle(ordered) if life is None else life
+    last = life.groupBy("f", "key").agg(F.max(F.struct(*ORDER, "sub", "after", "_side", "_price", "keyless")).alias("x"), F.max(F.when(F.col("op") == "SET", F.struct(*ORDER, "ts_ns")))["ts_ns"].alias("born"))
     return last.where("x.after > 0 and not x.keyless").select("f", F.col("key").alias("ref"), F.col("x._side").alias("side"), F.col("x._price").alias("price"), F.col("x.after").alias("size"), "born")
 
 
+def dual_feeds(ordered: DataFrame) -> DataFrame:
+    """f of feeds that show both orders and price levels."""
+    orders = ordered.where(F.col("code").isin("ADD", "MODIFY") & F.coalesce(valid(), F.lit(False))).select("f")
+    return orders.intersect(feeds_with_levels(ordered).select("f"))
+
+
 def replay_stats(ordered: DataFrame) -> DataFrame:
-    """One row of counters, as longs."""
-    life = lifecycle(ordered)
-    feeds = feeds_with_levels(ordered)
+    """One row of counters, as longs: one pass over the events, one shuffle of their steps by event."""
     n = lambda code: F.count(F.when(F.col("code") == code, 1))
     events = ordered.agg(F.count("*").alias("events"), *[n(c).alias(f"n_{c.lower()}") for c in ("ADD", "CANCEL", "MODIFY", "TRADE", "LEVEL_SET", "LEVEL_DEL")], F.count(F.when((F.col("code") == "MODIFY") & ~F.col("maintain"), 1)).alias("modify_reprioritized"), F.count(F.when(F.col("code").isin("LEVEL_SET", "LEVEL_DEL"), 1)).alias("mbp_level_events"))
-    gone = life.where("code = 'MODIFY' and op = 'DEL'").select("f", *ORDER, (F.col("before") > 0).alias("moved"))
-    again = life.where("op = 'SET' and before > 0").join(gone, ["f", *ORDER], "left")
-    dup = again.agg(F.count(F.when((F.col("code") == "ADD") | F.col("moved"), 1)).alias("dup_add"))
-    lost = life.agg(F.count(F.when((F.col("code") == "CANCEL") & (F.col("before") <= 0), 1)).alias("cancel_no_order"))
-    refless = refless_trades(life, feeds).agg(F.count(F.when(F.col("on_level"), 1)).alias("trade_on_mbp_skipped"), F.count(F.when(~F.col("on_level"), 1)).alias("trade_no_ref"))
-    return events.join(dup).join(lost).join(refless)  # one row each
+    met = F.col("before") > 0
+    each = lifecycle(ordered).groupBy("f", *ORDER, "code").agg(F.max(F.when(F.col("op") == "SET", met)).alias("onto"), F.max(F.when(F.col("op") != "SET", met)).alias("took"))
+    first = feeds_with_levels(ordered).select("f", "first_level")
+    lost = (F.col("code") == "TRADE") & ~F.col("took")
+    shown = F.coalesce(F.struct(*ORDER) > F.col("first_level"), F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    counted = each.join(first, "f", "left").agg(
+        count(F.col("onto") & ((F.col("code") == "ADD") | F.col("took"))).alias("dup_add"), count((F.col("code") == "CANCEL") & ~F.col("took")).alias("cancel_no_order"),
+        count(lost & shown).alias("trade_on_mbp_skipped"), count(lost & ~shown).alias("trade_no_ref"),
+    )
+    return events.join(counted)  # one row each

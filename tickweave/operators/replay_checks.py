@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,38 +12,44 @@ from tickweave.operators import book, ladder
 from tickweave.operators.checks import finding, findings
 from tickweave.operators.ladder import EPS, standing
 from tickweave.operators.ordering import ORDER, ordered_events
+from tickweave.staging import staged
 
 #: Thresholds of the checks.
 EARLY_NS, EARLY_SHARE, ORPHAN_SEVERE, PRESENT_SEVERE, PRESENT_FATAL, GROWTH = 300 * 10**9, 0.8, 0.01, 0.05, 0.25, 5.0
 
 
-def orphans(ordered: DataFrame) -> DataFrame:
-    """Removals and trades without a resting order: f, code, ref, order, ts_ns, add_present, on_other_feed."""
-    life = book.lifecycle(ordered)
-    lost = book.refless_trades(life, book.feeds_with_levels(ordered)).where("not on_level").select("f", "code", "ref", *ORDER, "ts_ns")
-    lost = lost.unionByName(life.where("code = 'CANCEL' and before <= 0").select("f", "code", "ref", *ORDER, "ts_ns"))
-    adds = ordered.where("code = 'ADD' and ref is not null")
-    here = adds.select("f", "ref").distinct().withColumn("_here", F.lit(True))
-    feeds = adds.groupBy("ref").agg(F.min("f").alias("_f1"), F.max("f").alias("_f2"))
-    out = lost.join(here, ["f", "ref"], "left").join(feeds, "ref", "left")
-    other = F.coalesce((F.col("_f1") != F.col("f")) | (F.col("_f2") != F.col("f")), F.lit(False))
-    return out.select("f", "code", "ref", *ORDER, "ts_ns", F.coalesce("_here", F.lit(False)).alias("add_present"), other.alias("on_other_feed"))
+def orphans(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
+    """Removals and trades without a resting order: f, code, ref, order, ts_ns, add_present, on_other_feed.
 
+    Rows without a reference match nothing and are not joined.
+    """
+    life = book.lifecycle(ordered) if life is None else life
+    missed = life.where("code in ('CANCEL', 'TRADE') and before <= 0")
+    first = book.feeds_with_levels(ordered).select("f", "first_level")
+    shown = F.coalesce((F.col("code") == "TRADE") & (F.struct(*ORDER) > F.col("first_level")), F.lit(False))
+    lost = missed.join(first, "f", "left").where(~shown).select("f", "code", "ref", *ORDER, "ts_ns")
+    adds = ordered.where("code = 'ADD' and ref is not null").groupBy("ref").agg(F.collect_set("f").alias("_feeds"))  # one entry a feed
+    found = lost.where("ref is not null").join(adds, "ref", "left").unionByName(lost.where("ref is null").withColumn("_feeds", F.lit(None).cast("array<string>")))
+    feeds = F.coalesce("_feeds", F.array().cast("array<string>"))
+    here = F.array_contains(feeds, F.col("f"))
+    return found.select("f", "code", "ref", *ORDER, "ts_ns", here.alias("add_present"), (F.size(feeds) > here.cast("int")).alias("on_other_feed"))
 
-def orphan_summary(ordered: DataFrame, start_ns: int) -> DataFrame:
-    """removals, present, absent, other_feed, early (absent in the first five minutes)."""
+
+def orphan_summary(ordered: DataFrame, start_ns: int, life: DataFrame | None = None) -> DataFrame:
+    """removals, present, absent, other_feed (of the absent), early (absent in the first five minutes)."""
     n = ordered.agg(F.count(F.when(F.col("code").isin("CANCEL", "TRADE"), 1)).alias("removals"))
     absent = ~F.col("add_present")
-    got = orphans(ordered).agg(
+    got = orphans(ordered, life).agg(
         F.count(F.when(F.col("add_present"), 1)).alias("present"), F.count(F.when(absent, 1)).alias("absent"),
-        F.count(F.when(absent & F.col("on_other_feed"), 1)).alias("other_feed"), F.count(F.when(absent & (F.col("ts_ns") < start_ns + EARLY_NS), 1)).alias("early"),
+        F.count(F.when(absent & F.col("on_other_feed"), 1)).alias("other_feed"), F.count(F.when(absent & (F.col("ts_ns") <= start_ns + EARLY_NS), 1)).alias("early"),
     )
     return n.join(got)  # one row each
 
 
 def check_orphans(summary: DataFrame) -> DataFrame:
+    """Absent adds are rated by all removals, present ones by the removals that met no order."""
     c = F.col
-    rate, present = F.try_divide(c("absent"), c("removals")), F.try_divide(c("present"), c("removals"))
+    rate, present = F.try_divide(c("absent"), c("removals")), F.try_divide(c("present"), c("present") + c("absent"))
     early = c("early") > EARLY_SHARE * c("absent")
     return findings(
         summary,
@@ -53,12 +60,16 @@ def check_orphans(summary: DataFrame) -> DataFrame:
     )
 
 
-def resurrections(ordered: DataFrame) -> DataFrame:
+def orphans_by_feed(found: DataFrame, feeds: int = 6) -> DataFrame:
+    """f, n: the feeds with most orphans."""
+    return found.groupBy("f").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "f").limit(feeds)
+
+
+def resurrections(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
     """Modifies of an order that is gone because a cancel or trade had taken it: f, ref, order."""
-    life = book.lifecycle(ordered)
-    old = ((F.col("op") == "DEL") | F.col("same")) & (F.col("before") <= 0) & (F.col("killed_before") > 0)
-    same = ordered.where("code = 'MODIFY'").select("f", *ORDER, F.col("prev_ref").eqNullSafe(F.col("ref")).alias("same"))
-    return life.where("code = 'MODIFY'").join(same, ["f", *ORDER]).where(old & ~F.col("keyless")).select("f", F.col("key").alias("ref"), *ORDER)
+    life = book.lifecycle(ordered) if life is None else life
+    old = ((F.col("op") == "DEL") & (F.col("sub") == 0) | F.col("same")) & (F.col("before") <= 0) & (F.col("killed_before") > 0)
+    return life.where("code = 'MODIFY'").where(old & ~F.col("keyless")).select("f", F.col("key").alias("ref"), *ORDER)
 
 
 def check_resurrections(found: DataFrame) -> DataFrame:
@@ -66,9 +77,9 @@ def check_resurrections(found: DataFrame) -> DataFrame:
     return findings(n, finding(F.col("n") > 0, "CODE", "FATAL", "resurrections", "all", F.col("n"), "orders come back after their removal: events are replayed out of order"))
 
 
-def resting_series(ordered: DataFrame, g0_ns: int, step_ns: int, points: int) -> DataFrame:
+def resting_series(ordered: DataFrame, g0_ns: int, step_ns: int, points: int, life: DataFrame | None = None) -> DataFrame:
     """gi, resting: orders that rest at each grid point."""
-    life = book.lifecycle(ordered)
+    life = book.lifecycle(ordered) if life is None else life
     step = F.when((F.col("before") <= 0) & (F.col("after") > 0) & ~F.col("keyless"), 1).when((F.col("before") > 0) & (F.col("after") <= 0), -1).otherwise(0)
     moved = life.withColumn("gi", ladder.grid_index("eff_ts", g0_ns, step_ns)).where(F.col("gi") < points).groupBy("gi").agg(F.sum(step).alias("d"))
     grid = ladder.grid(ordered.sparkSession, points).join(moved, "gi", "left").fillna(0, ["d"])
@@ -76,11 +87,12 @@ def resting_series(ordered: DataFrame, g0_ns: int, step_ns: int, points: int) ->
 
 
 def dynamics(resting: DataFrame, top: DataFrame, points: int) -> DataFrame:
-    """growth, first_mean, greatest, early_crossed (share in the first sixth)."""
+    """growth (1 on a grid of ten points or fewer), first_mean, greatest, early_crossed: the opening is the first 60 points, or a hundredth of all if that is more."""
     first = max(60, points // 100)
     both = resting.join(top.select("gi", "crossed"), "gi", "left").fillna(0, ["crossed"])
-    one = both.agg(F.avg(F.when(F.col("gi") < first, F.col("resting"))).alias("first_mean"), F.max("resting").alias("greatest"), F.avg(F.when(F.col("gi") < points // 6, F.col("crossed").cast("double"))).alias("early_crossed"))
-    return one.withColumn("growth", (F.col("greatest") + 1) / (F.col("first_mean") + 1))
+    opening = lambda c: F.avg(F.when(F.col("gi") < first, F.col(c).cast("double")))
+    one = both.agg(opening("resting").alias("first_mean"), F.max("resting").alias("greatest"), opening("crossed").alias("early_crossed"))
+    return one.withColumn("growth", (F.col("greatest") + 1) / (F.col("first_mean") + 1) if points > 10 else F.lit(1.0))
 
 
 def sextiles(series: DataFrame, value: str, points: int) -> DataFrame:
@@ -105,10 +117,12 @@ def pins(crossings: DataFrame) -> DataFrame:
     return crossings.select("f", sides).groupBy("f", "x.side", "x.price").agg(F.count("*").alias("snapshots"))
 
 
-def wrong_side(ordered: DataFrame) -> DataFrame:
-    """Orders resting at the end beyond their own venue's opposite top, where that venue is crossed."""
-    held = book.resting(ordered)
-    tops = held.groupBy("f").agg(F.max(F.when(F.col("side") == "Bid", F.col("price"))).alias("bid1"), F.min(F.when(F.col("side") == "Ask", F.col("price"))).alias("ask1"))
+def wrong_side(ordered: DataFrame, life: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """Orders resting at the end beyond their own venue's opposite top, where that venue's book is crossed."""
+    held = book.resting(ordered, life)
+    changes = book.levels(ordered, life) if changes is None else changes
+    last = changes.groupBy("f", "side", "price").agg(F.max(F.struct(*ORDER, "sub", "level"))["level"].alias("level")).where(F.col("level") > EPS)
+    tops = last.groupBy("f").agg(F.max(F.when(F.col("side") == "Bid", F.col("price"))).alias("bid1"), F.min(F.when(F.col("side") == "Ask", F.col("price"))).alias("ask1"))
     crossed = tops.where(F.col("bid1") > F.col("ask1") + EPS)
     bad = ((F.col("side") == "Bid") & (F.col("price") > F.col("ask1") + EPS)) | ((F.col("side") == "Ask") & (F.col("price") < F.col("bid1") - EPS))
     return held.join(crossed, "f").where(bad).select("f", "ref", "side", "price", "size", "born")
@@ -139,16 +153,59 @@ def spans_of(events: DataFrame, g0_ns: int, step_ns: int, points: int, order_by:
     return ladder.intervals(book.levels(ordered_events(events, order_by)), g0_ns, step_ns, points)
 
 
+@dataclass
+class Replay:
+    """What the checks of one replay share, each written once: ordered events, steps of orders, level changes, stretches of levels."""
+
+    ordered: DataFrame
+    life: DataFrame
+    changes: DataFrame
+    spans: DataFrame
+    g0_ns: int
+    step_ns: int
+    points: int
+
+    @classmethod
+    def of(cls, events: DataFrame, g0_ns: int, step_ns: int, points: int, order_by: str = "sequence") -> Replay:
+        ordered = staged(ordered_events(events, order_by), "ordered")
+        life = staged(book.lifecycle(ordered), "lifecycle")
+        changes = staged(book.levels(ordered, life), "levels")
+        return cls(ordered, life, changes, staged(ladder.intervals(changes, g0_ns, step_ns, points), "spans"), g0_ns, step_ns, points)
+
+    def top(self) -> DataFrame:
+        return ladder.top_of_book(ladder.ladder(self.spans, 1))
+
+    def orphans(self) -> DataFrame:
+        return orphans(self.ordered, self.life)
+
+    def resurrections(self) -> DataFrame:
+        return resurrections(self.ordered, self.life)
+
+    def wrong_side(self) -> DataFrame:
+        return wrong_side(self.ordered, self.life, self.changes)
+
+    def crossings(self) -> DataFrame:
+        return feed_crossings(self.spans)
+
+    def resting(self) -> DataFrame:
+        return resting_series(self.ordered, self.g0_ns, self.step_ns, self.points, self.life)
+
+    def findings(self) -> DataFrame:
+        top = staged(self.top(), "top")
+        crossed = F.coalesce(F.sum("crossed"), F.lit(0)) / self.points
+        any_feed = self.crossings().agg((F.count_distinct("gi") / self.points).alias("rate"))
+        dyn = dynamics(self.resting(), top, self.points)
+        revived = self.resurrections()
+        parts = [
+            check_orphans(orphan_summary(self.ordered, self.g0_ns, self.life)),
+            check_resurrections(revived),
+            check_dynamics(dyn, top.agg(crossed.alias("rate")), any_feed, self.wrong_side(), revived),
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+
 def replay_findings(events: DataFrame, g0_ns: int, step_ns: int, points: int, order_by: str = "sequence") -> DataFrame:
-    ordered = ordered_events(events, order_by)
-    spans = ladder.intervals(book.levels(ordered), g0_ns, step_ns, points)
-    top = ladder.top_of_book(ladder.ladder(spans, 1))
-    rate = ladder.crossed_rate(spans, points)
-    any_feed = feed_crossings(spans).select("gi").distinct().agg((F.count("*") / points).alias("rate"))
-    dyn = dynamics(resting_series(ordered, g0_ns, step_ns, points), top, points)
-    revived, wrong = resurrections(ordered), wrong_side(ordered)
-    parts = [check_orphans(orphan_summary(ordered, g0_ns)), check_resurrections(revived), check_dynamics(dyn, rate, any_feed, wrong, revived)]
-    return reduce(DataFrame.unionByName, parts)
+    return Replay.of(events, g0_ns, step_ns, points, order_by).findings()
 
 
 def ordering_ab(events: DataFrame, g0_ns: int, step_ns: int, points: int) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.functions.series import declared_sign
-from tickweave.operators.blocks import carried_forward, previous
+from tickweave.operators.blocks import carried, ticks
+from tickweave.staging import staged
 
 DAY_US = 86_400_000_000
 
@@ -48,12 +49,9 @@ def signed(trades: DataFrame, order: list[str], block: Column, how: str = "aggre
     ``block`` cuts the order of ``order`` into blocks (it must grow with it).
     """
     col = lambda c: F.col(c) if c in trades.columns else None
-    cut = trades.withColumn("_block", block)
-    cut = previous(cut, price, order, "_block", "_last")
-    cut = cut.withColumn("_step", F.nullif(F.signum(F.col(price) - F.col("_last")), F.lit(0.0)))
-    cut = carried_forward(cut, "_step", order, "_block", "_tick")
+    cut = ticks(trades.withColumn("_block", block), price, order, "_block", "_tick")
     own = declared_sign(how, col("aggressorside"), col("side"), buy_label)
-    return cut.withColumn("sign", F.coalesce(own, F.col("_tick").cast("int"), F.lit(0))).drop("_block", "_last", "_step", "_tick")
+    return cut.withColumn("sign", F.coalesce(own, F.col("_tick").cast("int"), F.lit(0))).drop("_block", "_tick")
 
 
 def bucket_us(ts_us: Column, step_us: int, tz: str = "UTC") -> Column:
@@ -66,7 +64,11 @@ def bucket_us(ts_us: Column, step_us: int, tz: str = "UTC") -> Column:
 
 
 def dense(buckets: DataFrame, step_us: int, zero: list[str], bucket: str = "bucket_us") -> DataFrame:
-    """All buckets from the first to the last; absent ones have 0 in ``zero`` and null elsewhere."""
+    """All buckets from the first to the last; absent ones have 0 in ``zero`` and null elsewhere.
+
+    The aggregated buckets are staged, so that the tape is read for them once.
+    """
+    buckets = staged(buckets, "buckets")
     ends = buckets.agg(F.min(bucket).alias("a"), F.max(bucket).alias("b")).where("a is not null")
     grid = ends.select(F.explode(F.sequence("a", "b", F.lit(step_us).cast("long"))).alias(bucket))
     return grid.join(buckets, bucket, "left").fillna(0, zero)
@@ -128,14 +130,14 @@ def flow_counts(frame: DataFrame, assets: list[str], block: Column) -> DataFrame
     """ts_us with {a}_buy, {a}_sell (null is 0) and {a}_ret_bps (log returns of the filled price), or None if columns are absent."""
     if any(f"{a}_trade_buy" not in frame.columns for a in assets):
         return None
-    out = frame.withColumn("_block", block)
+    px = {a: f"{a}_trade_px" if f"{a}_trade_px" in frame.columns else f"{a}_trade_vwap" for a in assets}
+    out = carried(frame.withColumn("_block", block), list(px.values()), ["ts_us"], "_block")
+    x = lambda c: F.when(F.col(c) > 1e-12, F.ln(c))
+    cells = []
     for a in assets:
-        px = f"{a}_trade_px" if f"{a}_trade_px" in frame.columns else f"{a}_trade_vwap"
-        out = carried_forward(out, px, ["ts_us"], "_block", "_filled")
-        out = out.withColumn("_x", F.when(F.col("_filled") > 1e-12, F.ln("_filled")))
-        out = previous(out, "_x", ["ts_us"], "_block", "_lx")
-        out = out.withColumns({f"{a}_buy": F.coalesce(f"{a}_trade_buy", F.lit(0)), f"{a}_sell": F.coalesce(f"{a}_trade_sell", F.lit(0)), f"{a}_ret_bps": (F.col("_x") - F.col("_lx")) * 1e4}).drop("_filled", "_x", "_lx")
-    return out.select("ts_us", *[f"{a}_{n}" for a in assets for n in ("buy", "sell", "ret_bps")])
+        cells += [F.coalesce(f"{a}_trade_buy", F.lit(0)).alias(f"{a}_buy"), F.coalesce(f"{a}_trade_sell", F.lit(0)).alias(f"{a}_sell")]
+        cells.append(((x(f"{px[a]}_filled") - x(f"{px[a]}_was")) * 1e4).alias(f"{a}_ret_bps"))
+    return out.select("ts_us", *cells)
 
 
 def has_trade_flow(columns: list[str], assets: list[str]) -> bool:

@@ -36,12 +36,12 @@ EV = """ev AS (SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, valu
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = events(spark, sf_dir).where("event_type = 'purchase'")
     k = F.col("k").cast("long")
-    return df.select("event_id", "ts_us", "user_id", F.col("value").alias("price"), F.col("k").alias("quantity"), F.col("event_id").alias("matchid"), F.when(k % 3 == 0, " Buy").when(k % 3 == 1, "SELL ").alias("aggressorside"), F.when(k % 4 == 0, "Bid").when(k % 4 == 1, "Ask").alias("side"), F.when(k % 10 == 9, "NonPrintable").otherwise("Printable").alias("printable"))
+    return df.select("event_id", "ts_us", "user_id", F.col("value").alias("price"), F.col("k").alias("quantity"), F.col("event_id").alias("matchid"), F.when(k % 3 == 0, " Buy").when(k % 3 == 1, "SELL ").alias("aggressorside"), F.when(k % 4 == 0, "Bid").when(k % 4 == 1, "Ask").when(k % 4 == 2, "?").alias("side"), F.when(k % 10 == 9, "NonPrintable").otherwise("Printable").alias("printable"))
 
 
 TAPE = EV + """, tape0 AS (SELECT event_id, ts_us, user_id, value AS price, k AS quantity,
   CASE WHEN k % 3 = 0 THEN ' Buy' WHEN k % 3 = 1 THEN 'SELL ' END AS aggressorside,
-  CASE WHEN k % 4 = 0 THEN 'Bid' WHEN k % 4 = 1 THEN 'Ask' END AS side,
+  CASE WHEN k % 4 = 0 THEN 'Bid' WHEN k % 4 = 1 THEN 'Ask' WHEN k % 4 = 2 THEN '?' END AS side,
   CASE WHEN k % 10 = 9 THEN 'NonPrintable' ELSE 'Printable' END AS printable
   FROM ev WHERE event_type = 'purchase'),
 tape AS (SELECT * FROM tape0 WHERE trim(printable) <> 'NonPrintable'),
@@ -68,7 +68,7 @@ def trade_sign(how: str) -> Callable[[SparkSession, str], DataFrame]:
 
 SIGN = {
     "aggressor": "CASE WHEN lower(trim(aggressorside)) = 'buy' THEN 1 WHEN lower(trim(aggressorside)) = 'sell' THEN -1 ELSE tick END",
-    "side": "CASE WHEN trim(side) = 'Bid' THEN 1 WHEN side IS NOT NULL THEN -1 ELSE tick END",
+    "side": "CASE WHEN trim(side) = 'Bid' THEN 1 WHEN trim(side) = 'Ask' THEN -1 ELSE tick END",
     "tick": "tick",
 }
 
@@ -293,9 +293,9 @@ sz AS (SELECT *, first_value(CASE WHEN op = 'SET' THEN qty ELSE 0 END) OVER g AS
   first_value(CASE WHEN op = 'SET' THEN price END) OVER g AS gprice, sum(CASE WHEN op = 'RED' THEN qty ELSE 0 END) OVER g AS taken FROM gn
   WINDOW g AS (PARTITION BY f, key, gen ORDER BY event_id, sub ROWS UNBOUNDED PRECEDING)),
 af AS (SELECT *, CASE WHEN gen > 0 AND size - taken > 1e-9 THEN size - taken ELSE 0 END AS after FROM sz),
-life AS (SELECT *, coalesce(lag(after) OVER w, 0) AS before, lag(gside) OVER w AS was_side, lag(gprice) OVER w AS was_price,
-  coalesce(max(CASE WHEN code IN ('CANCEL', 'TRADE') AND after <= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY f, key ORDER BY event_id, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS killed
-  FROM af WINDOW w AS (PARTITION BY f, key ORDER BY event_id, sub))"""
+life0 AS (SELECT *, coalesce(lag(after) OVER w, 0) AS before, lag(gside) OVER w AS was_side, lag(gprice) OVER w AS was_price FROM af WINDOW w AS (PARTITION BY f, key ORDER BY event_id, sub)),
+life AS (SELECT *, coalesce(last_value(CASE WHEN op = 'SET' THEN 0 WHEN code IN ('CANCEL', 'TRADE') AND before > 0 AND after <= 0 THEN 1 END IGNORE NULLS)
+  OVER (PARTITION BY f, key ORDER BY event_id, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS killed FROM life0)"""
 
 LEVELS = LIFE + """, dl AS (SELECT f, event_id, sub * 2 AS sub, eff_ts, was_side AS side, was_price AS price, CASE WHEN op = 'RED' AND after > 0 THEN after - before ELSE -before END AS delta FROM life WHERE before > 0
   UNION ALL SELECT f, event_id, sub * 2 + 1, eff_ts, side, price, qty FROM life WHERE op = 'SET'),
@@ -518,3 +518,27 @@ ck AS (SELECT f, count(*) AS n, count(*) FILTER (WHERE ts_ns IS NULL) AS nulls,
 ORACLES["frame_findings"] = f"{_FINDINGS} SELECT * FROM fd"
 ORACLES["verdict"] = f"""{_FINDINGS}, v AS (SELECT count(*) AS n, count(*) FILTER (WHERE kind = 'DATA' AND severity <> 'MINOR') AS data, count(*) FILTER (WHERE kind = 'CODE' AND severity <> 'MINOR') AS code FROM fd)
 SELECT CASE WHEN n = 0 THEN 'NONE' WHEN data > code THEN 'DATA' WHEN code > data THEN 'CODE' ELSE 'MIXED' END AS verdict, CAST(CASE WHEN n = 0 THEN 0 WHEN data > code THEN 2 ELSE 3 END AS BIGINT) AS rc, data, code FROM v"""
+
+_REPLAY_RULES = (
+    ("DATA", "'SEVERE'", "orphans", "'all'", "other", "removals name orders of another feed", "orp WHERE other > 0"),
+    ("DATA", "'MINOR'", "orphans", "'all'", "absent / removals", "a few removals without any add", "orp WHERE absent > 0 AND early <= 0.8 * absent AND absent / removals < 0.01"),
+    ("DATA", "'SEVERE'", "orphans", "'all'", "absent / removals", "removals without any add", "orp WHERE absent > 0 AND early <= 0.8 * absent AND absent / removals >= 0.01"),
+    ("CODE", "CASE WHEN present / (present + absent) > 0.25 THEN 'FATAL' ELSE 'SEVERE' END", "orphans", "'all'", "present / (present + absent)", "removals of orders whose add is in the log: the order of events is wrong", "orp WHERE present / (present + absent) > 0.05"),
+    ("CODE", "'FATAL'", "resurrections", "'all'", "revived", "orders come back after their removal: events are replayed out of order", "dyn WHERE revived > 0"),
+    ("DATA", "'SEVERE'", "dynamics", "'all'", "growth", "resting orders grow: removals are missing", "dyn WHERE growth > 5"),
+    ("CODE", "'SEVERE'", "dynamics", "'all'", "early", "crossed from the start while the book does not grow", "dyn WHERE early > 0.5 AND growth < 2"),
+    ("DATA", "'SEVERE'", "venues", "'all'", "rate", "the consolidated book is crossed, no venue''s own is", "dyn WHERE rate > 0.01 AND feed_rate < 0.1 * rate"),
+    ("CODE", "'SEVERE'", "venues", "'all'", "feed_rate", "venues'' own books are crossed", "dyn WHERE rate > 0.01 AND feed_rate > 0.5 * rate AND growth <= 2"),
+    ("CODE", "'SEVERE'", "wrong_side", "'all'", "wrong", "orders rest on the wrong side at the close", "dyn WHERE wrong > 0 AND growth < 2 AND revived = 0"),
+)
+_OPENING = max(60, POINTS // 100)
+ORACLES["replay_findings"] = f"""WITH {TOP}, ad AS (SELECT DISTINCT f, ref FROM o WHERE code = 'ADD'),
+orx AS (SELECT l.ts_ns, EXISTS (SELECT 1 FROM ad WHERE ad.f = l.f AND ad.ref = l.key) AS here, EXISTS (SELECT 1 FROM ad WHERE ad.f <> l.f AND ad.ref = l.key) AS there FROM life l WHERE l.code IN ('CANCEL', 'TRADE') AND l.before <= 0),
+orp AS (SELECT (SELECT count(*) FROM o WHERE code IN ('CANCEL', 'TRADE')) AS removals, count(*) FILTER (WHERE here) AS present, count(*) FILTER (WHERE NOT here) AS absent, count(*) FILTER (WHERE NOT here AND there) AS other, count(*) FILTER (WHERE NOT here AND ts_ns <= {G0_US * 1000} + 300000000000) AS early FROM orx),
+rst AS ({ORACLES["resting_series"].removeprefix(f"WITH {LIFE}, m AS ").join(["WITH m AS ", ""])}),
+xf AS (SELECT gi, f, max(price) FILTER (WHERE side = 'Bid') AS b, min(price) FILTER (WHERE side = 'Ask') AS a FROM cell GROUP BY 1, 2),
+wrg AS ({ORACLES["wrong_side"].removeprefix(f"WITH {LIFE}, ").join(["WITH ", ""])}),
+rev AS ({ORACLES["resurrections"].removeprefix(f"WITH {LIFE} ")}),
+dyn AS (SELECT (SELECT max(resting) + 1 FROM rst) / (SELECT avg(resting) + 1 FROM rst WHERE gi < {_OPENING}) AS growth, (SELECT count(*) FROM top WHERE gi < {_OPENING} AND bid1 > ask1 + 1e-9) / {_OPENING}.0 AS early,
+  (SELECT count(*) FROM top WHERE bid1 > ask1 + 1e-9) / {POINTS}.0 AS rate, (SELECT count(DISTINCT gi) FROM xf WHERE b > a + 1e-9) / {POINTS}.0 AS feed_rate, (SELECT count(*) FROM wrg) AS wrong, (SELECT count(*) FROM rev) AS revived)
+""" + " UNION ALL ".join(_found(*rule) for rule in _REPLAY_RULES)
