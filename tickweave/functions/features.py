@@ -43,8 +43,8 @@ def with_features(wide: DataFrame, root: str) -> DataFrame:
 
 
 def depth_weighted_mid(levels: list[tuple[Column, Column, Column, Column]]) -> Column:
-    """Own definition (non_reference): mid of the quantity-weighted mean prices of both sides."""
-    side = lambda p, q: sum((F.coalesce(x[p] * x[q], F.lit(0.0)) for x in levels), F.lit(0.0)) / sum((F.when(x[p].isNotNull(), x[q]).otherwise(0.0) for x in levels), F.lit(0.0))
+    """Own definition (non_reference): mid of the quantity-weighted mean prices of both sides; null if one is empty."""
+    side = lambda p, q: F.try_divide(sum((F.coalesce(x[p] * x[q], F.lit(0.0)) for x in levels), F.lit(0.0)), sum((F.when(x[p].isNotNull(), x[q]).otherwise(0.0) for x in levels), F.lit(0.0)))
     return (side(0, 1) + side(2, 3)) / 2
 
 

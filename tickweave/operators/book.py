@@ -177,30 +177,31 @@ def _fold_prices(pdf: pd.DataFrame) -> pd.DataFrame:
 def levels(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
     """Every change of a level: f, side, price, order, sub, eff_ts, level (0 or less: gone).
 
-    One short job asks whether any trade without an order can hit a price; without one
-    the plan has windows only. ``life``: lifecycle(ordered), if it is at hand.
+    Running sums give all levels but those that can be cut short: a price hit by a trade
+    without an order, or with both orders and assigned sizes (a removal may be more than
+    what is shown). Only such prices are folded, each (feed, price) by itself. One short
+    job asks which feeds can have any; without one the plan has windows only.
+    ``life``: lifecycle(ordered), if it is at hand.
     """
+    life = lifecycle(ordered) if life is None else life
+    any_ = lambda c: F.max(F.coalesce(c, F.lit(False)))
+    kinds = ordered.groupBy("f").agg(any_(F.col("code").isin("LEVEL_SET", "LEVEL_DEL")).alias("shown"), any_(F.col("code").isin("ADD", "MODIFY")).alias("orders"), any_((F.col("code") == "TRADE") & F.col("price").isNotNull()).alias("priced"))
+    priced, dual = kinds.agg(F.coalesce(F.max("priced"), F.lit(False)), F.coalesce(F.max(F.col("shown") & F.col("orders")), F.lit(False))).first()
     cols = ["f", "side", "price", *ORDER, "sub", "eff_ts", "level"]
-    priced = ordered.where((F.col("code") == "TRADE") & F.col("price").isNotNull())
-    return _window_levels(ordered, lifecycle(ordered) if life is None else life, not priced.isEmpty()).select(*cols)
-
-
-def _window_levels(plain: DataFrame, life: DataFrame, priced_trades: bool) -> DataFrame:
     base = ["f", "side", "price", *ORDER, "sub", "eff_ts", "delta", "whole", "kind"]
     deltas = level_deltas(life).withColumn("kind", F.lit("delta"))
     fin = F.when(F.col("qty").isNotNull() & ~F.isnan("qty") & (F.col("code") == "LEVEL_SET"), F.col("qty")).otherwise(0.0)
-    assigned = plain.where(F.col("code").isin("LEVEL_SET", "LEVEL_DEL") & F.col("side").isin(SIDES) & F.col("price").isNotNull()).withColumns({"sub": F.lit(0), "delta": fin, "whole": F.lit(True), "kind": F.lit("assign")})
+    assigned = ordered.where(F.col("code").isin("LEVEL_SET", "LEVEL_DEL") & F.col("side").isin(SIDES) & F.col("price").isNotNull()).withColumns({"sub": F.lit(0), "delta": fin, "whole": F.lit(True), "kind": F.lit("assign")})
     moves = reduce(DataFrame.unionByName, [x.select(*base) for x in (deltas, assigned)])
-    takes = None
-    if priced_trades:
-        lost = refless_trades(life, feeds_with_levels(plain)).where(~F.col("on_level") & F.col("price").isNotNull())
-        takes = lost.select("f", "side", "price", *ORDER, F.lit(0).alias("sub"), "eff_ts", F.coalesce("qty", F.lit(0.0)).alias("delta"), F.lit(True).alias("whole"), F.lit("take").alias("kind"))
-        takes = None if takes.isEmpty() else takes
-    if takes is None:
-        return _summed(moves)
-    hit = takes.select("f", "price").distinct()
-    folded = moves.join(hit, ["f", "price"], "left_semi").unionByName(takes.select(*base)).groupBy("f", "price").applyInPandas(_fold_prices, LEVEL_SCHEMA)
-    return _summed(moves.join(hit, ["f", "price"], "left_anti")).unionByName(folded, allowMissingColumns=True)
+    if not priced and not dual:
+        return _summed(moves).select(*cols)
+    lost = refless_trades(life, feeds_with_levels(ordered)).where(~F.col("on_level") & F.col("price").isNotNull())
+    takes = lost.select("f", "side", "price", *ORDER, F.lit(0).alias("sub"), "eff_ts", F.coalesce("qty", F.lit(0.0)).alias("delta"), F.lit(True).alias("whole"), F.lit("take").alias("kind"))
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    every = moves.unionByName(takes)
+    hit = every.groupBy("f", "price").agg(n("take").alias("t"), n("assign").alias("a"), n("delta").alias("d")).where("t > 0 or (a > 0 and d > 0)").select("f", "price")
+    folded = every.join(hit, ["f", "price"], "left_semi").groupBy("f", "price").applyInPandas(_fold_prices, LEVEL_SCHEMA)
+    return _summed(moves.join(hit, ["f", "price"], "left_anti")).select(*cols).unionByName(folded.select(*cols))
 
 
 def _summed(moves: DataFrame) -> DataFrame:
@@ -227,12 +228,13 @@ def dual_feeds(ordered: DataFrame) -> DataFrame:
     return orders.intersect(feeds_with_levels(ordered).select("f"))
 
 
-def replay_stats(ordered: DataFrame) -> DataFrame:
+def replay_stats(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
     """One row of counters, as longs: one pass over the events, one shuffle of their steps by event."""
     n = lambda code: F.count(F.when(F.col("code") == code, 1))
     events = ordered.agg(F.count("*").alias("events"), *[n(c).alias(f"n_{c.lower()}") for c in ("ADD", "CANCEL", "MODIFY", "TRADE", "LEVEL_SET", "LEVEL_DEL")], F.count(F.when((F.col("code") == "MODIFY") & ~F.col("maintain"), 1)).alias("modify_reprioritized"), F.count(F.when(F.col("code").isin("LEVEL_SET", "LEVEL_DEL"), 1)).alias("mbp_level_events"))
     met = F.col("before") > 0
-    each = lifecycle(ordered).groupBy("f", *ORDER, "code").agg(F.max(F.when(F.col("op") == "SET", met)).alias("onto"), F.max(F.when(F.col("op") != "SET", met)).alias("took"))
+    life = lifecycle(ordered) if life is None else life
+    each = life.groupBy("f", *ORDER, "code").agg(F.max(F.when(F.col("op") == "SET", met)).alias("onto"), F.max(F.when(F.col("op") != "SET", met)).alias("took"))
     first = feeds_with_levels(ordered).select("f", "first_level")
     lost = (F.col("code") == "TRADE") & ~F.col("took")
     shown = F.coalesce(F.struct(*ORDER) > F.col("first_level"), F.lit(False))

@@ -158,7 +158,15 @@ def verdict(found: DataFrame) -> DataFrame:
     return one.select(lead.alias("verdict"), F.when(F.col("n") == 0, 0).when(d > c, 2).otherwise(3).alias("rc"), "data", "code")
 
 
+def _rank() -> list[Column]:
+    return [F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.col("kind"), F.col("check"), F.col("subject"), F.col("message")]
+
+
 def ranked(found: DataFrame) -> DataFrame:
     """Findings by severity, then kind."""
-    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    return found.orderBy(rank, "kind", "check", "subject")
+    return found.orderBy(*_rank())
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """Findings (a few rows) with their ``place`` in that order."""
+    return found.withColumn("place", F.row_number().over(Window.orderBy(*_rank())).cast("long"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickweave.operators import checks, replay_checks
 from tickweave.plans.sessions import Window
 from tickweave.sources import messages as src
+from tickweave.staging import staged
 
 
 def as_checked(msgs: DataFrame, price_scale: float = 1.0) -> DataFrame:
@@ -17,6 +18,7 @@ def as_checked(msgs: DataFrame, price_scale: float = 1.0) -> DataFrame:
 
 def diagnose(msgs: DataFrame, date: str, window: Window = Window(), price_scale: float = 1.0, order_by: str = "sequence", replay: bool = True, ab: bool = False, failures: dict[str, str] | None = None) -> DataFrame:  # noqa: B008
     """All findings of a session's messages, the worst first."""
+    msgs = staged(msgs, "messages")  # read once: logs are text
     g0, step, points = window.of(date)
     lo, hi = g0 * 1000, (g0 + step * (points - 1)) * 1000
     found = checks.frame_findings(as_checked(msgs, price_scale), lo, hi, list(failures or {}))

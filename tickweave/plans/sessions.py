@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from zoneinfo import ZoneInfo
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tickweave.operators import book, ladder, trades
 from tickweave.operators.ordering import coverage, ordered_events
 from tickweave.schemas import MESSAGE_TYPES
 from tickweave.sources import messages as src
+from tickweave.staging import staged
 
 ORDER_TYPES = ["mt_add_order", "mt_cancel_order", "mt_modify_order", "mt_trade"]
 LEVEL_TYPES = ["mt_price_level_update", "mt_modify_price_level", "mt_delete_price_level"]
@@ -87,16 +89,19 @@ def session_book(spark: SparkSession, root: str, date: str, asset: Asset, depth:
     """(wide book on the grid, one row of replay statistics) of one asset and date."""
     product = contract_of(asset.product, parse_date(date)) if asset.product_type == "futures" else asset.product
     msgs, _ = src.messages(spark, root, date, product, asset.types, clock, fmt, on_missing)
-    ordered = ordered_events(src.replay_events(msgs, asset.price_scale), order_by)
+    # Logs are text: they are read once. What several operators share is written once.
+    events = staged(src.replay_events(msgs, asset.price_scale), "events")
+    ordered = staged(ordered_events(events, order_by), "ordered")
+    life = staged(book.lifecycle(ordered), "lifecycle")
     g0, step, points = window.of(date)
-    spans = ladder.intervals(book.levels(ordered), g0 * 1000, step * 1000, points)
+    spans = staged(ladder.intervals(book.levels(ordered, life), g0 * 1000, step * 1000, points), "spans")
     lot = round_lot if round_lot is not None else default_lot(asset.product_type)
     wide = ladder.wide_book(spark, ladder.ladder(spans, depth, lot, odd_lots), ladder.nbbo(spans, lot), asset.root, depth, points, g0, step)
-    stats = book.replay_stats(ordered).join(ladder.crossed_rate(spans, points, lot, odd_lots)).join(coverage(ordered).select("warning"))  # one row each
+    stats = book.replay_stats(ordered, life).join(ladder.crossed_rate(spans, points, lot, odd_lots)).join(coverage(ordered).select("warning"))  # one row each
     return wide, stats.select(F.lit(date).alias("session_date"), F.lit(product).alias("product"), "*")
 
 
-def session_flow(spark: SparkSession, root: str, date: str, asset: Asset, window: Window = Window(), clock: str = "receipt", fmt: str = "csv") -> DataFrame:  # noqa: B008
+def session_flow(spark: SparkSession, root: str, date: str, asset: Asset, window: Window = Window(), clock: str = "receipt", fmt: str = "csv", on_missing: str = "fail") -> DataFrame:  # noqa: B008
     """Scrubbed and signed trades of one asset and date, by bucket of the grid's step."""
     product = contract_of(asset.product, parse_date(date)) if asset.product_type == "futures" else asset.product
     read = lambda t, missing: src.messages(spark, root, date, product, [t], clock, fmt, missing)[0]
@@ -104,10 +109,12 @@ def session_flow(spark: SparkSession, root: str, date: str, asset: Asset, window
     def optional(t: str) -> DataFrame | None:
         try:
             return read(t, "fail")
-        except Exception:  # noqa: BLE001  (breaks and corrections may not exist for a date)
+        except AnalysisException as error:  # breaks and corrections may not exist for a date
+            if not src.absent(error):
+                raise
             return None
 
-    tape = src.in_session(read("mt_trade", "fail"), date, window.start, window.end, window.tz)
+    tape = src.in_session(read("mt_trade", on_missing), date, window.start, window.end, window.tz)
     clean = trades.printable_only(trades.scrub(tape, optional("mt_trade_break"), optional("mt_trade_correction")))
     timed = clean.withColumn("ts_us", F.expr("ts_ns div 1000"))
     order = ["ts_ns", "arrival"]
@@ -127,7 +134,7 @@ def extract_sessions(spark: SparkSession, root: str, dates: list[tuple[str, str]
         wide = reduce(lambda x, y: x.join(y, "ts", "full_outer"), [b[0] for b in built])
         if with_flow:
             step = window.step_s * 1_000_000
-            flows = [session_flow(spark, root, date, a, window, clock, fmt) for a in assets]
+            flows = [session_flow(spark, root, date, a, window, clock, fmt, on_missing) for a in assets]
             wide = trades.attach_flow(wide.withColumn("ts_us", F.unix_micros("ts")), flows, step).drop("ts_us")
         frames.append(wide.select(F.lit(k).alias("_k"), F.lit(date).alias("session_date"), F.lit(regime).alias("regime"), "*"))
         stats += [b[1] for b in built]

@@ -1,14 +1,14 @@
 """Message logs from files: typed, with one clock and an arrival number.
 
 A log is a folder ``<root>/<date>/<product>/<message type>`` of CSV (or Parquet)
-files. Columns are read by an explicit schema and pruned by Catalyst, never by a
-kept list. A type that cannot be read is an error unless ``on_missing`` is
+files. The header names the columns; those that the engine knows get their types, and
+Catalyst prunes what a query does not use. A type that cannot be read is an error unless ``on_missing`` is
 "empty"; then it is listed in the failures.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,13 +47,30 @@ def typed(raw: DataFrame) -> DataFrame:
 
 
 def read_type(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """One message type's files. The order of rows within them becomes ``arrival``."""
+    """One message type's files. The order of files by name, and of rows within them, becomes ``arrival``."""
     if fmt == "csv":
         # Every column as a string: a schema is applied by position, so the header decides here.
         raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    return typed(raw)
+    return typed(placed(raw))
+
+
+def placed(raw: DataFrame) -> DataFrame:
+    """Adds ``_place``: the rank of a row's piece of file (by name, then offset), then the row within it.
+
+    Spark packs pieces into tasks by their sizes, so the number that it gives a row
+    orders the rows of one piece only. The pieces (one row each) are ranked together.
+    """
+    at = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    pieces = at.select("_file", "_start").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_start")))
+    place = F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.join(pieces, ["_file", "_start"]).withColumn("_place", place).drop("_file", "_start", "_rank", "_id")
+
+
+def absent(error: Exception) -> bool:
+    """Whether an error says that a path does not exist."""
+    return getattr(error, "getCondition", lambda: None)() == "PATH_NOT_FOUND"
 
 
 def messages(spark: SparkSession, root: str, date: str, product: str, types: list[str] | None = None, clock: str = "receipt", fmt: str = "csv", on_missing: str = "fail") -> tuple[DataFrame, dict[str, str]]:
@@ -70,8 +87,8 @@ def messages(spark: SparkSession, root: str, date: str, product: str, types: lis
             failures[name] = str(error).splitlines()[0]
             continue
         frames.append(frame.withColumn("message_type", F.lit(name)))
-    if not frames:
-        raise ValueError("no message type could be read")
+    if not frames:  # all are missing, and that was asked for
+        frames = [typed(spark.createDataFrame([], message_schema())).withColumn("message_type", F.lit(None).cast("string"))]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
@@ -83,7 +100,7 @@ def clocked(df: DataFrame, clock: str = "receipt") -> DataFrame:
     ts = F.coalesce(*[F.col(c) for c in CLOCKS[clock]], F.col("receipttimestamp"))
     rank = F.element_at(F.create_map(*[x for k, v in MESSAGE_TYPES.items() for x in (F.lit(k), F.lit(v[0]))]), F.col("message_type"))
     arrival = (rank.cast("long") * F.lit(1 << 58)) + F.col("_place")
-    return df.withColumn("ts_ns", ts).withColumn("ts", F.timestamp_micros(F.floor(ts / 1000).cast("long"))).withColumn("arrival", arrival).drop("_place")
+    return df.withColumn("ts_ns", ts).withColumn("ts", F.timestamp_micros(F.expr("ts_ns div 1000"))).withColumn("arrival", arrival).drop("_place")
 
 
 def quantity(message_type: Column) -> Column:
