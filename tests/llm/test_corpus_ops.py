@@ -117,14 +117,36 @@ def test_jaccard_join_loses_no_link(spark, block, monkeypatch):
 
 
 def test_bands_reach_the_recall():
-    b = jaccard.bands_for(0.8, 0.999)
-    assert 1 - (1 - 0.8**jaccard.ROWS) ** b >= 0.999 > 1 - (1 - 0.8**jaccard.ROWS) ** (b - 1)
+    b, r = jaccard.banding(0.8, 0.999)
+    assert 1 - (1 - 0.8**r) ** b >= 0.999 > 1 - (1 - 0.8**r) ** (b - 1) and b * r <= jaccard.HASHES and r > 5
+
+
+def test_equal_polynomials_are_not_equal_words(spark):
+    """Two different words that any polynomial hash modulo 2 ** 64 holds for one, alone and in texts."""
+    s = "a"
+    for _ in range(10):
+        s += s.translate(str.maketrans("ab", "ba"))
+    t = s.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(3))
+    rows = [(1, s), (2, t), (3, f"{s} {tail}"), (4, f"{t} {tail}"), (5, s)]
+    got = {r["doc_id"]: (r["copy_id"], r["class_id"], r["n_links"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1, 1), 5: (1, 1, 1), 2: (2, 2, 0), 3: (3, 3, 0), 4: (4, 4, 0)}
+
+
+def test_one_of_each_class_stays_whatever_the_ids(spark):
+    words = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    rows = [(1, words("a"), "x"), (1, words("b"), "x"), (2, words("b") + " end", "x"), (None, words("c"), "x"), (None, words("c"), "y"), (None, words("d"), "x"), (3, None, "x"), (None, "", "x"), (3, words("a"), "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.keep_one(df).collect())
+    assert kept == sorted([(1, words("a")), (1, words("b")), (0, words("c")), (0, words("d")), (3, ""), (0, "")])
 
 
 def test_fingerprints_of_the_test_table(spark):
     docs = sorted(((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()), reverse=True)
     got = {r["doc_id"]: r for r in q.op10_edit_fingerprints(spark, DIR).collect()}
     assert len(got) == len(docs)
+    links = {i: sum(fingerprint.likeness(got[i]["fingerprint"], got[j]["fingerprint"]) >= 0.8 for j in got if j != i) for i in got}
+    assert {i: got[i]["n_links"] for i in got} == links and sum(links.values()) > 10
     for (i, a), (_, b) in zip(docs, docs[1:] + docs[:1], strict=True):
         half = len(a) // 2
         edited = a[: len(a) - half] + b[:half]

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whole texts travel in Arrow batches; a batch of this many rows stays small
-#: even when some of its texts are very long.
-ARROW_ROWS = 500
+from tickweave.staging import shared_dir, staged  # noqa: F401
+
+#: Whole texts travel in Arrow batches of at most so many rows, and about so many bytes.
+ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,33 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that one Arrow batch hands to Python (a session setting)."""
+    """Bound the rows and bytes that one Arrow batch hands to Python (settings of the session)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset (tests on one machine) a temporary one is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tickweave-shared-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def parts(spark: SparkSession) -> int:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+#: Parts into which the links of one node are dealt, so that a hub is not one task's.
+SALTS = 16
+
+
 def _hooked(links: DataFrame) -> DataFrame:
     """links(u, v) with m, the least of u and its v."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return links.join(least, "u")
+    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"]).drop("salt")
 
 
 def _large(links: DataFrame) -> DataFrame:

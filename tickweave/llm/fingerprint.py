@@ -11,7 +11,7 @@ standing for its stretch of time, corrected for agreement by chance.
 
 Near copies are found by bit-sampled banding: a band draws samples from the whole
 fingerprint, by their stretches of time; texts with an equal band meet and are
-verified on their whole fingerprints.
+verified on their whole fingerprints, then all pairs of what is linked so.
 
 Defined cases: null text is empty and has the fingerprint ''; equal texts have
 equal fingerprints; documents are ordered by (id descending, text), null ids
@@ -26,12 +26,14 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import parts, small_batches, staged
-from .jaccard import BLOCK, band_keys, bands_for, by_node, clusters, in_units, joined
+from .jaccard import band_keys, bands_for, by_node, clusters, in_units, joined, with_blocks
 
 CLASSES, PERIOD, PER_OCTAVE, OCTAVES = 32, 256, 32, 36
 PIECE = 300_000
@@ -159,17 +161,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and FIELDS: each text against its edit by the next document, by descending id.
 
-    Texts are shuffled once, by ranges of the id. Each task streams its sorted
+    Texts are shuffled once, packed by zstandard, by ranges of the id. Each task streams its sorted
     rows, holding two. Its first and last row also go out with their texts (two
     rows a task); a small join pairs each last row with the next task's first.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    one = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    ranged = one.repartitionByRange(parts(spark), *order[:2]).sortWithinPartitions(*order)
-    kind = one.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    kind, id_type = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
+    one = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed_ = [squeeze(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(packed_, pa.binary())], names=["doc_id", "h", "z"])
+
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    ranged = one.mapInArrow(pack, f"doc_id {kind}, h long, z binary").repartitionByRange(parts(spark), *order).sortWithinPartitions(*order)
     schema = f"role int, part int, doc_id {kind}, text string, " + ", ".join(f"{n} {k}" for n, _, k in FIELDS)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -178,10 +186,11 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches):
-        here, held = TaskContext.get().partitionId(), None
+        here, held, open_ = TaskContext.get().partitionId(), None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for doc_id, z in zip(batch.column("doc_id").to_pylist(), batch.column("z").to_pylist(), strict=True):
+                text = open_(z).decode("utf-8", "surrogatepass") if z else ""
                 doc = _Doc(doc_id, text)
                 if held is None:
                     out.append((1, here, doc_id, text, *NOTHING))
@@ -254,29 +263,31 @@ def banded(prints: list[str], table: np.ndarray, bands: int, per_band: int) -> n
     return band_keys(values, bands, per_band)
 
 
-def near_copies(prints: DataFrame, least: float = 0.8, recall: float = 0.99999, per_band: int = 8) -> DataFrame:
-    """prints(doc_id, fingerprint) -> doc_id, copy_id, class_id, n_links, as the Jaccard join has them.
+def near_copies(prints: DataFrame, least: float = 0.8, recall: float = 0.999, per_band: int = 8) -> DataFrame:
+    """prints(doc_id, fingerprint, ..) with copy_id, class_id, n_links, as the Jaccard join has them.
 
     Bands hold draws() from the whole of a fingerprint; there are as many as let a pair
     at ``least`` share one with probability ``recall``. Equal fingerprints are one
-    class; classes that share a band are one cluster, and all pairs of a cluster
-    are verified in blocks. Empty texts are alike only to each other.
+    class; a band's classes are verified on whole fingerprints, and so are all pairs of
+    what that links (so a pair that shares no band is found through others as well).
+    Empty texts are alike only to each other.
     """
     small_batches(prints.sparkSession)
     bands = bands_for(1 / 16 + 15 / 16 * least, recall, per_band)
-    prints = prints.select("doc_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint")).withColumn("node", F.xxhash64("fingerprint"))
-    classes = staged(prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("fingerprint").alias("fingerprint")), "classes")
+    prints = prints.withColumn("_node", F.unhex(F.md5(F.coalesce("fingerprint", F.lit("")))))
+    classes = prints.groupBy(F.col("_node").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.coalesce("fingerprint", F.lit(""))).alias("fingerprint"))
+    classes = staged(classes.withColumn("bytes", F.length("fingerprint").cast("long")), "classes")
 
     def run(batches):
         table = draws(bands, per_band)
         for batch in batches:
             keys = banded(batch.column("fingerprint").to_pylist(), table, bands, per_band)
             at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(at, pa.array(keys.reshape(-1)))], names=["node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("fingerprint"), pa.ListArray.from_arrays(at, pa.array(keys.reshape(-1)))], names=["node", "fingerprint", "bands"])
 
-    keyed = staged(classes.where("fingerprint <> ''").select("node", "fingerprint").mapInArrow(run, "node long, bands array<long>"), "bands")
-    found = staged(clusters(keyed), "clusters")
-    sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = found.join(sizes, "cluster").join(classes, "node")
+    keyed = classes.where("fingerprint <> ''").select("node", "fingerprint").mapInArrow(run, "node binary, fingerprint string, bands array<long>")
+    found = staged(clusters(keyed, least, alike, "fingerprint"), "clusters")
+    members = with_blocks(found, classes, "bytes", 1).join(classes.select("node", "fingerprint"), "node")
     checked = staged(joined(in_units(members, "fingerprint"), least, lambda batch: batch.column("fingerprint").to_pylist(), alike), "verified")
-    return prints.select("doc_id", "node").join(by_node(classes, checked), "node").select("doc_id", "copy_id", "class_id", "n_links")
+    info = by_node(classes, checked).select(F.col("node").alias("_node"), "copy_id", "class_id", "n_links")
+    return prints.join(info, "_node").drop("_node")

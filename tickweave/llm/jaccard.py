@@ -1,13 +1,17 @@
 """N-gram Jaccard join: MinHash banding, then verification on full n-gram sets.
 
 Sets are the hashes of a text's shingles of five words (a shorter text with words
-is one shingle). Bands and rows are chosen for a target recall at the threshold.
-Equal word sequences are one class first. Classes meet where a band hash is
-equal; classes that meet, directly or through others, form a cluster. A
-cluster's sets are sent once, in blocks if it is large (every pair of blocks is
-one unit of work), and all its pairs are verified on the full sets, so no link
-between classes of a cluster is lost and no pair is ever a row. Result: one row
-per document.
+is one shingle). Equal word sequences (by a 128-bit cryptographic digest) are one
+class first. Rows and bands are chosen together: bands for the target recall at the
+threshold, rows so that unlike texts meet least within a number of hashes.
+
+Classes meet where a band hash is equal (a bucket). Buckets with the same members
+count once. Each bucket compares its members' whole signatures; those that agree
+as texts at the threshold do, but for five deviations, are linked, so a bucket that
+unlike texts share links none of them. What is linked, directly or through others,
+is a cluster. A cluster's full sets are sent in blocks (every pair of blocks is one
+unit of work, bounded in rows and bytes), and all its pairs are verified. No pair is
+ever a row. Result: one row per document.
 
 Defined cases: a text without words (null, empty) has no links and is its own
 class; rows repeat as they come and count as copies of each other; a null id
@@ -26,18 +30,24 @@ from pyspark.sql import functions as F
 
 from .common import parts, small_batches, staged
 from .components import components
-from .shingles import digest, hashed_words, mixed, shingled
+from .shingles import digest, mixed, shingled, word_hashes, words_of
 
-ROWS = 5
-#: Classes in one block of a cluster.
-BLOCK = 512
+#: Rows and bytes of sets in one block of a unit; hashes of a signature.
+BLOCK, BLOCK_BYTES, HASHES = 1024, 8 << 20, 240
 
 
-def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
+def bands_for(threshold: float, recall: float, rows: int) -> int:
     """The fewest bands with which a pair at the threshold shares one with probability ``recall``."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)))
 
 
+def banding(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, rows) for the recall within a number of hashes, with which pairs at half the threshold meet least."""
+    fit = [(bands_for(threshold, recall, r), r) for r in range(1, 33)]
+    fit = [x for x in fit if x[0] * x[1] <= hashes] or fit[:1]
+    return min(fit, key=lambda x: 1 - (1 - (threshold / 2) ** x[1]) ** x[0])
+
+
 def min_hashes(sets: list[np.ndarray], n: int) -> np.ndarray:
     """(len(sets), n) minima of n linear permutations over non-empty sets of hashes."""
     rng = np.random.default_rng(5)
@@ -70,34 +80,75 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, node (digest of the words; null: none), bands."""
+    """docs(doc_id, tag, text) -> doc_id, tag, node (digest of the words; null: none), shingles, bands, sig (a byte a hash)."""
     small_batches(docs.sparkSession)
-    bands = bands_for(threshold, recall)
+    bands, rows = banding(threshold, recall)
 
     def run(batches):
         for batch in batches:
-            words = hashed_words(batch.column("text").to_pylist())
-            some = [k for k, w in enumerate(words) if len(w)]
-            keys = band_keys(min_hashes([shingled(words[k]) for k in some], bands * ROWS), bands, ROWS) if some else np.zeros((0, bands), np.int64)
-            nodes, at = [None] * len(words), np.zeros(len(words) + 1, np.int32)
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            some = [k for k, w in enumerate(words) if w]
+            nodes, sizes = [None] * len(words), [0] * len(words)
+            sets = []
             for k in some:
-                nodes[k], at[k + 1] = digest(words[k]), bands
+                nodes[k] = digest(words[k])
+                sets.append(shingled(word_hashes(words[k])))
+                sizes[k] = len(sets[-1])
+            minima = min_hashes(sets, bands * rows)
+            keys = band_keys(minima, bands, rows)
+            sigs: list = [None] * len(words)
+            for k, row in zip(some, mixed(minima).astype(np.uint8), strict=True):
+                sigs[k] = row.tobytes()
+            at = np.zeros(len(words) + 1, np.int32)
+            at[np.array(some, np.int64) + 1] = bands
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(at, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), lists], names=["doc_id", "node", "bands"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>")
-
-
-def clusters(classes: DataFrame) -> DataFrame:
-    """classes(node, bands) -> node, cluster, of those that meet another in some band."""
-    rows = classes.select("node", F.explode("bands").alias("key"))
-    met = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
-    links = rows.join(met, "key").where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    found = components(links)
+            cols = [batch.column("doc_id"), batch.column("tag"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tag", "node", "shingles", "bands", "sig"])
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, node binary, shingles long, bands array<long>, sig binary")
+
+
+def buckets(classes: DataFrame) -> DataFrame:
+    """classes(node, bands) -> cluster (a band key), blocks, h, of buckets of two or more; those with the same members once.
+
+    ``h`` is a short name of a node, only to find the way: who joins it back gets every node of that name.
+    """
+    rows = classes.select(F.explode("bands").alias("key"), F.xxhash64("node").alias("h")).repartition(parts(classes.sparkSession), "key")  # one exchange for both uses
+    met = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b"), F.bit_xor("h").alias("x"), F.sum(F.pmod(F.xxhash64("h"), F.lit(1 << 30))).alias("y")).where("a <> b")
+    once = met.groupBy("n", "a", "b", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return rows.join(once, "key").select(F.col("key").alias("cluster"), "blocks", "h")
+
+
+def agreeing(sigs: list[bytes], first: np.ndarray, second: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of the pairs between two masks whose signatures agree in a part of ``least`` or more, beyond chance."""
+    table = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+    need = (1 / 256 + 255 / 256 * least) * table.shape[1]
+    left, right = [], []
+    for i in range(len(sigs) - 1):
+        good = (table[i + 1 :] == table[i]).sum(1) >= need
+        good &= (second[i + 1 :] & first[i]) | (first[i + 1 :] & second[i])
+        found = np.flatnonzero(good) + i + 1
+        left.append(np.full(len(found), i))
+        right.append(found)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def clusters(classes: DataFrame, least: float, check=agreeing, sig: str = "sig") -> DataFrame:
+    """classes(node, bands, sig) -> node, cluster: classes that a bucket links by ``check``, directly or through others."""
+    met = staged(buckets(classes), "buckets").join(classes.select(F.xxhash64("node").alias("h"), "node", F.lit(1).cast("long").alias("copies"), sig), "h")
+    links = joined(in_units(met, sig), least, lambda batch: batch.column(sig).to_pylist(), check)
+    found = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     roots = found.select("root").distinct().select(F.col("root").alias("node"), F.col("root").alias("cluster"))
     return found.select(F.col("u").alias("node"), F.col("root").alias("cluster")).unionByName(roots)
 
 
+def with_blocks(found: DataFrame, classes: DataFrame, size: str, bytes_each: int = 8) -> DataFrame:
+    """found(node, cluster) and classes(node, rep, copies, size) -> those, with the number of blocks of each cluster (by rows and bytes)."""
+    members = found.join(classes.select("node", "rep", "copies", size), "node")
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(size) * bytes_each / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    return members.join(sizes, "cluster")
+
+
 def verified(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) of the pairs, i in ``first`` and j in ``second`` (masks), whose Jaccard is ``threshold`` or more; i < j if both masks are one."""
     k = len(sets)
@@ -148,7 +199,7 @@ def joined(rows: DataFrame, threshold: float, values=sets_of, check=None) -> Dat
                 copies.append(n)
                 sets.append(values)
                 block.append(b)
-        return np.array(list(nodes), np.int64), np.array(copies, np.int64), sets, np.array(block)
+        return list(nodes), np.array(copies, np.int64), sets, np.array(block)
 
     def solve(key: tuple, held: list[tuple]):
         nodes, copies, sets, block = unit(held)
@@ -167,7 +218,8 @@ def joined(rows: DataFrame, threshold: float, values=sets_of, check=None) -> Dat
                 break
             root = new
         some = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[root[some]]), pa.array(links[some].astype(np.int64))], names=["node", "root", "links"])
+        at = np.flatnonzero(some)
+        return pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in at], pa.binary()), pa.array([nodes[root[k]] for k in at], pa.binary()), pa.array(links[at].astype(np.int64))], names=["node", "root", "links"])
 
     def run(batches):
         key, held = None, []
@@ -183,47 +235,77 @@ def joined(rows: DataFrame, threshold: float, values=sets_of, check=None) -> Dat
             yield out
 
     width = parts(rows.sparkSession)
-    return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "node long, root long, links long")
+    return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "node binary, root binary, links long")
 
 
 def by_node(classes: DataFrame, checked: DataFrame) -> DataFrame:
-    """classes(node, rep, copies) and joined()'s rows -> node, copy_id, class_id (least rep of all linked), n_links (documents)."""
+    """classes(node, rep, copies) and joined()'s rows -> node, root, copy_id, class_id (least rep of all linked), n_links (documents)."""
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     rooted = classes.select("node", "rep", "copies").join(groups.withColumnRenamed("u", "node"), "node", "left").join(links, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return rooted.join(least, "root").select("node", F.col("rep").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rooted.join(least, "root").select("node", "root", F.col("rep").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
-def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, copy_id (least id with the same words), class_id (least id of all linked, directly or through others), n_links (other documents at the threshold or above)."""
-    one = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def solved(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, tag, node; classes: node, root, copy_id, class_id, n_links)."""
+    text = F.col(text_col).cast("string")
+    one = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     signed = staged(signatures(one, threshold, recall), "signatures")
-    kind = one.schema["doc_id"].dataType.simpleString()
-    classes = staged(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    found = staged(clusters(classes), "clusters")
-    sizes = found.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = found.join(sizes, "cluster").join(classes.select("node", "rep", "copies"), "node")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    classes = signed.where("node is not null").groupBy("node").agg(F.min(at).alias("at"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = staged(classes.select("node", F.col("at.doc_id").alias("rep"), F.col("at.tag").alias("rep_tag"), "copies", "shingles", "bands", "sig"), "classes")
+    n = math.prod(banding(threshold, recall))
+    found = staged(clusters(classes, threshold - 5 * math.sqrt(threshold * (1 - threshold) / n)), "clusters")
+    members = with_blocks(found, classes, "shingles").join(classes.select("node", "rep_tag"), "node")
     # The small side of each partition is hashed, so whole texts are not sorted.
-    texts = one.join(members.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "node", "cluster", "blocks", "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))
+    texts = one.join(members.hint("shuffle_hash"), same).select("text", "node", "cluster", "blocks", "copies")
 
     def sets(batches):
         for batch in batches:
-            words = hashed_words(batch.column("text").to_pylist())
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
             nodes = batch.column("node").to_pylist()
-            keep = [k for k, w in enumerate(words) if len(w) and digest(w) == nodes[k]]  # ids may repeat
-            values = [np.unique(shingled(words[k])).view(np.int64) for k in keep]
+            keep = [k for k, w in enumerate(words) if w and digest(w) == nodes[k]]
+            values = [np.unique(shingled(word_hashes(words[k]))).view(np.int64) for k in keep]
             at = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
             flat = np.concatenate(values) if values else np.zeros(0, np.int64)
             kept = batch.take(pa.array(keep, pa.int64())).drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[*kept.schema.names, "set"])
 
-    shipped = texts.mapInArrow(sets, "node long, cluster long, blocks int, copies long, set array<long>")
-    units = in_units(shipped, "set")
-    checked = staged(joined(units, threshold), "verified")
-    info = by_node(classes, checked)
+    shipped = texts.mapInArrow(sets, "node binary, cluster binary, blocks int, copies long, set array<long>")
+    checked = staged(joined(in_units(shipped, "set"), threshold), "verified")
+    return signed.select("doc_id", "tag", "node"), by_node(classes, checked)
+
+
+def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, copy_id (least id with the same words), class_id (least id of all linked, directly or through others), n_links (other documents at the threshold or above)."""
+    signed, info = solved(docs, threshold, recall, id_col, text_col)
+    kind = signed.schema["doc_id"].dataType.simpleString()
     linked = signed.where("node is not null").join(info, "node").select("doc_id", "copy_id", "class_id", "n_links")
     own = F.col("doc_id").cast(kind)
     alone = signed.where("node is null").select("doc_id", own.alias("copy_id"), own.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each class, with all its columns: that of the least id (null ids last), then the least digest of the text.
+
+    Rows are told apart by id and text, so a repeated or null id loses no text; of
+    rows equal in both one stays. Rows without words stay all.
+    """
+    signed, info = solved(docs, threshold, recall, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    rooted = signed.where("node is not null").join(info.select("node", "root"), "node")
+    best = rooted.groupBy("root").agg(F.min(order).alias("at"))
+    kept = staged(best.select(F.col("at.doc_id").alias("_id"), F.col("at.tag").alias("_tag")).distinct(), "kept")
+    # How often the row that stays is there: only if any repeats are texts grouped.
+    same = signed.where("node is not null").groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(F.count("*").alias("n")).where("n > 1")
+    again = not same.join(kept, same["_id"].eqNullSafe(kept["_id"]) & (same["_tag"] == kept["_tag"]), "left_semi").isEmpty()
+    words = F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]")
+    tagged = docs.withColumn("_tag", F.xxhash64(F.col(text_col).cast("string")))
+    some = tagged.where(words).alias("d").join(kept.alias("k").hint("shuffle_hash"), F.col(f"d.{id_col}").eqNullSafe(F.col("k._id")) & (F.col("d._tag") == F.col("k._tag")), "left_semi")
+    if again:
+        some = some.dropDuplicates([id_col, "_tag"])
+    return some.drop("_tag").unionByName(docs.where(~F.coalesce(words, F.lit(False))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, fingerprint, jaccard, langid, mixing, pii, quality, suffix_dedup, url_reputation
-from .common import table
+from .common import staged, table
 
 
 #: The key of the registered query; a production run passes its own secret.
@@ -103,7 +103,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.with_edits(table(spark, sf_dir, "documents"))
+    """Beside the contract's columns: copy_id, class_id, n_links of fingerprints alike in 0.8 or more."""
+    return fingerprint.near_copies(staged(fingerprint.with_edits(table(spark, sf_dir, "documents")), "edits"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

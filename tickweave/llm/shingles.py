@@ -1,18 +1,20 @@
-"""Word-shingle hashes of texts, computed for many texts at once."""
+"""Hashes of words, word sequences and shingles; powers for rolling hashes."""
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 SIZE = 5
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Powers that stay in memory.
 KEPT = 1 << 20
-#: Bytes hashed at once.
-CHUNK = 1 << 18
+#: Words whose hashes stay in memory.
+WORDS = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -39,47 +41,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
-
-def word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words (runs of bytes outside 0x20, 0x09-0x0D), in order."""
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    solid = ~_SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    size = 1 << max(10, int(len(b)).bit_length())
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers(BASE, size)[: len(b)])])
-    return mixed((prefix[ends] - prefix[starts]) * powers(INVERSE, size)[starts])
-
-
-def hashed_words(texts: list[str | None]) -> list[np.ndarray]:
-    """word_hashes of each text, many short ones at a time."""
-    out: list[np.ndarray] = []
-    held: list[bytes] = []
-
-    def flush() -> None:
-        if not held:
-            return
-        joined = b"\n".join(held)
-        w = word_hashes(joined)
-        counts = [len(x.split()) for x in held]  # of bytes: the same six spaces
-        out.extend(np.split(w, np.cumsum(counts)[:-1]))
-        held.clear()
-
-    size = 0
-    for text in texts:
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        held.append(raw)
-        size += len(raw)
-        if size > CHUNK:
-            flush()
-            size = 0
-    flush()
-    return out
+class _Words(dict):
+    """word -> 64-bit hash, made when it is asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_KNOWN = _Words()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words (runs of bytes outside 0x20, 0x09-0x0D), in order."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    if len(_KNOWN) > WORDS:
+        _KNOWN.clear()
+    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
+
+
+def digest(words: list[bytes]) -> bytes:
+    """A 128-bit digest of the word sequence (cryptographic: different sequences do not share one)."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def shingled(w: np.ndarray) -> np.ndarray:
@@ -90,13 +76,5 @@ def shingled(w: np.ndarray) -> np.ndarray:
     size = min(n, SIZE)
     h = np.full(n - size + 1, np.uint64(size), np.uint64)
     for k in range(size):
-        h = h * np.uint64(BASE) + w[k : n - size + 1 + k]
-    return mixed(h)
-
-
-def digest(w: np.ndarray) -> int:
-    """A 64-bit digest of the word sequence, as a signed integer."""
-    n = len(w)
-    size = 1 << max(10, int(n).bit_length())
-    h = mixed(np.array([np.sum(w * powers(BASE, size)[:n], dtype=np.uint64) + np.uint64(n)], np.uint64))
-    return int(h.astype(np.int64)[0])
+        h = mixed(h * np.uint64(BASE) + w[k : n - size + 1 + k])
+    return h
