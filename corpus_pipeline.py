@@ -7,7 +7,7 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.llm import bpe, jaccard, langid, mixing, pii
@@ -28,15 +28,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a word 5-gram Jaccard of 0.8, the one with the least id stays.
 
-    A repeated id stays once; rows without an id stay.
+    Rows are told apart by id and text: a repeated or null id loses no text.
     """
-    docs = docs.select(*COLUMNS)
-    kept = jaccard.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept.hint("shuffle_hash"), "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty():
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source"))
-        named = named.withColumn("_nth", first).where("_nth = 1").select(*COLUMNS)
-    return named.unionByName(docs.where("doc_id is null"))
+    return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
