@@ -29,3 +29,35 @@ def test_a_phone_before_an_address_is_the_same_phone(spark):
     rows = [(1, "+1 (826) 555-4081 190.137.223.204 du"), (2, "call +1 (826) 555-4081."), (3, "at 190.137.223.204")]
     got = {r["doc_id"]: r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
     assert got[1] == f"{got[2][5:-1]} {got[3][3:]} du" and ".137.223.204" not in got[1]
+
+
+def replaced(spark, *texts):
+    rows = [(k, t) for k, t in enumerate(texts)]
+    return [r["text"] for r in pii.replace(spark.createDataFrame(rows, "doc_id long, text string").withColumn("kinds", F.lit(1)), "key").orderBy("doc_id").collect()]
+
+
+def test_a_person_is_one_person(spark):
+    a, b, c = replaced(spark, "Mr John Smith called. Later John Smith left, said Smith. SMITH! Smithson", "Dr Anna Weber; Mrs Anna Weber; Anna", "Mr Smith and Dr John Weber")
+    first, last = a.split()[1:3]
+    assert a == f"Mr {first} {last} called. Later {first} {last} left, said {last[:-1] if last.endswith('.') else last}. {last.upper()}! Smithson"
+    w = b.replace(";", "").split()
+    assert w[1:3] == w[4:6] and w[6] == w[1] and w[1].endswith("a")
+    assert c.split()[1] == last and c.split()[-1] == w[2] and c.split()[-2] == first
+
+
+def test_phones_are_read_by_the_numbering_plan(spark):
+    one = lambda t: "".join(x for x in t if x.isdigit())
+    a, b, c, d, e, f = map(one, replaced(spark, "+491511234567", "+49 1511234567", "+1 (826) 555-4081", "(826) 555-4081", "+44 (0)20 7946 0958", "+44 20 7946 0958"))
+    assert a == b and a.startswith("49") and c == "1" + d and e == "440" + f[2:] and f.startswith("44")
+
+
+def test_plain_numbers_stay(spark):
+    assert replaced(spark, "order 4041894974608796 of 1234567890123") == ["order 4041894974608796 of 1234567890123"]
+
+
+def test_a_full_format_ends_with_distinct_surrogates(spark):
+    found = spark.range(10_000).select(F.lit("ip").alias("kind"), F.concat_ws(".", *[(F.col("id") / 10**k % 10).cast("int") for k in range(4)]).alias("canon"))
+    tries = pii.attempts_table(found, "k")
+    assert tries.where(f"attempt < {pii.EASY}").isEmpty()
+    new = tries.select(pii.surrogate("k", F.col("kind"), F.col("canon"), F.col("attempt")).alias("s"))
+    assert new.distinct().count() == 10_000 and new.join(found, new["s"] == found["canon"]).isEmpty()

@@ -1,13 +1,21 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 Entities (email, secret, IBAN, IP address, US social security number, card,
-phone, titled person name) are found by one expression. An entity's surrogate is a
+phone, person name) are found by one expression. An entity's surrogate is a
 function of the key, its kind and its canonical form only, so mentions of one
 entity agree in every text (coreference). It keeps type and format: digits stay
 digits, letters stay letters of their script and case, separators stay; card
 numbers keep their brand digit and Luhn validity, IBANs get right check digits,
 phones keep the country code, emails of one domain share a new domain, names
-agree with the title's gender and with the script, surname by surname.
+agree with the gender and with the script, surname by surname.
+
+Names are found by their titles. Every word of a titled name is then known in its
+text: other mentions of it there, with or without a title, get the same surrogate.
+A first name has one identity whatever the title; its ending follows the gender of
+a title that it bears anywhere in the text, else of its own ending. A number of a
+card's form is a card only if its check digit is right. A phone's country code is
+read by the numbering plan, with or without a separator behind it; a number in the
+North American form without a code has code 1.
 
 Entities side by side stay apart: a number ends where another entity begins, a
 phone number after its country's count of digits, an IBAN after its country's
@@ -16,12 +24,15 @@ that still fits is taken as part of it.
 
 Distinctness is checked over the whole corpus: if two entities of a kind get one
 surrogate, or a surrogate is an entity that occurs, the later one (by canonical
-form) is drawn again with the next attempt, until none collides.
+form) is drawn again with the next attempt, until none collides. From attempt
+``EASY`` on a surrogate may leave its exact format (longer names, numbers, octets of
+any length), so that a corpus that has used up a format still ends.
 
 Everything is DataFrame expressions; texts are not shuffled (only the rare texts
 with a redrawn entity meet the table of attempts). Defined cases: a null text
 stays null and has no entities; rows repeat as they come; null ids are kept;
-an empty table gives no rows; other columns are ignored.
+an empty table gives no rows; columns of the input named ``kinds`` or ``n_entities``
+are replaced by the operator's, other columns are kept.
 """
 
 from __future__ import annotations
@@ -92,6 +103,9 @@ ENTITY = "|".join([EMAIL, SECRET, IBAN, IP, SSN, PHONE, CARD, NAME])
 #: Texts without any of these hold no entity.
 GATE = rf"[0-9@=:]|{TITLE}"
 
+#: Country codes of the numbering plan; all others have three digits.
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC, GREEK = "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöùúûüý"
@@ -168,18 +182,26 @@ def mod97(s: Column) -> Column:
 
 
 def name_like(canon: Column, kind: Column, h: Column) -> Column:
-    """A name of syllables in the script of ``canon``, with the ending of its gender."""
+    """A name of syllables in the script of ``canon``; a first name without the ending of its gender."""
 
     def made(script: str) -> Column:
-        cons, vowels, female = SYLLABLES[script]
+        cons, vowels, _ = SYLLABLES[script]
         syllable = lambda k: F.concat(pick(cons, drawn(h, 2 * k)), pick(vowels, drawn(h, 2 * k + 1)))
         stem = F.concat(syllable(0), syllable(1), pick(cons, drawn(h, 10)))
-        woman = (kind == "first_f") | ((kind == "first_n") & (drawn(h, 11) % 2 == 0))
-        return F.when(kind == "last", F.concat(syllable(2), stem, pick(vowels, drawn(h, 12)), pick(cons, drawn(h, 13)))).when(woman, F.concat(stem, F.lit(female))).otherwise(stem)
+        return F.when(kind == "last", F.concat(syllable(2), stem, pick(vowels, drawn(h, 12)), pick(cons, drawn(h, 13)))).otherwise(stem)
+
+    return by_script(canon, made)
 
+
+def by_script(canon: Column, made) -> Column:
     return F.when(canon.rlike(r"\p{IsCyrillic}"), made("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
 
 
+def female(canon: Column) -> Column:
+    """The ending of a feminine first name in the script of ``canon``."""
+    return by_script(canon, lambda script: F.lit(SYLLABLES[script][2]))
+
+
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of an entity's surrogate."""
 
@@ -194,11 +216,12 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
         def octet(o: Column, i: Column) -> Column:
             v = drawn(h, i, 4)
-            return F.when(F.length(o) == 1, v % 10).when(F.length(o) == 2, 10 + v % 90).otherwise(100 + v % 156).cast("string")
+            return F.when(late, (v % 256).cast("string")).when(F.length(o) == 1, v % 10).when(F.length(o) == 2, 10 + v % 90).otherwise(100 + v % 156).cast("string")
 
         ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
-        body = F.concat(canon.substr(1, 1), kept_format(canon.substr(F.lit(2), F.length(canon) - 2), h))
-        card = F.concat(body, F.when(luhn_sum(canon, 0) % 10 == 0, ((10 - luhn_sum(body, 1) % 10) % 10).cast("string")).otherwise(pick(DIGITS, drawn(h, 90))))
+        grown = F.when(late, numbers.substr(F.lit(1), F.greatest(F.lit(0), 19 - F.length(canon)))).otherwise("")
+        body = F.concat(canon.substr(1, 1), kept_format(canon.substr(F.lit(2), F.length(canon) - 2), h), grown)
+        card = F.concat(body, ((10 - luhn_sum(body, 1) % 10) % 10).cast("string"))
         country = F.substring_index(canon, "|", 1)  # phone: country code | the other digits
         phone = F.concat(country, F.lit("|"), kept_format(F.substring_index(canon, "|", -1), h), numbers)
         rest = kept_format(canon.substr(F.lit(5), F.length(canon)), h)
@@ -226,7 +249,7 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^(?:[+(]|\d{3}[ .-]\d{3}[ .-]\d{4}$)"), "phone")
-        .when(m.rlike(r"^\d"), "card")
+        .when(m.rlike(r"^\d"), let(F.regexp_replace(m, r"\D", ""), lambda d: F.when(luhn_sum(d, 0) % 10 == 0, "card").otherwise("number")))
         .otherwise("name")
     )
 
@@ -235,13 +258,14 @@ SECRET_HEAD = r"^[^=:]*[=:]\s*[\"']?"
 
 
 def canonical(m: Column, kind: Column) -> Column:
-    digits = F.regexp_replace(m, r"\D", "")
-    code = F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(-])", 1)
+    digits = F.regexp_replace(F.regexp_replace(m, r"\(0\)", ""), r"\D", "")
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, f"^({COUNTRY})", 1)).otherwise("")
+    phone = F.concat(F.when((code == "") & (F.length(digits) == 10), "1").otherwise(code), F.lit("|"), digits.substr(F.length(code) + 1, F.length(digits)))
     return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "secret", F.regexp_replace(F.regexp_replace(m, SECRET_HEAD, ""), r"[\"']$", ""))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
-        .when(kind == "phone", F.concat(code, F.lit("|"), digits.substr(F.length(code) + 1, F.length(digits))))
+        .when(kind == "phone", phone)
         .when(kind == "ip", m)
         .otherwise(digits)
     )
@@ -254,14 +278,15 @@ def name_parts(m: Column) -> tuple[Column, Column, Column]:
     return title, F.split(m.substr(F.length(title) + 1, F.length(m)), " "), gender
 
 
-def name_entities(words: Column, gender: Column) -> Column:
-    return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "last").otherwise(F.concat(F.lit("first_"), gender)).alias("kind"), F.lower(w).alias("canon")))
+def name_entities(words: Column) -> Column:
+    return F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "last").otherwise("first").alias("kind"), F.lower(w).alias("canon")))
 
 
 def entities(m: Column) -> Column:
-    """The (kind, canon) that a mention names: one, or one for each word of a name."""
-    _, words, gender = name_parts(m)
-    return let(kind_of(m), lambda k: F.when(k == "name", name_entities(words, gender)).otherwise(F.array(F.struct(k.alias("kind"), canonical(m, k).alias("canon")))))
+    """The (kind, canon) that a mention names: one, or one for each word of a name; none for a plain number."""
+    _, words, _ = name_parts(m)
+    none = F.array().cast("array<struct<kind:string,canon:string>>")
+    return let(kind_of(m), lambda k: F.when(k == "name", name_entities(words)).when(k == "number", none).otherwise(F.array(F.struct(k.alias("kind"), canonical(m, k).alias("canon")))))
 
 
 def filled(m: Column, value: Column) -> Column:
@@ -276,30 +301,84 @@ def filled(m: Column, value: Column) -> Column:
     return F.aggregate(places(m), start, step, lambda a: F.concat(a["s"], value.substr(a["k"], F.length(value))))
 
 
-def replacement(key: str, m: Column, attempts: Column) -> Column:
-    """The text that stands for a mention. attempts: map from kind|canon."""
+def known_names(said: Column) -> Column:
+    """kind, canon, sex (m, f, or null: no title says it) of the words of the titled names among a text's mentions, each once.
+
+    A word that is both a first and a last name in one text counts as the first of these.
+    """
+
+    def of(m: Column) -> Column:
+        _, words, gender = name_parts(m)
+        return F.when(kind_of(m) == "name", F.transform(name_entities(words), lambda e: F.struct(e["canon"].alias("canon"), e["kind"].alias("kind"), F.when(gender != "n", gender).alias("sex"))))
+
+    every = F.flatten(F.filter(F.transform(said, of), lambda x: x.isNotNull()))
+    firsts = F.array_distinct(F.transform(every, lambda e: F.struct(e["canon"].alias("canon"), e["kind"].alias("kind"))))
+
+    def one(e: Column) -> Column:
+        said_sex = F.filter(every, lambda x: (x["canon"] == e["canon"]) & (x["kind"] == e["kind"]) & x["sex"].isNotNull())
+        return F.struct(e["canon"].alias("canon"), e["kind"].alias("kind"), F.get(said_sex, F.lit(0))["sex"].alias("sex"))
+
+    return F.transform(firsts, one)
+
+
+def name_word(key: str, kind: Column, canon: Column, sex: Column, tries: Column) -> Column:
+    """The surrogate of one word of a name, in lower case, with the ending of its gender."""
+    woman = F.coalesce(sex == "f", canon.rlike("[aаяα]$"))
+    return F.concat(surrogate(key, kind, canon, tries), F.when((kind == "first") & woman, female(canon)).otherwise(""))
+
+
+def cased(like: Column, s: Column) -> Column:
+    return F.when(like == F.upper(like), F.upper(s)).otherwise(F.concat(F.upper(s.substr(1, 1)), s.substr(F.lit(2), F.length(s))))
+
+
+def named(key: str, names: Column, attempts: Column) -> Column:
+    """known_names() with ``new``, their surrogates."""
+    tries = lambda e: F.coalesce(F.element_at(attempts, F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
+    return F.transform(names, lambda e: F.struct(e["canon"].alias("canon"), e["kind"].alias("kind"), name_word(key, e["kind"], e["canon"], e["sex"], tries(e)).alias("new")))
+
+
+def without_titles(segment: Column, names: Column) -> Column:
+    """A piece of text between mentions, with the words of known names (capitalised or in capitals) replaced."""
+
+    def step(a: Column, e: Column) -> Column:
+        whole = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}@._-])\Q"), w, F.lit(r"\E(?![\p{L}\p{N}@_])"))
+        capital = F.concat(F.upper(e["canon"].substr(1, 1)), e["canon"].substr(F.lit(2), F.length(e["canon"])))
+        once = F.regexp_replace(a, whole(capital), F.concat(F.lit("\x00"), cased(capital, e["new"])))
+        return F.regexp_replace(once, whole(F.upper(e["canon"])), F.concat(F.lit("\x00"), F.upper(e["new"])))
+
+    # A mark behind which no word is a name keeps what is new from being replaced again.
+    marked = F.aggregate(names, F.regexp_replace(segment, "\x00", "\x01"), step)
+    return F.when(segment.contains("\x00") | segment.contains("\x01"), segment).otherwise(F.regexp_replace(marked, "\x00", ""))
+
+
+def replacement(key: str, m: Column, attempts: Column, names: Column) -> Column:
+    """The text that stands for a mention. attempts: map from kind|canon; names: named()."""
     tries = lambda kind, canon: F.coalesce(F.element_at(attempts, F.concat_ws("|", kind, canon)), F.lit(0))
     made = lambda kind, canon: surrogate(key, kind, canon, tries(kind, canon))
-    title, words, gender = name_parts(m)
+    title, words, _ = name_parts(m)
 
     def word(w: Column, e: Column) -> Column:
-        return let(made(e["kind"], e["canon"]), lambda s: F.when(w == F.upper(w), F.upper(s)).otherwise(F.concat(F.upper(s.substr(1, 1)), s.substr(F.lit(2), F.length(s)))))
+        own = F.filter(names, lambda n: (n["canon"] == e["canon"]) & (n["kind"] == e["kind"]))
+        return cased(w, F.get(own, F.lit(0))["new"])
 
-    name = F.concat(title, F.array_join(F.zip_with(words, name_entities(words, gender), word), " "))
+    name = F.concat(title, F.array_join(F.zip_with(words, name_entities(words), word), " "))
 
     def other(k: Column) -> Column:
         def shown(s: Column) -> Column:
             secret = F.concat(F.regexp_extract(m, SECRET_HEAD, 0), s, F.regexp_extract(m, r"[\"']?$", 0))
+            national = F.substring_index(s, "|", -1)
+            phone = F.when(~m.startswith("+"), national).otherwise(F.concat(F.substring_index(s, "|", 1), F.when(m.contains("(0)"), "0").otherwise(""), national))
             return (
                 F.when(k == "email", F.when(m == F.upper(m), F.upper(s)).otherwise(s))
                 .when(k == "secret", secret)
                 .when(k == "ip", s)
-                .otherwise(filled(m, F.regexp_replace(s, r"\|", "")))
+                .when(k == "phone", filled(m, phone))
+                .otherwise(filled(m, s))
             )
 
         return let(canonical(m, k), lambda c: let(made(k, c), shown))
 
-    return let(kind_of(m), lambda k: F.when(k == "name", name).otherwise(other(k)))
+    return let(kind_of(m), lambda k: F.when(k == "name", name).when(k == "number", m).otherwise(other(k)))
 
 
 def mentions(text: Column) -> Column:
@@ -317,7 +396,12 @@ def attempts_table(found: DataFrame, key: str, rounds: int = 40) -> DataFrame |
         live = staged(live.withColumn("s", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "surrogates")
         owner = live.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canon")).alias("own"), F.count("*").alias("n")).where("n > 1")
         twice = live.join(owner, ["kind", "s"]).where(F.col("canon") != F.col("own.canon")).select("kind", "canon")
-        real = live.join(found.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
+        forms = F.when(F.col("kind") == "first", F.array(F.col("s"), F.concat("s", female(F.col("canon"))))).otherwise(F.array("s"))
+        each = live.select("kind", "canon", F.explode(forms).alias("s"))
+        names = found.where("kind in ('first', 'last')").select("canon").distinct()  # a name's word is no one's surrogate, as first or last name
+        taken = found.where("kind not in ('first', 'last')").select("kind", F.col("canon").alias("s"))
+        taken = taken.unionByName(names.select(F.explode(F.array(F.lit("first"), F.lit("last"))).alias("kind"), F.col("canon").alias("s")))
+        real = each.join(taken, ["kind", "s"], "left_semi").select("kind", "canon")
         bad = staged(twice.unionByName(real).distinct(), "collisions")
         if bad.isEmpty():
             break
@@ -341,7 +425,11 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         maps = each.join(redrawn, ["kind", "canon"]).groupBy("_pii_h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_pii_attempts"))
         with_map = docs.withColumn("_pii_h", h).join(maps, "_pii_h", "left").drop("_pii_h").withColumn("_pii_attempts", F.coalesce("_pii_attempts", none))
     cut = with_map.withColumn("_pii_m", F.coalesce(mentions(text), F.array().cast("array<string>")))
-    new = F.transform("_pii_m", lambda m: replacement(key, m, F.col("_pii_attempts")))
-    joined = F.array_join(F.zip_with(F.split(text, ENTITY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    cut = cut.withColumn("_pii_n", named(key, known_names(F.col("_pii_m")), F.col("_pii_attempts")))
+    new = F.transform("_pii_m", lambda m: replacement(key, m, F.col("_pii_attempts"), F.col("_pii_n")))
+    between = F.split(text, ENTITY, -1)
+    between = F.when(F.size("_pii_n") > 0, F.transform(between, lambda x: without_titles(x, F.col("_pii_n")))).otherwise(between)
+    joined = F.array_join(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     out = cut.withColumn(text_col, F.when(F.size("_pii_m") > 0, joined).otherwise(text))
-    return out.withColumn("kinds", F.transform("_pii_m", kind_of)).withColumn("n_entities", F.size("_pii_m").cast("long")).drop("_pii_m", "_pii_attempts")
+    kinds = F.filter(F.transform("_pii_m", kind_of), lambda k: k != "number")
+    return out.withColumn("kinds", kinds).withColumn("n_entities", F.size("kinds").cast("long")).drop("_pii_m", "_pii_n", "_pii_attempts")
