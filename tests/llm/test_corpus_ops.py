@@ -38,7 +38,7 @@ def test_suffix_array():
         assert sd.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize("hot", [512, 3, 0])
+@pytest.mark.parametrize("hot", [2048, 3, 0])
 def test_repeats_are_removed_exactly(spark, hot, monkeypatch):
     monkeypatch.setattr(sd, "HOT", hot)
     rng = random.Random(5)

@@ -6,13 +6,15 @@ in the same text or another, is removed. The suffix sort is distributed by conte
 1. Every window of ``length`` bytes goes to the bin of the least hash among its
    64-byte strings, so equal windows share a bin. Neighbouring windows of one bin
    travel as one run (a stretch of text), so far only as digest, place and length.
+   Digests are 128 bits of a cryptographic hash of the bytes: equal ones are equal bytes.
 2. Bins with one run hold no repeat. If a bin's runs are all the same stretch,
    every window in them repeats. All other bins are sorted: one copy of each
    different stretch is fetched, and the bins' suffix arrays are built by the
    difference-cover algorithm (sort sampled triples, recurse on their names, merge
    the remaining suffixes); neighbours in it that agree in ``length`` bytes repeat.
-3. A bin of more than ``HOT`` different stretches is not sorted in one task: its
-   windows are dealt out by a 128-bit hash, packed, and equal ones counted.
+3. A bin of more than ``HOT`` runs is too much for one task's sort: the windows of its
+   different stretches are dealt out by such a digest of their bytes, packed, and
+   equal ones counted, ``PIECES`` pieces a task one after the other.
 
 A repeat between two runs of one bin at once makes a text's own windows count as
 well. Bins are sorted some at a time (``BATCH`` bytes), so memory is bounded.
@@ -34,11 +36,11 @@ from pyspark.sql import functions as F
 from .common import parts, small_batches, staged
 from .shingles import BASE, INVERSE, mixed, powers
 
-GRAM, LONGEST, SEGMENT, BATCH, HOT = 64, 256, 1 << 18, 1 << 20, 512
+GRAM, LONGEST, SEGMENT, BATCH, HOT, PIECES = 64, 256, 1 << 18, 1 << 20, 2048, 32
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix array of symbols from 1 on (fewer than 2 ** 20 of them, values under 2 ** 20)."""
+    """Suffix array of symbols from 1 on (fewer than 2 ** 21 of them, values under 2 ** 21)."""
     n = len(s)
     if n < 4:
         return np.array(sorted(range(n), key=lambda i: tuple(s[i:])), np.int64)
@@ -89,6 +91,11 @@ def prefix_hash(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, powers(INVERSE, size)
 
 
+def digest_of(raw: bytes) -> bytes:
+    """128 bits that stand for these bytes."""
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
 def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     """(text, start, windows, bin, digest, repeats itself perhaps) of all runs of all texts."""
     parts_, held, size = [], [], 0
@@ -103,8 +110,8 @@ def runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     if held:
         parts_.append(_runs(held, length))
     if not parts_:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64, np.int64, np.int32))
-    return tuple(np.concatenate(x) for x in zip(*parts_, strict=True))
+        return (*(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int64)), [], np.zeros(0, np.int32))
+    return tuple(sum(x, []) if isinstance(x[0], list) else np.concatenate(x) for x in zip(*parts_, strict=True))
 
 
 def _runs(held: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
@@ -134,7 +141,8 @@ def _runs(held: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray,
         nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
         start, end = start[which] + nth * LONGEST, np.minimum(start[which] + (nth + 1) * LONGEST, end[which])
     n = end - start
-    digest = mixed((sums[end + length - 1] - sums[start]) * inverse[start] + n.astype(np.uint64))
+    raw = b.tobytes()
+    digest = [digest_of(raw[x:y]) for x, y in zip(start.tolist(), (end + length - 1).tolist(), strict=True)]
     # A run can hold equal windows only if its bin's 64 bytes are in it twice.
     most = least(np.concatenate([np.zeros(width - 1, np.uint64), np.where(ok, low, 0), np.zeros(width - 1, np.uint64)]), width, np.maximum)
     anchor = np.flatnonzero(grams == most[: len(grams)])
@@ -144,7 +152,7 @@ def _runs(held: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray,
     twice = np.searchsorted(place, mine | (end + width - 2), "right") - np.searchsorted(place, mine | start) > 1
     owner = np.searchsorted(begin, start, "right") - 1
     texts, offset = np.array([x[0] for x in held]), np.array([x[1] for x in held])
-    return texts[owner], (start - begin[owner] + offset[owner]).astype(np.int32), n.astype(np.int32), low[start].view(np.int64), digest.view(np.int64), twice.astype(np.int32)
+    return texts[owner], (start - begin[owner] + offset[owner]).astype(np.int32), n.astype(np.int32), low[start].view(np.int64), digest, twice.astype(np.int32)
 
 
 def repeated_windows(stretches: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
@@ -170,7 +178,7 @@ def repeated_windows(stretches: list[bytes], counts: np.ndarray, length: int) ->
     return out
 
 
-def _stretch_rows(keys: list[tuple[int, int]], flags: list[np.ndarray]) -> pa.RecordBatch:
+def _stretch_rows(keys: list[tuple[int, bytes]], flags: list[np.ndarray]) -> pa.RecordBatch:
     """(bin, digest, starts, lengths) of the repeated windows of each stretch that has some."""
     bins, digests, starts, lengths = [], [], [], []
     for (b, d), flag in zip(keys, flags, strict=True):
@@ -181,10 +189,10 @@ def _stretch_rows(keys: list[tuple[int, int]], flags: list[np.ndarray]) -> pa.Re
             starts.append(edge[::2].astype(np.int32))
             lengths.append((edge[1::2] - edge[::2]).astype(np.int32))
     ints = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(digests, pa.int64()), pa.array(starts, ints), pa.array(lengths, ints)], names=["bin", "digest", "starts", "lengths"])
+    return pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), pa.array(digests, pa.binary()), pa.array(starts, ints), pa.array(lengths, ints)], names=["bin", "digest", "starts", "lengths"])
 
 
-FOUND = "bin long, digest long, starts array<int>, lengths array<int>"
+FOUND = "bin long, digest binary, starts array<int>, lengths array<int>"
 
 
 def _sorted_bins(stretches: DataFrame, length: int) -> DataFrame:
@@ -208,78 +216,78 @@ def _sorted_bins(stretches: DataFrame, length: int) -> DataFrame:
     return stretches.repartition(parts(stretches.sparkSession), "bin").sortWithinPartitions("bin").mapInArrow(run, FOUND)
 
 
+def _pieces(batches, names: list[str]):
+    """The columns of each piece (rows of one ``part``, sorted together), put end to end."""
+    last, held = None, []
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        for k in range(len(part)):
+            if part[k] != last and held:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            last = part[k]
+            held.append([batch.column(name)[k].values.to_numpy(zero_copy_only=False) for name in names])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _packed(to: np.ndarray, columns: dict[str, np.ndarray], pieces: int) -> pa.RecordBatch:
+    """One row for each piece that ``to`` names: part, and its share of the columns as lists."""
+    order = np.argsort(to, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=pieces))]).astype(np.int32)
+    full = np.flatnonzero(np.diff(at))
+    offsets = pa.array(np.concatenate([at[full], at[-1:]]))
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns.values())], names=["part", *columns])
+
+
 def _hashed_bins(stretches: DataFrame, length: int) -> DataFrame:
-    """The same for hot bins: windows dealt out by hash, then those that repeat by stretch; rows of both deals are packed."""
+    """The same for hot bins: windows dealt out by digest, then those that repeat by stretch; rows of both deals are packed."""
     width = parts(stretches.sparkSession)
-    other = 0xC2B2AE3D27D4EB4F
+    pieces = width * PIECES
 
     def deal(batches):
         for batch in batches:
-            keys = list(zip(batch.column("bin").to_pylist(), batch.column("digest").to_pylist(), strict=True))
-            copies = batch.column("copies").to_pylist()
-            cols = [[] for _ in range(6)]
-            for (b, d), n, raw in zip(keys, copies, batch.column("bytes").to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint8)
-                sums, inverse = prefix_hash(x)
-                h = mixed((sums[length:] - sums[:-length]) * inverse[: len(x) - length + 1])
-                y = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(7)) * powers(other, 1 << 10)[: len(x)])])
-                g = mixed((y[length:] - y[:-length]) * powers(pow(other, -1, 1 << 64), 1 << 10)[: len(x) - length + 1])
-                m = len(h)
-                for col, v in zip(cols, (h.view(np.int64), g.view(np.int64), np.full(m, b), np.full(m, d), np.arange(m), np.full(m, n)), strict=True):
+            cols = [[] for _ in range(5)]
+            for d, n, raw in zip(batch.column("digest").to_pylist(), batch.column("copies").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+                m = len(raw) - length + 1
+                window = np.frombuffer(b"".join(digest_of(raw[i : i + length]) for i in range(m)), np.int64).reshape(-1, 2)
+                name = np.frombuffer(d, np.int64)
+                for col, v in zip(cols, (window[:, 0], window[:, 1], np.full((m, 2), name), np.arange(m), np.full(m, n)), strict=True):
                     col.append(v)
-            if not keys:
+            if not cols[0]:
                 continue
-            flat = [np.concatenate(c).astype(np.int64) for c in cols]
-            to = (flat[0].view(np.uint64) % np.uint64(width)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            at = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=width))]).astype(np.int32)
-            full = np.flatnonzero(np.diff(at))
-            offsets = pa.array(np.concatenate([at[full], at[-1:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in flat)], names=["part", "h", "g", "bin", "digest", "at", "copies"])
+            h, g, name, at, n = (np.concatenate(c) for c in cols)
+            yield _packed((h.view(np.uint64) % np.uint64(pieces)).astype(np.int64), {"h": h, "g": g, "a": name[:, 0], "b": name[:, 1], "at": at, "copies": n.astype(np.int64)}, pieces)
 
     def count(batches):
-        flat = [[] for _ in range(6)]
-        for batch in batches:
-            for col, name in zip(flat, ("h", "g", "bin", "digest", "at", "copies"), strict=True):
-                col.append(batch.column(name).flatten().to_numpy())
-        if not flat[0]:
-            return
-        h, g, b, d, at, n = (np.concatenate(c) for c in flat)
-        order = np.lexsort((g, h))
-        h, g, b, d, at, n = (x[order] for x in (h, g, b, d, at, n))
-        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-        twice = n > 1
-        twice[1:] |= same
-        twice[:-1] |= same
-        b, d, at = b[twice], d[twice], at[twice]
-        to = ((b ^ d).view(np.uint64) % np.uint64(width)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        ends = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=width))]).astype(np.int32)
-        full = np.flatnonzero(np.diff(ends))
-        offsets = pa.array(np.concatenate([ends[full], ends[-1:]]))
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (b, d, at))], names=["part", "bin", "digest", "at"])
+        for h, g, a, b, at, n in _pieces(batches, ["h", "g", "a", "b", "at", "copies"]):
+            order = np.lexsort((g, h))
+            same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
+            twice = n[order] > 1
+            twice[1:] |= same
+            twice[:-1] |= same
+            keep = order[twice]
+            if len(keep):
+                yield _packed((a[keep].view(np.uint64) % np.uint64(pieces)).astype(np.int64), {"a": a[keep], "b": b[keep], "at": at[keep]}, pieces)
 
     def gather(batches):
-        flat = [[] for _ in range(3)]
-        for batch in batches:
-            for col, name in zip(flat, ("bin", "digest", "at"), strict=True):
-                col.append(batch.column(name).flatten().to_numpy())
-        if not flat[0]:
-            return
-        b, d, at = (np.concatenate(c) for c in flat)
-        order = np.lexsort((at, d, b))
-        b, d, at = b[order], d[order], at[order]
-        other_stretch = np.concatenate([[True], (b[1:] != b[:-1]) | (d[1:] != d[:-1])])
-        starts = np.flatnonzero(other_stretch | np.concatenate([[True], at[1:] != at[:-1] + 1]))
-        lengths = np.diff(np.concatenate([starts, [len(at)]]))
-        first = np.flatnonzero(other_stretch[starts])
-        offsets = pa.array(np.concatenate([first, [len(starts)]]).astype(np.int32))
-        of = starts[first]
-        yield pa.RecordBatch.from_arrays([pa.array(b[of]), pa.array(d[of]), pa.ListArray.from_arrays(offsets, pa.array(at[starts].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(lengths.astype(np.int32)))], names=["bin", "digest", "starts", "lengths"])
-
-    longs = ", ".join(f"{c} array<long>" for c in ("h", "g", "bin", "digest", "at", "copies"))
-    counted = stretches.mapInArrow(deal, f"part int, {longs}").repartition(width, "part").mapInArrow(count, "part int, bin array<long>, digest array<long>, at array<long>")
-    return counted.repartition(width, "part").mapInArrow(gather, FOUND)
+        for a, b, at in _pieces(batches, ["a", "b", "at"]):
+            order = np.lexsort((at, b, a))
+            a, b, at = a[order], b[order], at[order]
+            other = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            starts = np.flatnonzero(other | np.concatenate([[True], at[1:] != at[:-1] + 1]))
+            lengths = np.diff(np.concatenate([starts, [len(at)]]))
+            first = np.flatnonzero(other[starts])
+            offsets = pa.array(np.concatenate([first, [len(starts)]]).astype(np.int32))
+            names = [x.tobytes() for x in np.stack([a, b], 1)[starts[first]]]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(at[starts].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(lengths.astype(np.int32)))], names=["digest", "starts", "lengths"])
+
+    longs = lambda *names: "part int, " + ", ".join(f"{c} array<long>" for c in names)
+    sorted_ = lambda df: df.repartition(width, "part").sortWithinPartitions("part")
+    counted = sorted_(stretches.mapInArrow(deal, longs("h", "g", "a", "b", "at", "copies"))).mapInArrow(count, longs("a", "b", "at"))
+    found = sorted_(counted).mapInArrow(gather, "digest binary, starts array<int>, lengths array<int>")
+    # A stretch is in one bin only: its windows share their least hash.
+    return found.join(stretches.select("bin", "digest"), "digest").select("bin", "digest", "starts", "lengths")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,18 +304,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         for batch in batches:
             text, start, n, bin_, digest, twice = runs_of([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], length)
             at = pa.array(text)
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("tag").take(at), *map(pa.array, (start, n, bin_, digest, twice))], names=["k", "tag", "start", "n", "bin", "digest", "twice"])
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("tag").take(at), pa.array(start), pa.array(n), pa.array(bin_), pa.array(digest, pa.binary()), pa.array(twice)], names=["k", "tag", "start", "n", "bin", "digest", "twice"])
 
-    runs = whole.select("k", "tag", "text").mapInArrow(cut, "k long, tag int, start int, n int, bin long, digest long, twice int")
+    runs = staged(whole.select("k", "tag", "text").mapInArrow(cut, "k long, tag int, start int, n int, bin long, digest binary, twice int"), "windows")
     stats = runs.groupBy("bin").agg(F.count("*").alias("runs"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("twice").alias("twice"))
-    stats = stats.where("runs > 1 or twice > 0").select("bin", ((F.col("lo") == F.col("hi")) & (F.col("twice") == 0)).alias("plain"))
+    stats = stats.where("runs > 1 or twice > 0").select("bin", ((F.col("lo") == F.col("hi")) & (F.col("twice") == 0)).alias("plain"), (F.col("runs") > HOT).alias("hot"))
     shared = staged(runs.drop("twice").join(stats, "bin"), "runs")
 
     texts = whole.repartition(width, "k", "tag")  # one exchange, used by both joins below
     mixed_bins = shared.where("not plain")
-    one = mixed_bins.groupBy("bin", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("k", "tag", "start", "n")).alias("at"))
-    hot = one.groupBy("bin").agg(F.count("*").alias("different")).select("bin", (F.col("different") > HOT).alias("hot"))
-    wanted = one.join(hot, "bin").select("bin", "digest", "copies", "hot", F.col("at.k").alias("k"), F.col("at.tag").alias("tag"), F.col("at.start").alias("start"), F.col("at.n").alias("n"))
+    one = mixed_bins.groupBy("bin", "digest", "hot").agg(F.count("*").alias("copies"), F.min(F.struct("k", "tag", "start", "n")).alias("at"))
+    wanted = one.select("bin", "digest", "copies", "hot", F.col("at.k").alias("k"), F.col("at.tag").alias("tag"), F.col("at.start").alias("start"), F.col("at.n").alias("n"))
     lists = wanted.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "n", "bin", "digest", "copies", "hot")).alias("runs"))
 
     def fetch(batches):
@@ -318,9 +325,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                 rows += [(r["bin"], r["digest"], r["copies"], r["hot"], raw[r["start"] : r["start"] + r["n"] + length - 1]) for r in runs_]
             for s in range(0, len(rows), 20_000):
                 cols = zip(*rows[s : s + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bin", "digest", "copies", "hot", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bin", "digest", "copies", "hot", "bytes"])
 
-    fetched = texts.join(lists.hint("shuffle_hash"), ["k", "tag"]).select("text", "runs").mapInArrow(fetch, "bin long, digest long, copies long, hot boolean, bytes binary")
+    fetched = texts.join(lists.hint("shuffle_hash"), ["k", "tag"]).select("text", "runs").mapInArrow(fetch, "bin long, digest binary, copies long, hot boolean, bytes binary")
     fetched = staged(fetched, "stretches")
     found = _sorted_bins(fetched.where("not hot").drop("hot"), length).unionByName(_hashed_bins(fetched.where("hot").drop("hot"), length))
     parts_ = found.select("bin", "digest", F.explode(F.arrays_zip("starts", "lengths")).alias("x"))
