@@ -133,9 +133,39 @@ def test_chat_round_trip(spark):
         got = out[conv]
         assert got["round_trip"] and [tuple(t) for t in got["turns"]] == source
         assert len(re.findall(r"<s>|</s>|\[/?INST\]", got["formatted"])) == 4 * len(source)
+        masked = [got["formatted"][x["start"] : x["start"] + x["length"]] for x in got["loss_mask"]]
+        assert [re.sub(r"([<\[])\\(\\*)(/?(?:s>|INST\]))", r"\1\2\3", x) if got["escaped"] else x for x in masked] == [t for r, t in source if r == "assistant"]
     assert chat.format_chats(df.where("turn < 0")).count() == 0
 
 
+def test_the_grammar_refuses_what_it_does_not_say(spark):
+    whole = "<s>[INST]user[/INST]hi</s>"
+    texts = [whole, whole + "x", "x" + whole, "<s>[INST]user hi</s>", "<s>[INST]a[/INST]b[/INST]c</s>", "<s>[INST]a[/INST]<s>b</s>", "", whole * 2]
+    got = documents(spark, texts).select("doc_id", chat.parse(F.col("text")).alias("turns")).orderBy("doc_id").collect()
+    assert [None if r["turns"] is None else len(r["turns"]) for r in got] == [1, None, None, None, None, None, 0, 2]
+
+
+def test_registered_domains(spark):
+    want = {
+        "a.com.mx": ("a.com.mx", "com.mx"), "b.a.com.mx:80": ("a.com.mx", "com.mx"), "x.gov.uk": ("x.gov.uk", "gov.uk"), "1.2.3.4": ("1.2.3.4", "(address)"), "www.x.org": ("x.org", "org"),
+        "com": ("com", "com"), "": ("", ""), "u.blog.example.net": ("u.blog.example.net", "blog.example.net"), "[::1]": ("[::1]", "(address)"),
+    }
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    got = {r["host"]: (r["domain"], r["suffix"]) for r in url_reputation.with_levels(hosts, spark.createDataFrame([("blog.example.net",), ("net",)], "s string")).collect()}
+    assert got == want
+
+
+def test_many_languages_and_rows_without_ids(spark):
+    rng = random.Random(7)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 70 * 6)]
+    some = lambda k: " ".join("".join(rng.choice(alphabet[6 * k : 6 * k + 6]) for _ in range(4)) for _ in range(30))
+    rows = [(None, some(k), f"l{k:02d}") for k in range(70) for _ in range(6)]
+    model = langid.learn(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string"), min_count=2)
+    assert len(model.languages) == 70 and model.table.shape[0] == 2
+    names, score, _ = model.predict([some(k) for k in range(70)])
+    assert names == [f"l{k:02d}" for k in range(70)] and score.min() > 0.8
+
+
 def plain_rule(host, path):
     best = None
     for verdict, h, p in q.URL_RULES:

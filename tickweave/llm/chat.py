@@ -6,12 +6,14 @@ Grammar of the formatted text::
     turn         := "<s>[INST]" role "[/INST]" text "</s>"
 
 A control string inside a role or text gets one backslash after its first
-character (``</s>`` becomes ``<\\/s>``), one more if it has some already, so
-escaping is reversible and no control string is left. The plain rendering is
-parsed first; if the turns read back differ from the source, or content holds a
-control string of its own, the escaped one is rendered and compared as well
-(``round_trip``). Content without control strings is the same in both, so one
-parser reads either. All of it is DataFrame expressions.
+character (``</s>`` becomes ``<\\/s>``), one more if it has some already. So no
+control string is left, and taking one backslash away gives the source back: one pass
+of escaping is always enough (tested on arbitrary strings). The plain rendering is
+parsed first by the grammar; if it does not parse or says other turns than the source,
+the escaped one is rendered, parsed and compared as well (``round_trip``).
+
+The loss mask is made while rendering: the spans (start, length, in code points) of
+``formatted`` that hold the texts of a role. All of it is DataFrame expressions.
 
 Defined cases: null role or text is empty; turns are ordered by (turn, role,
 text), repeated rows are turns of their own; a null conversation id is one
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 #: The control strings of the template.
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
+#: A control string as it stands in the grammar, without a backslash.
+PLAIN = r"[<\[]/?(?:s>|INST\])"
 ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
 
 
@@ -44,25 +48,45 @@ def render(turns: Column, change=lambda x: x) -> Column:
     return F.array_join(F.transform(turns, one), "")
 
 
+def mask(turns: Column, role: str, change=lambda x: x) -> Column:
+    """The spans (start from 0, length) of render(turns, change) that hold the texts of ``role``."""
+    span = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.slice(F.array(span), 1, 0).alias("spans"))
+
+    def step(a: Column, t: Column) -> Column:
+        start = a["at"] + F.lit(len(OPEN) + len(MIDDLE)) + F.length(change(t["role"]))
+        length = F.length(change(t["text"])).cast("long")
+        one = F.struct(start.alias("start"), length.alias("length"))
+        return F.struct((start + length + F.lit(len(CLOSE))).alias("at"), F.when(t["role"] == role, F.concat(a["spans"], F.array(one))).otherwise(a["spans"]).alias("spans"))
+
+    return F.aggregate(turns, none, step, lambda a: a["spans"])
+
+
 def parse(formatted: Column) -> Column:
-    """The array of (role, text) that a formatted text says, by the grammar.
+    """The array of (role, text) that a formatted text says, null if the grammar does not fit.
 
-    Each piece up to a closing mark is cut at its first middle mark.
+    Each piece up to a closing mark must begin with the opening mark and is cut at its
+    first middle mark; no further control string may be in it, and nothing may follow the last.
     """
-    pieces = F.split(formatted, CLOSE)
-    pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    pieces = F.split(formatted, CLOSE, -1)
+    whole = F.slice(pieces, 1, F.size(pieces) - 1)
+    inner = lambda piece: piece.substr(F.lit(len(OPEN) + 1), F.length(piece))
+
+    def fits(piece: Column) -> Column:
+        body = inner(piece)
+        return piece.startswith(OPEN) & body.contains(MIDDLE) & (F.regexp_count(body, F.lit(PLAIN)) == 1)
 
     def turn(piece: Column) -> Column:
-        body = piece.substr(F.lit(len(OPEN) + 1), F.length(piece))
+        body = inner(piece)
         role = F.substring_index(body, MIDDLE, 1)
         text = body.substr(F.length(role) + F.lit(len(MIDDLE) + 1), F.length(body))
         return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
 
-    return F.transform(pieces, turn)
+    return F.when((F.element_at(pieces, -1) == "") & F.forall(whole, fits), F.transform(whole, turn))
 
 
-def format_chats(rows: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text") -> DataFrame:
-    """conv_id, formatted, escaped, round_trip, and ``turns`` as read back from ``formatted``."""
+def format_chats(rows: DataFrame, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text", loss_role: str = "assistant") -> DataFrame:
+    """conv_id, formatted, loss_mask (spans of ``formatted``), escaped, round_trip, and ``turns`` as read back from ``formatted``."""
     empty = F.lit("")
     said = rows.select(
         F.col(conv_col).alias("conv_id"),
@@ -75,14 +99,15 @@ def format_chats(rows: DataFrame, conv_col="conv_id", turn_col="turn", role_col=
     source = said.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     source = source.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     plain = source.withColumn("_plain", render(F.col("source")))
-    marks = F.regexp_count(F.col("_plain"), F.lit(CONTROL))
-    conflict = ~parse(F.col("_plain")).eqNullSafe(F.col("source")) | (marks != 4 * F.size("source"))
-    tried = plain.withColumn("escaped", conflict)
-    done = tried.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), escape)).otherwise(F.col("_plain"))).drop("_plain")
+    tried = plain.withColumn("escaped", ~parse(F.col("_plain")).eqNullSafe(F.col("source")))
+    formatted = F.when(F.col("escaped"), render(F.col("source"), escape)).otherwise(F.col("_plain"))
+    spans = F.when(F.col("escaped"), mask(F.col("source"), loss_role, escape)).otherwise(mask(F.col("source"), loss_role))
+    done = tried.withColumn("formatted", formatted).withColumn("loss_mask", spans).drop("_plain")
     read = done.withColumn("turns", parse(F.col("formatted")))
-    return read.select("conv_id", "formatted", "escaped", "turns", F.col("turns").eqNullSafe(F.col("source")).alias("round_trip"))
+    return read.select("conv_id", "formatted", "loss_mask", "escaped", "turns", F.col("turns").eqNullSafe(F.col("source")).alias("round_trip"))
 
 
-def loss_texts(turns: Column, role: str = "assistant") -> Column:
-    """The texts under the loss mask, in order, nothing between."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == role), lambda t: t["text"]), "")
+def loss_texts(formatted: Column, loss_mask: Column) -> Column:
+    """The text under the loss mask, read from ``formatted``, unescaped, in order, nothing between."""
+    cut = lambda x: unescape(formatted.substr(x["start"].cast("int") + 1, x["length"].cast("int")))
+    return F.array_join(F.transform(loss_mask, cut), "")

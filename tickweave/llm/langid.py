@@ -1,17 +1,19 @@
 """Language identification by language-bitmask n-gram filters.
 
 Each language has a Bloom filter of the n-grams that are typical of it. The
-filters are bit-sliced: position p of the table holds one bit for each language,
-so one lookup (the AND over an n-gram's positions) returns all languages that
-contain it. A text's bits are counted for each language, the counts are corrected
+filters are bit-sliced: position p of the table holds one bit for each language
+(in words of 64), so one lookup (the AND over an n-gram's positions) returns all languages
+that contain it. A text's bits are counted for each language, the counts are corrected
 for the filters' false positives, and the largest decides.
 
-Learning reads at most ``sample`` labelled texts of each language (those with the
-smallest hash of their id); prediction reads every whole text and nothing else.
+Learning reads at most ``sample`` different labelled texts of each language (those with the
+smallest hash of id and text) and keeps their ``grams_each`` most frequent n-grams of each
+size; prediction reads every whole text and nothing else.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; with
-nothing learned every text is ``und``; repeated rows are predicted each; at most
-64 languages (more are an error); other columns are ignored.
+nothing learned every text is ``und``; repeated rows are predicted each and learned from
+once; rows without an id are learned from as others; more than MOST languages are
+an error (labels are then no languages); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import small_batches
 SIZES = (2, 3, 4)
 PROBES = 3
 CHUNK = 400_000
+#: Labels beyond which the column holds no languages.
+MOST = 10_000
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LETTER: list[np.ndarray] = []
 
@@ -84,18 +88,19 @@ def laid_out(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Filters:
-    """A learned model: languages, the bit-sliced table, each filter's false-positive rate."""
+    """A learned model: languages, the bit-sliced table (words of languages, positions), each filter's false-positive rate."""
 
     languages: list[str]
     table: np.ndarray
     wrong: np.ndarray
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        top = np.uint64(len(self.table) - 1)
+        """(words, n-grams): the languages that contain each n-gram, as bits."""
+        top = np.uint64(self.table.shape[1] - 1)
         step = (h >> np.uint64(32)) | np.uint64(1)
-        found = self.table[h & top]
+        found = self.table[:, h & top]
         for k in range(1, PROBES):
-            found = found & self.table[(h + np.uint64(k) * step) & top]
+            found &= self.table[:, (h + np.uint64(k) * step) & top]
         return found
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +118,7 @@ class Filters:
                 who, mask = owner[at], self.lookup(h)
                 total[:] += np.bincount(who, minlength=len(texts))
                 for k in range(len(self.languages)):
-                    by[:, k] += np.bincount(who[(mask >> self.table.dtype.type(k)) & self.table.dtype.type(1) != 0], minlength=len(texts))
+                    by[:, k] += np.bincount(who[(mask[k // 64] >> self.table.dtype.type(k % 64)) & self.table.dtype.type(1) != 0], minlength=len(texts))
             held.clear()
 
         size = 0
@@ -144,7 +149,7 @@ class Filters:
         return names, score, evidence
 
 
-def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
+def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float = 0.25, grams_each: int = 300_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters from labelled texts: at most ``sample`` of each language.
 
     An n-gram belongs to a language if it occurs ``min_count`` times in its sample
@@ -154,17 +159,17 @@ def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float
     small_batches(spark)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     # Ids are thinned by a hash first, so that a frequent language is not ranked whole in one task.
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST + 1).collect()}
     if not counts:
-        return Filters([], np.zeros(1, np.uint8), np.zeros(0))
-    if len(counts) > 64:
-        raise ValueError("more than 64 languages; a mask has 64 bits")
+        return Filters([], np.zeros((1, 1), np.uint8), np.zeros(0))
+    if len(counts) > MOST:
+        raise ValueError(f"more than {MOST} languages")
     part = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(2.0 * sample / n))]), F.col("lang"))
-    ids = named.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(7)).alias("h"))
-    thin = ids.where(F.pmod("h", F.lit(1_000_003)) < part * F.lit(1_000_003.0))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id").distinct()
-    taken = named.join(F.broadcast(chosen), "doc_id", "left_semi")  # sample rows a language at most
+    hashed = named.withColumn("h", F.xxhash64(F.lit(7), "doc_id", "text"))
+    thin = hashed.select("lang", "h").where(F.pmod("h", F.lit(1_000_003)) < part * F.lit(1_000_003.0)).distinct()
+    order = Window.partitionBy("lang").orderBy("h")
+    chosen = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("lang", "h")
+    taken = hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])  # sample rows a language at most
 
     def count(batches):
         for batch in batches:
@@ -178,21 +183,22 @@ def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.astype(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(times)], names=["lang", "h", "n", "times"])
 
     counted = taken.select("lang", "text").mapInArrow(count, "lang string, h long, n int, times long").groupBy("lang", "n", "h").agg(F.sum("times").alias("times"))
-    rows = counted.where(F.col("times") >= min_count).toPandas()  # bounded by the sample
+    often = counted.where(F.col("times") >= min_count).withColumn("k", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "h")))
+    rows = often.where(F.col("k") <= grams_each).drop("k").toPandas()  # languages * sizes * grams_each rows at most
     if not len(rows):
-        return Filters([], np.zeros(1, np.uint8), np.zeros(0))
+        return Filters([], np.zeros((1, 1), np.uint8), np.zeros(0))
     languages = sorted(rows["lang"].unique())
     rows["rate"] = rows["times"] / rows.groupby(["lang", "n"])["times"].transform("sum")
     rows = rows[rows["rate"] >= share * rows.groupby(["n", "h"])["rate"].transform("max")]
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     size = 1 << max(10, int(np.ceil(np.log2(16 * max(1, rows["lang"].value_counts().iloc[0])))))
-    table = np.zeros(size, kind)
+    table = np.zeros((-(-len(languages) // 64), size), kind)
     for k, lang in enumerate(languages):
         h = rows.loc[rows["lang"] == lang, "h"].to_numpy().astype(np.uint64)
         step = (h >> np.uint64(32)) | np.uint64(1)
         for probe in range(PROBES):
-            table[(h + np.uint64(probe) * step) & np.uint64(size - 1)] |= kind(1 << k)
-    wrong = np.array([np.mean((table >> kind(k)) & kind(1)) ** PROBES for k in range(len(languages))])
+            table[k // 64, (h + np.uint64(probe) * step) & np.uint64(size - 1)] |= kind(1 << k % 64)
+    wrong = np.array([np.mean((table[k // 64] >> kind(k % 64)) & kind(1)) ** PROBES for k in range(len(languages))])
     return Filters([str(x) for x in languages], table, wrong)
 
 

@@ -7,14 +7,17 @@ tokens are the asked part of all; ``weight`` is what is left of the rate, so
 weighted tokens of the sample have the target marginals in expectation.
 
 Only cells (not documents) are fitted. They come to the driver while they are at
-most ``MAX_CELLS``; beyond that the same sweeps run as joins of staged tables.
+most ``MAX_CELLS``; beyond that the same sweeps run as joins of staged tables, by the
+same formulas and to the same end. Sweeps stop when every share is within ``CLOSE`` of
+its target, or after ``SWEEPS``; ``gap`` says how far the farthest share then is (targets
+that no weights can meet leave one).
 
 Defined cases: null values of a dimension are the value ``(none)``; documents
 without tokens have probability 0 if their cell has no tokens at all, else their
 cell's; a target value that does not occur is ignored, a value without target
-keeps its share of the tokens; rows that repeat an id share its draw; rows
-without an id are drawn each by their text (equal texts share a draw); an empty
-table gives no rows. Drawing is by a hash of the id, or of the text, and the seed.
+keeps its share of the tokens; negative targets are 0; an empty table gives no rows.
+Drawing is by a hash of id, text and seed, so rows that share an id, or have none, are
+drawn each by their text; rows equal in both are told apart by their place in the input.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 MAX_CELLS = 100_000
-SWEEPS, CLOSE = 100, 1e-9
+SWEEPS, CLOSE = 500, 1e-9
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,6 +48,15 @@ def shares(totals: dict[str, float], wanted: dict[str, float] | float) -> dict[s
     return rest | {k: v / total * left for k, v in given.items()}
 
 
+def gap_of(cells: pd.DataFrame, w: np.ndarray, dims: list[str], targets: dict[str, dict[str, float]]) -> float:
+    """How far the farthest share is from its target (of values that have weight)."""
+    off = 0.0
+    for d in dims:
+        now = pd.Series(w).groupby(cells[d].to_numpy()).sum()
+        off = max([off, *(abs(targets[d][v] - x) for v, x in now.items() if x > 0)])
+    return off
+
+
 def rake(cells: pd.DataFrame, dims: list[str], targets: dict[str, dict[str, float]]) -> np.ndarray:
     """Fitted token weights of the cells (they sum to 1), marginals as ``targets``."""
     w = cells["tokens"].to_numpy(float) / max(1.0, cells["tokens"].sum())
@@ -86,8 +98,8 @@ def cell_rates(cells: DataFrame, dims: list[str], wanted: dict, part: float) ->
         fitted = rake(rows, dims, targets) * tokens.sum()
         rate = np.divide(fitted, tokens, out=np.zeros_like(fitted), where=tokens > 0)
         p = calibrated(tokens, rate, part)
-        rows = rows[dims].assign(rate=rate, p=p, weight=np.divide(rate, p, out=np.zeros_like(rate), where=p > 0))
-        return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", rate double, p double, weight double"))
+        rows = rows[dims].assign(rate=rate, gap=gap_of(rows, fitted / max(1.0, tokens.sum()), dims, targets), p=p, weight=np.divide(rate, p, out=np.zeros_like(rate), where=p > 0))
+        return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{d} string" for d in dims) + ", rate double, gap double, p double, weight double"))
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     live = cells.withColumn("w", F.col("tokens") / F.lit(float(total)))
     for sweep in range(SWEEPS):
@@ -96,12 +108,13 @@ def cell_rates(cells: DataFrame, dims: list[str], wanted: dict, part: float) ->
             margin = live.groupBy(d).agg(F.sum("w").alias("now"), F.sum("tokens").alias("n"))
             if isinstance(wanted[d], dict):
                 pairs = [x for k, v in wanted[d].items() for x in (F.lit(k), F.lit(float(v)))]
-                given = F.element_at(F.create_map(*pairs), F.col(d))
+                given = F.greatest(F.lit(0.0), F.element_at(F.create_map(*pairs), F.col(d))) if pairs else F.lit(None).cast("double")
+                given = F.when(F.element_at(F.create_map(*pairs), F.col(d)).isNotNull(), given) if pairs else given
                 base = F.col("n") / F.lit(float(total))
                 sums = margin.agg(F.sum(F.when(given.isNull(), base)), F.sum(given)).first()
                 want = F.coalesce(given / F.lit(sums[1] or 1.0) * F.lit(max(0.0, 1 - (sums[0] or 0.0))), base)
             else:
-                power = F.pow(F.col("n") / F.lit(float(total)), F.lit(float(wanted[d])))
+                power = F.when(F.col("n") > 0, F.pow(F.col("n") / F.lit(float(total)), F.lit(float(wanted[d])))).otherwise(0.0)
                 want = power / F.lit(margin.agg(F.sum(power)).first()[0] or 1.0)
             factors = staged(margin.select(d, want.alias("want"), "now"), "rake-margin")
             worst = max(worst, factors.where("now > 0").agg(F.max(F.abs(F.col("want") - F.col("now")))).first()[0] or 0.0)
@@ -109,6 +122,7 @@ def cell_rates(cells: DataFrame, dims: list[str], wanted: dict, part: float) ->
         live = staged(live, "rake-sweep")
         if worst < CLOSE:
             break
+    gap = worst
     rated = live.withColumn("rate", F.when(F.col("tokens") > 0, F.col("w") * total / F.col("tokens")).otherwise(0.0))
     low, high = 0.0, 1.0 / (rated.where("rate > 0").agg(F.min("rate")).first()[0] or 1.0)
     for _ in range(50):
@@ -116,7 +130,7 @@ def cell_rates(cells: DataFrame, dims: list[str], wanted: dict, part: float) ->
         got = rated.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("rate") * mid))).first()[0] or 0.0
         low, high = (mid, high) if got < part * total else (low, mid)
     p = F.least(F.lit(1.0), F.col("rate") * high)
-    return rated.select(*dims, "rate", p.alias("p"), F.when(p > 0, F.col("rate") / p).otherwise(0.0).alias("weight"))
+    return rated.select(*dims, "rate", F.lit(gap).alias("gap"), p.alias("p"), F.when(p > 0, F.col("rate") / p).otherwise(0.0).alias("weight"))
 
 
 def _dims(wanted: dict) -> list:
@@ -127,34 +141,47 @@ def _tokens(text_col: str):
     return F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORDS)).cast("long")
 
 
-def _draw(id_col: str, seed: int, text_col: str):
-    h = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col, F.lit(seed))).otherwise(F.xxhash64(F.col(text_col).cast("string"), F.lit(seed)))
-    return F.pmod(h, F.lit(1 << 53)) / F.lit(float(1 << 53))
+def _with_draw(rows: DataFrame, id_col: str, h: str, seed: int) -> DataFrame:
+    """rows with ``_draw`` in [0, 1): of (id, h) and the seed, and for rows equal in both also of their place."""
+    key = F.xxhash64(id_col, h, F.lit(seed))
+    unit = lambda x: F.pmod(x, F.lit(1 << 53)) / F.lit(float(1 << 53))
+    again = rows.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    if again.isEmpty():
+        return rows.withColumn("_draw", unit(key))
+    placed = rows.withColumns({"_key": key, "_at": F.monotonically_increasing_id()})
+    marked = placed.join(again.withColumn("_many", F.lit(True)).hint("shuffle_hash"), "_key", "left")
+    return marked.withColumn("_draw", unit(F.when(F.col("_many"), F.xxhash64("_key", "_at")).otherwise(F.col("_key")))).drop("_key", "_at", "_many")
+
+
+def _rows(docs: DataFrame, wanted: dict, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, the dimensions, n_tokens, _draw of every row: no texts."""
+    text = F.col(text_col).cast("string")
+    one = docs.select(F.col(id_col).alias("doc_id"), *_dims(wanted), _tokens(text_col).alias("n_tokens"), F.xxhash64(text).alias("_h"))
+    return _with_draw(staged(one, "mixing"), "doc_id", "_h", seed)
 
 
 def sample(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: float = 0.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that mix() selects, with all their columns; while cells are few, texts are not shuffled."""
+    """The rows of docs that mix() selects (of rows equal in id and text, as many as drawn), with all their columns.
+
+    While cells are few, texts are not shuffled unless rows repeat.
+    """
     dims = list(wanted)
     cells = docs.select(*_dims(wanted), _tokens(text_col).alias("n")).groupBy(*dims).agg(F.sum("n").alias("tokens"))
     rates = cell_rates(staged(cells, "cells"), dims, wanted, part).select(*[F.col(d).alias(f"_mix_{d}") for d in dims], F.col("p").alias("_mix_p"))
     match = [F.coalesce(F.col(d).cast("string"), F.lit("(none)")) == F.col(f"_mix_{d}") for d in dims]
-    return docs.join(rates, match).where(_draw(id_col, seed, text_col) < F.col("_mix_p")).select(*docs.columns)
+    drawn = _with_draw(docs.withColumn("_mix_h", F.xxhash64(F.col(text_col).cast("string"))), id_col, "_mix_h", seed)
+    return drawn.join(rates, match).where(F.col("_draw") < F.col("_mix_p")).select(*docs.columns)
 
 
 def mix(docs: DataFrame, wanted: dict[str, dict[str, float] | float], part: float = 0.5, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the dimensions, n_tokens (words), rate, p, weight, selected.
+    """doc_id, the dimensions, n_tokens (words), rate, gap, p, weight, selected.
 
     wanted: dimension (a column) -> target shares, or a power for tempered shares.
     """
     dims = list(wanted)
-    one = docs.select(
-        F.col(id_col).alias("doc_id"),
-        *_dims(wanted),
-        _tokens(text_col).alias("n_tokens"),
-        _draw(id_col, seed, text_col).alias("_draw"),
-    )
-    one = staged(one, "mixing")
+    one = _rows(docs, wanted, seed, id_col, text_col)
     cells = one.groupBy(*dims).agg(F.sum("n_tokens").alias("tokens"))
     rated = one.join(cell_rates(cells, dims, wanted, part), dims, "left")
     p = F.coalesce("p", F.lit(0.0))
-    return rated.select("doc_id", *dims, "n_tokens", F.coalesce("rate", F.lit(0.0)).alias("rate"), p.alias("p"), F.coalesce("weight", F.lit(0.0)).alias("weight"), (F.col("_draw") < p).alias("selected"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return rated.select("doc_id", *dims, "n_tokens", zero("rate"), "gap", p.alias("p"), zero("weight"), (F.col("_draw") < p).alias("selected"))

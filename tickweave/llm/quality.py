@@ -53,7 +53,6 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.filter(F.split("_t", SPACE), lambda w: w != "").alias("_w"),
         F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
         F.regexp_count("_t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
-        F.regexp_count("_t", F.lit(r"\p{Ll}+")).alias("_runs"),
         F.length(F.regexp_replace("_t", r"\P{Ll}+", "")).cast("long").alias("n_lower"),
     )
     n = F.size("_w")

@@ -28,6 +28,11 @@ def op2_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's second use: what each rule of policy v2 rejects, and rejects alone."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")), "v2")
+
+
 def op3_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +70,7 @@ def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = chat.format_chats(rows.unionByName(extra))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = chat.loss_texts(F.col("turns"))
+    loss = chat.loss_texts(F.col("formatted"), F.col("loss_mask"))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -110,6 +115,7 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_quality_ledger": op2_quality_ledger,
+    "quality_ablations": quality_ablations,
     "op3_prefix_bpe": op3_prefix_bpe,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_host_reputation": op5_host_reputation,
@@ -133,6 +139,10 @@ m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_c
 f AS (SELECT *, CAST({" + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, (_, rule) in enumerate(quality.RULES))} AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, failed & {quality.mask("base")} <> 0 AS base_failed, failed & {quality.mask("base") | quality.mask("v2")} = 0 AS kept FROM f"""
 
+_V2 = ", ".join(f"('{rule}', {1 << k})" for k, (rule, _) in enumerate(quality.RULES) if rule in quality.POLICIES["v2"])
+_ABLATION_SQL = f"""SELECT rule, count(*) FILTER (WHERE failed & bit <> 0) AS failed, count(*) FILTER (WHERE failed & {quality.mask("v2")} = bit) AS rejected_alone,
+  CAST(coalesce(sum(n_words) FILTER (WHERE failed & {quality.mask("v2")} = bit), 0) AS BIGINT) AS words_alone FROM ({_QUALITY_SQL}), (VALUES {_V2}) t(rule, bit) GROUP BY 1"""
+
 _RULE_SQL = "CASE " + " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{{k}}}" for k, (_, h, p) in sorted(enumerate(URL_RULES), key=lambda r: -len(r[1][1] + r[1][2]))
 ) + " END"
@@ -152,8 +162,8 @@ p AS (SELECT page_id, translate(regexp_extract(after, '^([^/?#]*)', 1), 'ABCDEFG
 h0 AS (SELECT host, count(l.bad) AS n, coalesce(sum(l.bad), 0) AS b FROM p LEFT JOIN (SELECT doc_id, CAST(quality = 0 OR toxic = 1 AS INT) AS bad FROM labels) l ON l.doc_id = page_id GROUP BY 1),
 h1 AS (SELECT *, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS parts FROM h0),
 h2 AS (SELECT *, array_to_string(list_slice(parts, greatest(1, len(parts) - 1), len(parts)), '.') AS two FROM h1),
-h AS (SELECT host, n, b, CASE WHEN two IN ({", ".join(f"'{s}'" for s in url_reputation.WIDE_SUFFIXES)}) THEN two ELSE parts[len(parts)] END AS suffix,
-  CASE WHEN two IN ({", ".join(f"'{s}'" for s in url_reputation.WIDE_SUFFIXES)}) THEN array_to_string(list_slice(parts, greatest(1, len(parts) - 2), len(parts)), '.') ELSE two END AS domain FROM h2),
+h AS (SELECT host, n, b, CASE WHEN array_to_string(parts, '.') SIMILAR TO '{url_reputation.ADDRESS[1:-1]}' THEN '(address)' WHEN regexp_matches(two, '{url_reputation.WIDE}') THEN two ELSE parts[len(parts)] END AS suffix,
+  CASE WHEN array_to_string(parts, '.') SIMILAR TO '{url_reputation.ADDRESS[1:-1]}' THEN array_to_string(parts, '.') WHEN regexp_matches(two, '{url_reputation.WIDE}') THEN array_to_string(list_slice(parts, greatest(1, len(parts) - 2), len(parts)), '.') ELSE two END AS domain FROM h2),
 d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(b) AS b FROM h GROUP BY 1), s AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM d GROUP BY 1),
 k AS (SELECT {_strength_sql("h")} AS kh, {_strength_sql("d")} AS kd, {_strength_sql("s")} AS ks, (SELECT (sum(b) + 0.5) / (sum(n) + 1.0) FROM h) AS p0),
 sm AS (SELECT suffix, (b + ks * p0) / (n + ks) AS ms FROM s, k), dm AS (SELECT domain, (b + kd * ms) / (n + kd) AS md FROM d JOIN sm USING (suffix), k),
@@ -184,6 +194,7 @@ FROM d JOIN cl ON cl.x = d.doc_id LEFT JOIN nl ON nl.x = d.doc_id"""
 #: cannot state (or not at this size); tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op2_quality_ledger": _QUALITY_SQL,
+    "quality_ablations": _ABLATION_SQL,
     "op5_host_reputation": _URL_SQL,
     "op6_chat_round_trip": _CHAT_SQL,
     "op9_ngram_jaccard": _JACCARD_SQL,

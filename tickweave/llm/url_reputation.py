@@ -21,8 +21,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes of more than one label, beside the last label alone.
-WIDE_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "com.cn"]
+from .common import staged
+
+#: Second-level labels under which country registries hand out names.
+REGISTRY_LABELS = ["ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gub", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch"]
+#: A suffix of two labels by rule: one of those under a country's two letters.
+WIDE = rf"^(?:{'|'.join(REGISTRY_LABELS)})\.[a-z]{{2}}$"
+#: Hosts that are addresses: four numbers, or in brackets.
+ADDRESS = r"^(?:\d+\.\d+\.\d+\.\d+|\[.*\])$"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -44,14 +50,31 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return name, verdict
 
 
-def with_levels(df: DataFrame) -> DataFrame:
-    """Adds domain and suffix of ``host``."""
+def last_labels(host: Column, n: Column) -> Column:
+    return F.call_function("substring_index", host, F.lit("."), -n)
+
+
+def with_levels(df: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds domain and suffix of ``host``.
+
+    A suffix is the last label, or two by the rule WIDE; ``suffixes`` (one column, such as a
+    public-suffix list) has further ones: the longest that a host ends with holds. An address is a
+    domain of its own under the suffix "(address)".
+    """
     bare = F.regexp_replace("host", r"^.*@|:\d*$", "")
     two = F.substring_index(bare, ".", -2)
-    wide = two.isin(WIDE_SUFFIXES)
-    suffix = F.when(wide, two).otherwise(F.substring_index(bare, ".", -1))
-    domain = F.when(wide, F.substring_index(bare, ".", -3)).otherwise(two)
-    return df.withColumn("domain", domain).withColumn("suffix", suffix)
+    df = df.withColumn("_bare", bare).withColumn("_suffix", F.when(two.rlike(WIDE), two).otherwise(F.substring_index(bare, ".", -1)))
+    if suffixes is not None:
+        labels = F.split("_bare", r"\.")
+        ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: last_labels(F.col("_bare"), k))
+        known = suffixes.select(F.lower(F.col(suffixes.columns[0])).alias("_end")).distinct()
+        best = df.select("host", F.explode(ends).alias("_end")).join(known, "_end").groupBy("host").agg(F.max_by("_end", F.length("_end")).alias("_own"))
+        longer = F.length("_own") > F.length("_suffix")
+        df = df.join(best, "host", "left").withColumn("_suffix", F.when(longer, F.col("_own")).otherwise(F.col("_suffix"))).drop("_own")
+    address = F.col("_bare").rlike(ADDRESS)
+    n = F.size(F.split("_suffix", r"\."))
+    domain = F.when(address, F.col("_bare")).otherwise(last_labels(F.col("_bare"), n + 1))
+    return df.withColumns({"domain": domain, "suffix": F.when(address, "(address)").otherwise(F.col("_suffix"))}).drop("_bare", "_suffix")
 
 
 def strength(row, least: float = 1.0, most: float = 1000.0) -> float:
@@ -69,15 +92,15 @@ def strength(row, least: float = 1.0, most: float = 1000.0) -> float:
     return most if rho <= 0 else min(most, max(least, (1 - rho) / rho))
 
 
-def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
     """hosts(host) and outcomes(host, bad) -> host, labelled, mean, lower (of the bad rate)."""
     seen = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("b"))
     every = hosts.select("host").distinct().join(seen, "host", "full_outer").fillna(0, ["n", "b"])
-    host = with_levels(every)
+    host = staged(with_levels(every, suffixes), "hosts")  # one row a host, read by every level
     domain = host.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("b").alias("b"))
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
     n, b = F.col("n"), F.col("b")
-    sums = lambda df: df.where(n > 0).agg(F.count("*"), F.sum(n), F.sum(b), F.sum((n * n).cast("double")), F.sum(b * b / n)).first()
+    sums = lambda df: df.where(n > 0).agg(F.count("*"), F.sum(n), F.sum(b), F.sum(n.cast("double") * n), F.sum(b.cast("double") * b / n)).first()
     at_host, at_domain, at_suffix = sums(host), sums(domain), sums(suffix)
     total, bad = at_host[1] or 0, at_host[2] or 0
     overall = (bad + 0.5) / (total + 1.0)
@@ -90,12 +113,12 @@ def reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
     return host.join(d, "domain").select("host", n.alias("labelled"), mean.alias("mean"), F.greatest(mean - z * sd, F.lit(0.0)).alias("lower"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 0.5, z: float = 1.645) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 0.5, z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
     """pages(page_id, url), outcomes(url, bad) -> page_id, host, path, rule, verdict, labelled, bad_mean, bad_lower."""
     host, path = url_parts(F.col("url"))
     cut = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     seen = outcomes.select(F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), "bad").select(host.alias("host"), "bad")
-    known = reputation(cut, seen, z)
+    known = reputation(cut, seen, z, suffixes)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     out = cut.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), verdict.alias("_v"), "labelled", F.col("mean").alias("bad_mean"), F.col("lower").alias("bad_lower"))
     own = F.when(F.col("bad_lower") > threshold, "block").otherwise("allow")
