@@ -2,10 +2,12 @@
 
 import csv
 import datetime as dt
-import math
 import os
 from zoneinfo import ZoneInfo
 
+import numpy as np
+import pandas as pd
+
 NY = ZoneInfo("America/New_York")
 
 
@@ -29,6 +31,7 @@ def write_log(root, date, product, by_type):
 
 
 def multi_venue(date="20250423"):
+    """The orders of four venues at the open, and what happens to them two seconds later."""
     t0 = ns(date, "09:30")
     t2 = t0 + 2 * 10**9
     row = lambda t, **k: {"receipttimestamp": t, **k}
@@ -46,27 +49,31 @@ def multi_venue(date="20250423"):
     }
 
 
-def out_of_order(date="20240103", cycles=400, sequence=True):
+#: The disordered log. Per cycle, feed and side one order: (type, milliseconds after
+#: its add, whether at the improved price, quantity column); clocks put the cancel before the modify.
+ORDER_LIFE = [("mt_add_order", 0, False, "quantity"), ("mt_modify_order", 300, True, "quantity"), ("mt_cancel_order", 100, False, "previousquantity")]
+#: Cycles, seconds between them, first one; middle price, swing, cycles a radian, tick; size.
+CYCLES, EVERY_S, FIRST_S, MID, SWING, PER_RADIAN, TICK, SIZE = 400, 6, 1, 470, 4, 60, 0.01, 200
+VENUES, BOOK_SIDES = ["bats_edgx", "total_view"], [("Bid", -1), ("Ask", 1)]
+
+
+def out_of_order(date="20240103", cycles=CYCLES, sequence=True):
     """Two feeds whose clocks put each cancel before the modify that it follows in sequence."""
     open_ns = ns(date, "09:30")
-    out = {"mt_add_order": [], "mt_modify_order": [], "mt_cancel_order": []}
-    number, seqs = 0, {"bats_edgx": 0, "total_view": 0}
-    for c in range(cycles):
-        mid = 470 + 4 * math.sin(c / 60)
-        for fi, f in enumerate(seqs):
-            for side, sign in (("Bid", -1), ("Ask", 1)):
-                t = open_ns + (6 * c + 1) * 10**9
-                price = round(mid + sign * (0.01 + 0.01 * fi), 2)
-                ref = f"R{number:08d}"
-                number += 1
-                base = {"f": f, "side": side, "orderreferencenumber": ref}
-                for kind, at, extra in (
-                    ("mt_add_order", t, {"price": price, "quantity": 200}),
-                    ("mt_modify_order", t + 300 * 10**6, {"price": round(price - sign * 0.01, 2), "quantity": 200, "previousorderreferencenumber": ref, "previousprice": price, "previousquantity": 200}),
-                    ("mt_cancel_order", t + 100 * 10**6, {"price": price, "previousquantity": 200}),
-                ):
-                    seqs[f] += 1
-                    out[kind].append({"receipttimestamp": at, **({"sequencenumber": seqs[f]} if sequence else {}), **base, **extra})
+    # One row an order: the grid of cycles, venues and sides; all else is arithmetic on it.
+    grid = pd.MultiIndex.from_product([range(cycles), range(2), range(2)], names=["cycle", "venue", "side"]).to_frame(index=False)
+    sign = grid["side"].map(lambda k: BOOK_SIDES[k][1])
+    price = (MID + SWING * np.sin(grid["cycle"] / PER_RADIAN) + sign * TICK * (1 + grid["venue"])).round(2)
+    started = open_ns + (EVERY_S * grid["cycle"] + FIRST_S) * 10**9
+    base = pd.DataFrame({"f": grid["venue"].map(lambda k: VENUES[k]), "side": grid["side"].map(lambda k: BOOK_SIDES[k][0]), "orderreferencenumber": [f"R{k:08d}" for k in grid.index]})
+    out = {}
+    for nth, (kind, after_ms, improved, quantity) in enumerate(ORDER_LIFE):
+        rows = base.assign(receipttimestamp=started + after_ms * 10**6, price=(price - sign * TICK).round(2) if improved else price, **{quantity: SIZE})
+        if improved:
+            rows = rows.assign(previousorderreferencenumber=rows["orderreferencenumber"], previousprice=price, previousquantity=SIZE)
+        if sequence:
+            rows = rows.assign(sequencenumber=1 + nth + len(ORDER_LIFE) * (2 * grid["cycle"] + grid["side"]))
+        out[kind] = rows.to_dict("records")
     out["mt_trade"] = [{"receipttimestamp": open_ns, "f": "none", "side": "Bid", "price": 1.0, "quantity": 0, "orderreferencenumber": "x", **({"sequencenumber": 1} if sequence else {})}]
     return out
 

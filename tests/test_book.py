@@ -8,7 +8,7 @@ from tests.market import multi_venue, ns, out_of_order, write_log
 from tickweave.operators import book, ladder, replay_checks
 from tickweave.operators.fold import fold_book
 from tickweave.operators.ordering import coverage, ordered_events
-from tickweave.plans.diagnose import diagnose, report
+from tickweave.plans.diagnose import diagnose, replayed, report
 from tickweave.plans.sessions import Asset, Window, extract_sessions, session_book
 from tickweave.schemas import EVENTS, canonical_schema
 from tickweave.sources import messages as src
@@ -79,12 +79,13 @@ def test_own_sequence_heals_the_book(spark, disorder):
 
 
 def test_diagnosis_names_the_cause(spark, disorder):
-    text, rc = report(diagnose(disorder["without"], "20240103", DAY))
+    replay = replayed(disorder["without"], "20240103", DAY)
+    text, rc = report(diagnose(disorder["without"], "20240103", DAY, replay=replay), replay)
+    assert "revived orders by feed: f=bats_edgx, n=800" in text and "wrong side, oldest: f=" in text and "born=09:30:" in text and "pinned prices: f=" in text and "sextile=5" in text
     assert rc == 3 and "sequencenumber" in text and "verdict: CODE" in text and "resurrections" in text
     healthy = diagnose(disorder["with"], "20240103", DAY)
     assert healthy.where("severity <> 'MINOR'").isEmpty(), healthy.collect()
-    ordered = ordered_events(src.replay_events(disorder["without"]))
-    assert replay_checks.resurrections(ordered).count() == 1600 and replay_checks.wrong_side(ordered).count() == 1562
+    assert replay.resurrections().count() == 1600 and replay.wrong_side().count() == 1562
 
 
 def stream(rng, n=150):
@@ -173,6 +174,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.to_dict() == pytest.approx(want.to_dict())
 
 
+def test_stream_waits_for_late_sequences(spark, tmp_path):
+    rows = [r for r in stream(random.Random(3), 120) if r[8] is not None and r[0] != "L"]
+    df = spark.createDataFrame(rows, EVENTS)
+    for k in (0, 1):  # odd sequences come a trigger later; then one far ahead of each feed
+        df.where((F.col("arrival") % 2 == k) & (F.col("arrival") < 100)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    last = [(f, "CANCEL", "Bid", None, 1.0, "none", "none", True, 10_000, 10**9, 10_000) for f in "AB"]
+    spark.createDataFrame(last, EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from tickweave.streaming.replay import level_changes
+
+    source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = level_changes(source, hold=1000, patience_ms=3_600_000).writeStream.format("memory").queryName("late").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    pdf = spark.table("late").toPandas()
+    got = pdf.groupby(["f", "side", "price"])["level"].last()
+    want = fold_book(ordered_events(df.where("arrival < 100"))).toPandas().sort_values(["f", "k1", "k2", "arrival", "sub"], kind="stable").groupby(["f", "side", "price"])["level"].last()
+    assert got.to_dict() == pytest.approx(want.to_dict())
+
+
 def test_stream_of_trades(spark, tmp_path):
     rows = [(f"2024-01-03 10:00:{s:02d}", 100.0 + s, 2.0, "Buy" if s % 2 else "sell ") for s in range(0, 40)]
     spark.createDataFrame(rows, "t string, price double, quantity double, aggressorside string").selectExpr("cast(t as timestamp) ts", "price", "quantity", "aggressorside").coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -52,6 +52,21 @@ def carried(df: DataFrame, values: list[str], order: list[str], block: str, keys
     return got.withColumns(was).drop(*[f"_{v}" for v in values])
 
 
+def previous(df: DataFrame, value: str, order: list[str], block: str, out: str, keys: list[str] = ()) -> DataFrame:
+    """Adds ``out``: value of the row before (null for the first)."""
+    keys = list(keys)
+    w = in_block(keys, block, order)
+    got = with_before(df, keys, block, {"_before": (F.max(F.struct(*order, value)), F.last)})
+    return got.withColumn(out, F.when(F.row_number().over(w) == 1, F.col(f"_before.{value}")).otherwise(F.lag(value).over(w))).drop("_before")
+
+
+def ranked(df: DataFrame, order: list[str], block: str, out: str, keys: list[str] = ()) -> DataFrame:
+    """Adds ``out``: the number of the row, from 1."""
+    keys = list(keys)
+    got = with_before(df, keys, block, {"_before": (F.count("*"), F.sum)})
+    return got.withColumn(out, F.row_number().over(in_block(keys, block, order)) + F.coalesce("_before", F.lit(0))).drop("_before")
+
+
 def ticks(df: DataFrame, price: str, order: list[str], block: str, out: str) -> DataFrame:
     """Adds ``out``: the sign of the last change of price from one row to the next (a null price is no change), null before any."""
     w, blocks = in_block([], block, order), Window.orderBy(block)

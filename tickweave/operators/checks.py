@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.operators.blocks import previous
+
 FINDING = "struct<kind:string,severity:string,check:string,subject:string,value:double,message:string>"
 #: Thresholds of the checks.
 FEW_REMOVALS, BUSY_FEED, SIDE_OK, SIDE_FATAL, BAD_FIELD, PRICE_SPREAD, PRICED = 0.2, 1000, 0.99, 0.5, 0.01, 5.0, 100
@@ -106,10 +108,10 @@ def sequence_continuity(msgs: DataFrame) -> DataFrame:
     return got.withColumn("missing", 1 - F.col("present") / F.col("span"))
 
 
-def clock_inversions(msgs: DataFrame) -> DataFrame:
-    """f, pairs, inversions: neighbours in sequence (of one type) whose clocks go back."""
-    w = Window.partitionBy("message_type", "f").orderBy("seq", "arrival")
-    step = msgs.where("seq is not null").select("f", (F.col("ts_ns") - F.lag("ts_ns").over(w)).alias("d"))
+def clock_inversions(msgs: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """f, pairs, inversions: neighbours in sequence (of one type) whose clocks go back. ``block``: sequence numbers windowed together."""
+    rows = msgs.where("seq is not null").select("message_type", "f", "seq", "arrival", "ts_ns", F.floor(F.col("seq") / block).alias("_block"))
+    step = previous(rows, "ts_ns", ["seq", "arrival"], "_block", "_was", ["message_type", "f"]).select("f", (F.col("ts_ns") - F.col("_was")).alias("d"))
     return step.groupBy("f").agg(F.count("d").alias("pairs"), F.count(F.when(F.col("d") < 0, 1)).alias("inversions"))
 
 

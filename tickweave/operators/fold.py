@@ -1,7 +1,7 @@
 """The sequential book: one feed's events applied one after the other.
 
-Used as the plain statement of the rules (tests hold the windows against it) and
-for feeds that the windows do not cover.
+The plain statement of the rules: tests hold the windows against it, and the
+streaming book applies it event by event.
 """
 
 from __future__ import annotations
@@ -18,45 +18,38 @@ SCHEMA = "f string, side string, price double, k1 long, k2 long, arrival long, s
 
 
 class Feed:
-    """Resting orders and levels of one feed."""
+    """Resting orders (reference -> side, price, size) and levels (side, price -> size) of one feed."""
 
     def __init__(self):
-        self.orders: dict[str, list] = {}
+        self.orders: dict[str, tuple[str, float, float]] = {}
         self.levels: dict[tuple[str, float], float] = {}
         self.shows_levels = False
 
-    def _drop(self, side: str, price: float, size: float) -> None:
-        left = self.levels.get((side, price), 0.0) - size
-        if left <= EPS:
-            self.levels.pop((side, price), None)
-        else:
-            self.levels[(side, price)] = left
-
-    def remove(self, ref) -> list:
-        order = self.orders.pop(ref, None) if ref is not None else None
-        if order is None:
+    def resize(self, ref, after: float) -> list:
+        """A resting order changes to size ``after`` (0: it leaves), its level by the difference; what leaves takes an empty level with it."""
+        if ref not in self.orders:
             return []
-        self._drop(*order)
-        return [order[:2]]
+        side, price, before = self.orders.pop(ref)
+        level = self.levels.get((side, price), 0.0) + after - before
+        if after > 0:
+            self.orders[ref] = (side, price, after)
+        if after > 0 or level > EPS:
+            self.levels[side, price] = level
+        else:
+            self.levels.pop((side, price), None)
+        return [[side, price]]
 
     def add(self, ref, side, price, size) -> list:
         if side not in ("Bid", "Ask") or not all(x is not None and math.isfinite(x) for x in (price, size)) or size <= 0 or ref is None:
             return []
-        touched = self.remove(ref)
-        self.orders[ref] = [side, price, size]
-        self.levels[(side, price)] = self.levels.get((side, price), 0.0) + size
+        touched = self.resize(ref, 0.0)
+        self.orders[ref] = (side, price, size)
+        self.levels[side, price] = self.levels.get((side, price), 0.0) + size
         return [*touched, [side, price]]
 
     def take(self, ref, qty) -> list:
-        order = self.orders.get(ref) if ref is not None else None
-        if order is None:
-            return []
-        side, price, size = order
-        if size - qty <= EPS:
-            return self.remove(ref)
-        order[2] = size - qty
-        self.levels[(side, price)] = self.levels.get((side, price), 0.0) - qty
-        return [[side, price]]
+        left = self.orders[ref][2] - qty if ref in self.orders else 0.0
+        return self.resize(ref, left if left > EPS else 0.0)
 
     def take_at(self, price, qty) -> list:
         have = [s for s in ("Bid", "Ask") if (s, price) in self.levels]
@@ -85,18 +78,15 @@ class Feed:
         if r.code == "ADD":
             return self.add(r.ref, r.side, r.price, r.qty), True
         if r.code == "CANCEL":
-            out = self.remove(r.ref)
+            out = self.resize(r.ref, 0.0)
             return out, bool(out)
         if r.code == "TRADE":
             out = self.take(r.ref, qty)
             if out or self.shows_levels:
                 return out, bool(out)
             return self.take_at(r.price, qty), False
-        if r.code == "MODIFY":
-            out = self.remove(r.prev_ref)
-            if not out and r.prev_ref != r.ref:
-                out = self.remove(r.ref)
-            return out + self.add(r.ref, r.side, r.price, r.qty), True
+        if r.code == "MODIFY":  # the old one leaves (if it is gone, the one of the new name), the new one comes
+            return (self.resize(r.prev_ref, 0.0) or self.resize(r.ref, 0.0)) + self.add(r.ref, r.side, r.price, r.qty), True
         return self.assign(r.side, r.price, r.qty if r.code == "LEVEL_SET" else 0.0), True
 
 

@@ -36,7 +36,11 @@ def ordered_events(events: DataFrame, order_by: str = "sequence", parity: bool =
         has = has.join(F.broadcast(some)).select("f", F.col("_any").alias("_has"))  # one row
     marked = events.join(has, "f")
     keyed = marked.withColumns({"k1": F.when(F.col("_has"), F.coalesce("seq", F.lit(LAST))).otherwise(F.col("ts_ns")), "k2": elim})
-    keyed = keyed.withColumn("_block", F.when(F.col("_has") & F.col("seq").isNull(), F.lit(LAST)).when(F.col("_has"), F.floor(F.col("seq") / block)).otherwise(F.lit(0)).cast("long"))
+    # Blocks grow with the order; rows without a sequence, the last of their feed, are cut by arrival.
+    late = F.col("seq").isNull()
+    at = F.when(late, F.lit(LAST)).otherwise(F.floor(F.col("seq") / block).cast("long"))
+    zero = F.lit(0).cast("long")
+    keyed = keyed.withColumn("_block", F.struct(at.alias("a"), F.when(late, F.col("k2")).otherwise(zero).alias("b"), F.when(late, F.floor(F.col("arrival") / block).cast("long")).otherwise(zero).alias("c")))
     degraded = keyed.where(~F.col("_has")).withColumn("eff_ts", F.col("ts_ns"))
     running = running_max(keyed.where("_has"), "ts_ns", ORDER, "_block", "eff_ts", ["f"])
     return running.unionByName(degraded).drop("_block", "_has")

@@ -72,6 +72,12 @@ def resurrections(ordered: DataFrame, life: DataFrame | None = None) -> DataFram
     return life.where("code = 'MODIFY'").where(old & ~F.col("keyless")).select("f", F.col("key").alias("ref"), *ORDER)
 
 
+def resting_again(ordered: DataFrame, life: DataFrame) -> DataFrame:
+    """f, ref of orders that such a modify brought back and that rest at the end."""
+    back = resurrections(ordered, life).drop("ref").join(ordered.where("code = 'MODIFY'").select("f", *ORDER, "ref"), ["f", *ORDER])
+    return book.resting(ordered, life).join(back.select("f", "ref").distinct(), ["f", "ref"], "left_semi").select("f", "ref")
+
+
 def check_resurrections(found: DataFrame) -> DataFrame:
     n = found.agg(F.count("*").alias("n"))
     return findings(n, finding(F.col("n") > 0, "CODE", "FATAL", "resurrections", "all", F.col("n"), "orders come back after their removal: events are replayed out of order"))
@@ -190,6 +196,24 @@ class Replay:
     def resting(self) -> DataFrame:
         return resting_series(self.ordered, self.g0_ns, self.step_ns, self.points, self.life)
 
+    def details(self) -> list[tuple[str, DataFrame]]:
+        """(title, a few rows) of what the report shows beside the findings."""
+        series = {"resting orders": (self.resting(), "resting"), "crossed": (ladder.grid(self.ordered.sparkSession, self.points).join(self.top(), "gi", "left").fillna(0, ["crossed"]), "crossed")}
+        by_feed = lambda df: df.groupBy("f").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "f").limit(6)
+        rates = self.top().agg((F.coalesce(F.sum("crossed"), F.lit(0)) / self.points).alias("consolidated")).join(self.crossings().agg((F.count_distinct("gi") / self.points).alias("any_venue")))
+        again = resting_again(self.ordered, self.life).agg(F.count("*").alias("still_resting"))
+        return [
+            ("orphans", orphan_summary(self.ordered, self.g0_ns, self.life)),
+            ("orphans by feed", orphans_by_feed(self.orphans())),
+            *((f"{name} by sixth of the session", sextiles(df, value, self.points).orderBy("sextile")) for name, (df, value) in series.items()),
+            ("crossed share", rates),
+            ("replay", book.replay_stats(self.ordered, self.life)),
+            ("revived orders by feed", by_feed(self.resurrections())),
+            ("revived orders", again),
+            ("wrong side, oldest", oldest_wrong(self.wrong_side()).orderBy(F.desc("n"), "f", "k")),
+            ("pinned prices", pins(self.crossings()).orderBy(F.desc("snapshots"), "f", "side", "price").limit(6)),
+        ]
+
     def findings(self) -> DataFrame:
         top = staged(self.top(), "top")
         crossed = F.coalesce(F.sum("crossed"), F.lit(0)) / self.points

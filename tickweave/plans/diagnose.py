@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave.operators import checks, replay_checks
+from tickweave.operators.replay_checks import Replay
 from tickweave.plans.sessions import Window
 from tickweave.sources import messages as src
 from tickweave.staging import staged
@@ -16,25 +20,41 @@ def as_checked(msgs: DataFrame, price_scale: float = 1.0) -> DataFrame:
     return msgs.select("message_type", "f", "side", (F.col("price") * price_scale).alias("price"), src.quantity(F.col("message_type")).alias("qty"), F.col("orderreferencenumber").alias("ref"), F.col("sequencenumber").alias("seq"), "ts_ns", "arrival")
 
 
-def diagnose(msgs: DataFrame, date: str, window: Window = Window(), price_scale: float = 1.0, order_by: str = "sequence", replay: bool = True, ab: bool = False, failures: dict[str, str] | None = None) -> DataFrame:  # noqa: B008
-    """All findings of a session's messages, the worst first."""
+def replayed(msgs: DataFrame, date: str, window: Window = Window(), price_scale: float = 1.0, order_by: str = "sequence") -> Replay:  # noqa: B008
+    """The replay of a session's messages that the checks and the report share."""
+    g0, step, points = window.of(date)
+    return Replay.of(src.replay_events(msgs, price_scale), g0 * 1000, step * 1000, points, order_by)
+
+
+def diagnose(msgs: DataFrame, date: str, window: Window = Window(), price_scale: float = 1.0, order_by: str = "sequence", replay: Replay | bool = True, ab: bool = False, failures: dict[str, str] | None = None) -> DataFrame:  # noqa: B008
+    """All findings of a session's messages, the worst first. replay: whether to replay, or replayed()."""
     msgs = staged(msgs, "messages")  # read once: logs are text
     g0, step, points = window.of(date)
     lo, hi = g0 * 1000, (g0 + step * (points - 1)) * 1000
     found = checks.frame_findings(as_checked(msgs, price_scale), lo, hi, list(failures or {}))
-    events = src.replay_events(msgs, price_scale)
+    if replay is True:
+        replay = replayed(msgs, date, window, price_scale, order_by)
     if replay:
-        found = found.unionByName(replay_checks.replay_findings(events, lo, step * 1000, points, order_by))
+        found = found.unionByName(replay.findings())
     if ab:
-        found = found.unionByName(replay_checks.check_ordering(replay_checks.ordering_ab(events, lo, step * 1000, points)))
+        found = found.unionByName(replay_checks.check_ordering(replay_checks.ordering_ab(src.replay_events(msgs, price_scale), lo, step * 1000, points)))
     return checks.ranked(found)
 
 
-def report(found: DataFrame) -> tuple[str, int]:
-    """(text, exit code). Findings are a few rows: one for each check and feed."""
+def shown(value, name: str, tz: str) -> str:
+    """A value of the report; names of clocks end in _ns or are ``born``."""
+    if value is not None and (name == "born" or name.endswith("_ns")):
+        return dt.datetime.fromtimestamp(value // 10**9, ZoneInfo(tz)).strftime("%H:%M:%S")
+    return "?" if value is None else f"{value:.6g}" if isinstance(value, float) else f"{value:,}" if isinstance(value, int) else str(value)
+
+
+def report(found: DataFrame, replay: Replay | None = None, tz: str = "America/New_York") -> tuple[str, int]:
+    """(text, exit code). Findings are a few rows, one for each check and feed; so are the details of a replay."""
     rows = found.collect()
     one = checks.verdict(found).first()
     lines = [f"[{r['severity']:<6}] {r['kind']} {r['check']} {r['subject']}: {r['message']} ({r['value']:.6g})" for r in rows]
+    for title, few in replay.details() if replay else []:
+        lines += [f"{title}: " + ", ".join(f"{k}={shown(v, k, tz)}" for k, v in r.asDict().items()) for r in few.collect()] or [f"{title}: none"]
     return "\n".join([*lines, f"verdict: {one['verdict']} (data {one['data']}, code {one['code']})"]), one["rc"]
 
 
@@ -65,7 +85,10 @@ def main(spark: SparkSession, argv: list[str]) -> int:
     if a.save_messages:
         src.save(msgs, a.save_messages)
     needed = {"mt_add_order", "mt_cancel_order", "mt_trade"}
-    text, rc = report(diagnose(msgs, a.date, Window(a.start, a.end, a.step), a.price_scale, a.order_by, not a.no_replay, a.ab, {k: v for k, v in failures.items() if k in needed}))
+    window, msgs = Window(a.start, a.end, a.step), staged(msgs, "messages")
+    replay = None if a.no_replay else replayed(msgs, a.date, window, a.price_scale, a.order_by)
+    found = staged(diagnose(msgs, a.date, window, a.price_scale, a.order_by, replay or False, a.ab, {k: v for k, v in failures.items() if k in needed}), "findings")
+    text, rc = report(checks.ranked(found), replay)
     print(text)
     if a.out:
         with open(a.out, "w", encoding="utf-8") as file:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickweave.functions import calendar, features
-from tickweave.operators import book, checks, ladder, replay_checks, trades
+from tickweave.operators import blocks, book, checks, ladder, replay_checks, trades
 from tickweave.operators.ordering import ordered_events
 
 HOUR_US = 3_600_000_000
@@ -313,10 +313,9 @@ TOP = SPANS + """, top AS (SELECT gi, max(price) FILTER (WHERE side = 'Bid' AND
 
 def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_seq = ordered_events(book_events(spark, sf_dir)).select(F.col("arrival").alias("event_id"), "f", F.expr("eff_ts div 1000").alias("eff_ts_us"))
-    by_clock = ordered_events(book_events(spark, sf_dir), "clock")
-    w = Window.partitionBy("f").orderBy("k1", "k2", "arrival")
-    ranked = by_clock.select(F.col("arrival").alias("event_id"), F.row_number().over(w).cast("long").alias("clock_rank"))
-    return by_seq.join(ranked, "event_id")
+    by_clock = ordered_events(book_events(spark, sf_dir), "clock").withColumn("_day", F.expr(f"k1 div {24 * HOUR_US * 1000}L"))
+    ranked = blocks.ranked(by_clock, ["k1", "k2", "arrival"], "_day", "clock_rank", ["f"])
+    return by_seq.join(ranked.select(F.col("arrival").alias("event_id"), "clock_rank"), "event_id")
 
 
 def lob_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,30 +16,64 @@ from tickweave.operators.ordering import REMOVALS
 LEVELS = "f string, side string, price double, seq long, arrival long, ts_ns long, level double, crossed boolean"
 
 
-def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    feed: Feed = pickle.loads(state.get[0]) if state.exists else Feed()
-    rows = pd.concat(list(frames), ignore_index=True)
-    rows["_elim"] = rows["code"].isin(REMOVALS)
-    rows = rows.sort_values(["seq", "_elim", "arrival"], kind="stable", na_position="last").astype({"price": object, "qty": object})
-    rows = rows.where(rows.notna(), None)
-    out = []
-    for r in rows.itertuples(index=False):
-        for side, price in feed.apply(r)[0]:
-            bids = [p for s, p in feed.levels if s == "Bid"]
-            asks = [p for s, p in feed.levels if s == "Ask"]
-            crossed = bool(bids and asks and max(bids) > min(asks))
-            out.append((r.f, side, price, r.seq, r.arrival, r.ts_ns, feed.levels.get((side, price), 0.0), crossed))
-    state.update((pickle.dumps(feed),))
-    yield pd.DataFrame(out, columns=["f", "side", "price", "seq", "arrival", "ts_ns", "level", "crossed"]).astype({"seq": "Int64"})
-
-
-def level_changes(events: DataFrame) -> DataFrame:
+FIELDS = ["f", "code", "side", "price", "qty", "ref", "prev_ref", "maintain", "seq", "ts_ns", "arrival"]
+
+
+class _Live:
+    """One feed's book with its best prices, and the events that wait for earlier ones."""
+
+    def __init__(self):
+        self.feed, self.waiting = Feed(), []
+        self.best: dict[str, float | None] = {"Bid": None, "Ask": None}
+
+    def touched(self, side: str, price: float) -> None:
+        """Keep the best price of a side; its levels are only searched when the best one goes."""
+        best, here = self.best[side], (side, price) in self.feed.levels
+        better = max if side == "Bid" else min
+        if here:
+            self.best[side] = price if best is None else better(best, price)
+        elif price == best:
+            self.best[side] = better((p for s, p in self.feed.levels if s == side), default=None)
+
+    def crossed(self) -> bool:
+        bid, ask = self.best["Bid"], self.best["Ask"]
+        return bid is not None and ask is not None and bid > ask
+
+
+def _applied(hold: int, patience_ms: int):
+    def apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live: _Live = pickle.loads(state.get[0]) if state.exists else _Live()
+        rows = pd.concat([pd.DataFrame(live.waiting, columns=FIELDS, dtype=object), *(x[FIELDS].astype(object) for x in frames)], ignore_index=True)
+        rows["_elim"] = rows["code"].isin(REMOVALS)
+        rows = rows.sort_values(["seq", "_elim", "arrival"], kind="stable", na_position="last")
+        rows = rows.where(rows.notna(), None)
+        ready = pd.Series(True, rows.index)
+        if hold and not state.hasTimedOut and rows["seq"].notna().any():
+            ready = rows["seq"].notna() & (rows["seq"].astype(float) <= float(rows["seq"].dropna().max()) - hold)
+        live.waiting = rows.loc[~ready, FIELDS].values.tolist()
+        out = []
+        for r in rows[ready].itertuples(index=False):
+            for side, price in live.feed.apply(r)[0]:
+                live.touched(side, price)
+                out.append((r.f, side, price, r.seq, r.arrival, r.ts_ns, live.feed.levels.get((side, price), 0.0), live.crossed()))
+        state.update((pickle.dumps(live),))
+        if hold and live.waiting:
+            state.setTimeoutDuration(patience_ms)
+        yield pd.DataFrame(out, columns=["f", "side", "price", "seq", "arrival", "ts_ns", "level", "crossed"]).astype({"seq": "Int64"})
+
+    return apply
+
+
+def level_changes(events: DataFrame, hold: int = 0, patience_ms: int = 10_000) -> DataFrame:
     """A stream of EVENTS -> each change of a level, with the feed's book as state.
 
-    Within a trigger a feed's rows are put in sequence order; a feed's state is
-    its resting orders and levels, kept by Spark's state store and recovered from it.
+    A feed's rows are applied in sequence order: within a trigger, and over triggers
+    as far as ``hold`` reaches: an event waits until one comes that is ``hold`` sequence
+    numbers later, or the feed is silent for ``patience_ms``. The state (resting orders,
+    levels, waiting events) is kept by Spark's state store and recovered from it.
     """
-    return events.groupBy("f").applyInPandasWithState(_apply, LEVELS, "book binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if hold else GroupStateTimeout.NoTimeout
+    return events.groupBy("f").applyInPandasWithState(_applied(hold, patience_ms), LEVELS, "book binary", "append", timeout)
 
 
 def trade_buckets(trades: DataFrame, step: str, late: str = "10 seconds") -> DataFrame:
