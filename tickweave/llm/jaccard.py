@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, small_batches, staged
-from .components import components
+from .components import SALTS, components
 from .shingles import digest, mixed, shingled, word_hashes, words_of
 
 #: Rows and bytes of sets in one block of a unit; hashes of a signature.
-BLOCK, BLOCK_BYTES, HASHES = 1024, 8 << 20, 240
+BLOCK, BLOCK_BYTES, HASHES = 512, 8 << 20, 240
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -242,10 +242,14 @@ def by_node(classes: DataFrame, checked: DataFrame) -> DataFrame:
     """classes(node, rep, copies) and joined()'s rows -> node, root, copy_id, class_id (least rep of all linked), n_links (documents)."""
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(checked.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    rooted = classes.select("node", "rep", "copies").join(groups.withColumnRenamed("u", "node"), "node", "left").join(links, "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return rooted.join(least, "root").select("node", "root", F.col("rep").alias("copy_id"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    every = classes.select("node", "rep", "copies").join(links, "node", "left")
+    n = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    alone = every.where("links is null").select("node", F.col("node").alias("root"), F.col("rep").alias("copy_id"), F.col("rep").alias("class_id"), n)
+    linked = every.where("links is not null").join(groups.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A large group's root is a hot key: its members are dealt out by salts.
+    least = linked.groupBy("root").agg(F.min("rep").alias("class_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"])
+    return dealt.select("node", "root", F.col("rep").alias("copy_id"), "class_id", n).unionByName(alone)
 
 
 def solved(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
