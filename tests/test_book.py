@@ -184,7 +184,7 @@ def test_stream_waits_for_late_sequences(spark, tmp_path):
     from tickweave.streaming.replay import level_changes
 
     source = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = level_changes(source, hold=1000, patience_ms=3_600_000).writeStream.format("memory").queryName("late").outputMode("append").start()
+    query = level_changes(source, hold=1000).writeStream.format("memory").queryName("late").outputMode("append").start()
     query.processAllAvailable()
     query.stop()
     pdf = spark.table("late").toPandas()

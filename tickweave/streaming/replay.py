@@ -40,7 +40,7 @@ class _Live:
         return bid is not None and ask is not None and bid > ask
 
 
-def _applied(hold: int, patience_ms: int):
+def _applied(hold: int):
     def apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         live: _Live = pickle.loads(state.get[0]) if state.exists else _Live()
         rows = pd.concat([pd.DataFrame(live.waiting, columns=FIELDS, dtype=object), *(x[FIELDS].astype(object) for x in frames)], ignore_index=True)
@@ -48,7 +48,7 @@ def _applied(hold: int, patience_ms: int):
         rows = rows.sort_values(["seq", "_elim", "arrival"], kind="stable", na_position="last")
         rows = rows.where(rows.notna(), None)
         ready = pd.Series(True, rows.index)
-        if hold and not state.hasTimedOut and rows["seq"].notna().any():
+        if hold and rows["seq"].notna().any():
             ready = rows["seq"].notna() & (rows["seq"].astype(float) <= float(rows["seq"].dropna().max()) - hold)
         live.waiting = rows.loc[~ready, FIELDS].values.tolist()
         out = []
@@ -57,23 +57,20 @@ def _applied(hold: int, patience_ms: int):
                 live.touched(side, price)
                 out.append((r.f, side, price, r.seq, r.arrival, r.ts_ns, live.feed.levels.get((side, price), 0.0), live.crossed()))
         state.update((pickle.dumps(live),))
-        if hold and live.waiting:
-            state.setTimeoutDuration(patience_ms)
         yield pd.DataFrame(out, columns=["f", "side", "price", "seq", "arrival", "ts_ns", "level", "crossed"]).astype({"seq": "Int64"})
 
     return apply
 
 
-def level_changes(events: DataFrame, hold: int = 0, patience_ms: int = 10_000) -> DataFrame:
+def level_changes(events: DataFrame, hold: int = 0) -> DataFrame:
     """A stream of EVENTS -> each change of a level, with the feed's book as state.
 
     A feed's rows are applied in sequence order: within a trigger, and over triggers
-    as far as ``hold`` reaches: an event waits until one comes that is ``hold`` sequence
-    numbers later, or the feed is silent for ``patience_ms``. The state (resting orders,
-    levels, waiting events) is kept by Spark's state store and recovered from it.
+    as far as ``hold`` reaches: an event waits until one of its feed comes that is ``hold``
+    sequence numbers later (so a feed's last ones wait while it is silent). The state (resting
+    orders, levels, waiting events) is kept by Spark's state store and recovered from it.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if hold else GroupStateTimeout.NoTimeout
-    return events.groupBy("f").applyInPandasWithState(_applied(hold, patience_ms), LEVELS, "book binary", "append", timeout)
+    return events.groupBy("f").applyInPandasWithState(_applied(hold), LEVELS, "book binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def trade_buckets(trades: DataFrame, step: str, late: str = "10 seconds") -> DataFrame:
