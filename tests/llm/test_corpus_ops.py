@@ -243,6 +243,9 @@ def test_no_planted_data_is_left(spark):
     seen = 0
     for r in q.op1_pii_surrogates(spark, "/root/testdata/sf0.01").collect():
         for x in pattern.findall(docs[r["doc_id"]]):
+            if re.fullmatch(r"\d{16}", x) and not luhn(x):  # no card number by its check digit: a plain number, which stays
+                assert x in r["text"]
+                continue
             seen += 1
             assert x not in r["text"]
         assert len(r["text"]) == len(docs[r["doc_id"]])
