@@ -49,15 +49,20 @@ def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_logs(df: DataFrame, root: str, folders: list[str]) -> None:
-    """Rows of numbered() with ``folder`` as CSV files in the order of event_id: <root>/<folder>/<type>, all in one job."""
-    raw = df.withColumn("type", F.expr(_KIND)).repartitionByRange(2, "event_id").sortWithinPartitions("event_id")
-    raw.selectExpr("folder", "type", *[f"{e} AS {n}" for n, e in LOG.items()]).write.partitionBy("folder", "type").option("header", True).csv(f"{root}/parts")
+    """Rows of numbered() with ``folder`` as CSV files in the order of event_id: <root>/<folder>/<type>, all in one job.
+
+    A partitioned write asks for rows sorted by its columns. The sort here begins with the
+    one that there is, never null or constant; else Spark would sort by it once more,
+    and that loses the order of event_id as soon as it spills.
+    """
+    raw = df.withColumn("at", F.concat_ws("/", "folder", F.expr(_KIND))).repartitionByRange("event_id").sortWithinPartitions("at", "event_id")
+    raw.selectExpr("at", *[f"{e} AS {n}" for n, e in LOG.items()]).write.partitionBy("at").option("header", True).csv(f"{root}/parts")
     jvm = df.sparkSession.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
     for folder in folders:
         for kind in TYPES:
-            made = path(f"{root}/parts/folder={folder.replace('/', '%2F')}/type={kind}")
+            made = path(f"{root}/parts/at={folder.replace('/', '%2F')}%2F{kind}")
             if fs.exists(made):
                 fs.mkdirs(path(f"{root}/{folder}"))
                 fs.rename(made, path(f"{root}/{folder}/{kind}"))
