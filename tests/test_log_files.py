@@ -1,7 +1,11 @@
 """Logs keep the order of their rows when the sorts of the write spill."""
 
+import csv
+import glob
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tickweave import log_queries
 
@@ -18,7 +22,19 @@ def spilling(spark):
     conf.remove(THRESHOLD)
 
 
-@pytest.mark.parametrize("name", ["log_levels"])
+@pytest.mark.parametrize("folder", ["'d/P'", "CASE user_id % 2 WHEN 0 THEN 'd/P' WHEN 1 THEN 'd/Q' END"], ids=["one", "nullable"])
+def test_files_are_in_the_order_of_event_id(spilling, tmp_path, folder):
+    rows = log_queries.numbered(spilling, DIR)
+    log_queries.write_logs(rows.withColumn("folder", F.expr(folder)), f"file://{tmp_path}", ["d/P", "d/Q"])
+    seen = 0
+    for kind in glob.glob(f"{tmp_path}/d/*/*"):
+        ids = [int(r["tradereferencenumber"]) for part in sorted(glob.glob(f"{kind}/part-*")) for r in csv.DictReader(open(part))]
+        assert ids == sorted(ids)
+        seen += len(ids)
+    assert seen == rows.count()
+
+
+@pytest.mark.parametrize("name", ["log_levels", "log_stats"])
 def test_queries_equal_their_sql(spilling, tmp_path, name):
     db = duckdb.connect()
     # Half of the rows have no sequence: their order in the files decides what rests.
