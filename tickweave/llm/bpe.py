@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import CACHES, lean, small_batches
 
 #: Words kept with their encodings in one Python worker, in each of two generations.
 KEPT_WORDS = 150_000
@@ -35,6 +35,7 @@ KEPT_PAIRS = 250_000
 #: Beginnings of words whose prefix tables are kept: their length, and how many.
 HEAD, KEPT_HEADS = 6, 60_000
 _MADE: dict[str, PrefixBpe] = {}
+CACHES["bpe"] = _MADE.clear
 
 
 def byte_symbols() -> dict[str, int]:
@@ -286,7 +287,7 @@ def _mapped(df: DataFrame, path: str, column: str, fields: list[tuple[str, pa.Da
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), kind) for c, (_, kind, _) in zip(cols, fields, strict=True))], names=["doc_id", *(f[0] for f in fields)])
 
     schema = ", ".join([f"doc_id {df.schema['doc_id'].dataType.simpleString()}", *(f"{name} {kind}" for name, _, kind in fields)])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run, "bpe"), schema)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

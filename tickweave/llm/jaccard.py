@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, small_batches, staged
+from .common import lean, parts, small_batches, staged
 from .components import SALTS, components
 from .shingles import digest, mixed, shingled, word_hashes, words_of
 
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
             cols = [batch.column("doc_id"), batch.column("tag"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), lists, pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tag", "node", "shingles", "bands", "sig"])
 
-    return docs.select("doc_id", "tag", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, node binary, shingles long, bands array<long>, sig binary")
+    return docs.select("doc_id", "tag", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tag long, node binary, shingles long, bands array<long>, sig binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def joined(rows: DataFrame, threshold: float, values=sets_of, check=None) -> Dat
             yield out
 
     width = parts(rows.sparkSession)
-    return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "node binary, root binary, links long")
+    return rows.repartition(width, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(lean(run), "node binary, root binary, links long")
 
 
 def by_node(classes: DataFrame, checked: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def solved(docs: DataFrame, threshold: float, recall: float, id_col: str, text_c
             kept = batch.take(pa.array(keep, pa.int64())).drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[*kept.schema.names, "set"])
 
-    shipped = texts.mapInArrow(sets, "node binary, cluster binary, blocks int, copies long, set array<long>")
+    shipped = texts.mapInArrow(lean(sets), "node binary, cluster binary, blocks int, copies long, set array<long>")
     checked = staged(joined(in_units(shipped, "set"), threshold), "verified")
     return signed.select("doc_id", "tag", "node"), by_node(classes, checked)
 

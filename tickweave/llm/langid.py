@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 SIZES = (2, 3, 4)
 PROBES = 3
@@ -182,7 +182,7 @@ def learn(docs: DataFrame, sample: int = 1500, min_count: int = 3, share: float
                     h, times = np.unique(h[first[at]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.astype(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(times)], names=["lang", "h", "n", "times"])
 
-    counted = taken.select("lang", "text").mapInArrow(count, "lang string, h long, n int, times long").groupBy("lang", "n", "h").agg(F.sum("times").alias("times"))
+    counted = taken.select("lang", "text").mapInArrow(lean(count), "lang string, h long, n int, times long").groupBy("lang", "n", "h").agg(F.sum("times").alias("times"))
     often = counted.where(F.col("times") >= min_count).withColumn("k", F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("times"), "h")))
     rows = often.where(F.col("k") <= grams_each).drop("k").toPandas()  # languages * sizes * grams_each rows at most
     if not len(rows):
@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Filters, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(evidence)], names=["doc_id", "lang_pred", "score", "evidence"])
 
     one = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return one.mapInArrow(run, f"doc_id {one.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, evidence double")
+    return one.mapInArrow(lean(run), f"doc_id {one.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, evidence double")
 
 
 def keep_identified(docs: DataFrame, model: Filters, least: float = 0.1, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -226,7 +226,7 @@ def keep_identified(docs: DataFrame, model: Filters, least: float = 0.1, text_co
             cols = [pa.array(names, pa.string()) if c == lang_col else batch.column(c) for c in batch.schema.names]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names).take(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(column: Column) -> Column:

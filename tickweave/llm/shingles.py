@@ -8,6 +8,8 @@ from functools import lru_cache
 import numpy as np
 import xxhash
 
+from .common import CACHES
+
 SIZE = 5
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -50,6 +52,7 @@ class _Words(dict):
 
 
 _KNOWN = _Words()
+CACHES["words"] = _KNOWN.clear
 
 
 def words_of(text: str | None) -> list[bytes]:
