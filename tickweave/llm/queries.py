@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, mixing, pii, quality, suffix_dedup, url_reputation
+from . import bpe, chat, divergence, fingerprint, jaccard, langid, mixing, pii, quality, suffix_dedup, token_counts, url_reputation, whitening
 from .common import staged, table
 
 
@@ -112,6 +112,21 @@ def op10_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.near_copies(staged(fingerprint.with_edits(table(spark, sf_dir, "documents")), "edits"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns: fit_chars, the code points of the longest prefix within the limit."""
+    import public_tokenizers
+
+    return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_quality_ledger": op2_quality_ledger,
@@ -124,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_to_targets": op8_mix_to_targets,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_edit_fingerprints": op10_edit_fingerprints,
+    "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SPACE = r"[^\x20\x09-\x0D]"
@@ -190,6 +208,20 @@ cl AS (SELECT x, min(y) AS class_id FROM re GROUP BY 1), nl AS (SELECT x, count(
 SELECT d.doc_id, CASE WHEN len(w) = 0 THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY w) END AS copy_id, class_id, coalesce(n, 0) AS n_links
 FROM d JOIN cl ON cl.x = d.doc_id LEFT JOIN nl ON nl.x = d.doc_id"""
 
+_DIVERGENCE_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS t FROM d), c AS (SELECT lang, source, t, count(*) AS n, count(DISTINCT r) AS docs FROM o GROUP BY ALL),
+v AS (SELECT lang, t, CAST(sum(n) AS BIGINT) AS nl FROM c GROUP BY ALL HAVING sum(docs) >= 10), k AS (SELECT lang, source, t, n, nl FROM c JOIN v USING (lang, t)),
+l AS (SELECT lang, count(*) AS nv, CAST(sum(nl) AS BIGINT) AS tot FROM v GROUP BY 1),
+g AS (SELECT lang, source, coalesce(sz, 0) AS sz, coalesce(nv, 0) AS nv, coalesce(tot, 0) AS tot FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, CAST(sum(n) AS BIGINT) AS sz FROM k GROUP BY ALL) USING (lang, source) LEFT JOIN l USING (lang)),
+p AS (SELECT g.lang, g.source, v.t, coalesce(k.n, 0) AS n, 1 + 1000000000 * (coalesce(k.n, 0) + 2) // (sz + 2 * nv) AS p, 1 + 1000000000 * (v.nl + 2) // (tot + 2 * nv) AS q
+  FROM g JOIN v USING (lang) LEFT JOIN k ON k.lang = g.lang AND k.source = g.source AND k.t = v.t),
+s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= 10"""
+
 #: DuckDB SQL of the same rows. The others learn, encode, hash or sort in ways that SQL
 #: cannot state (or not at this size); tests hold them against brute force.
 ORACLES: dict[str, str] = {
@@ -198,4 +230,5 @@ ORACLES: dict[str, str] = {
     "op5_host_reputation": _URL_SQL,
     "op6_chat_round_trip": _CHAT_SQL,
     "op9_ngram_jaccard": _JACCARD_SQL,
+    "op13_source_divergence": _DIVERGENCE_SQL,
 }
