@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from .bpe import PrefixBpe, SuffixAutomaton, byte_symbols, read_spec
 from .common import CACHES, lean, small_batches
 
-#: Pre-tokens whose tables a Python worker keeps, and the longest of them.
-KEPT_TABLES, KEPT_LENGTH = 200_000, 64
-KEPT_PAIRS = 250_000
+#: Pre-tokens whose tables a Python worker keeps, in each of two generations, and the longest of them.
+KEPT_TABLES, KEPT_LENGTH = 250_000, 64
+KEPT_PAIRS = 600_000
+#: Beginnings of pre-tokens whose tables are kept: their length in bytes, and how many.
+HEAD, KEPT_HEADS = 7, 100_000
 _MADE: dict[str, TokenCounter] = {}
 CACHES["token_counts"] = _MADE.clear
 
@@ -97,14 +99,24 @@ class TokenCounter(PrefixBpe):
         self.auto = SuffixAutomaton([(i, [symbol[c] for c in t]) for t, i in vocab.items() if t not in self.special], 256)
         self.compatible, self.whole = {}, {}
         self.tables: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int], int, int]] = {}
 
-    def by_byte(self, raw: bytes) -> array:
+    def by_byte(self, raw: bytes) -> list[int]:
         """Tokens of the first k bytes of a pre-token, k from 0 on."""
         auto, own, near, link, step = self.auto, self.auto.own, self.auto.near, self.auto.link, self.auto.next
         known, n = self.compatible, len(raw)
-        last, count = [0] * (n + 1), array("i", bytes(4 * (n + 1)))
-        state, length = 0, 0
-        for i, c in enumerate(raw):
+        last, count = [0] * (n + 1), [0] * (n + 1)
+        state, length, first = 0, 0, 0
+        if n > HEAD and (head := self.heads.get(raw[:HEAD])) is not None:  # the table of a prefix is the same in every word
+            last[: HEAD + 1], count[: HEAD + 1], state, length = head
+            first = HEAD
+        for i in range(first, n):
+            if i == HEAD and not first:
+                if len(self.heads) >= KEPT_HEADS:
+                    self.heads.clear()
+                self.heads[raw[:HEAD]] = (last[: HEAD + 1], count[: HEAD + 1], state, length)
+            c = raw[i]
             while state and state * 256 + c not in step:
                 state = link[state]
                 length = auto.length[state]
@@ -132,13 +144,16 @@ class TokenCounter(PrefixBpe):
         return count
 
     def table(self, word: str) -> tuple[int, ...]:
-        """Tokens of the first 1, 2, .. code points of a pre-token."""
+        """Tokens of the first 1, 2, .. code points of a pre-token; kept for the next time."""
+        if len(self.tables) >= KEPT_TABLES:  # those in use move on to the next generation
+            self.tables, self.older = {}, self.tables
+        if (found := self.older.get(word)) is not None:
+            self.tables[word] = found
+            return found
         raw = word.encode("utf-8", "surrogatepass")
         count = self.by_byte(raw)
         found = tuple(count[1:]) if len(raw) == len(word) else tuple([count[k] for k in range(1, len(raw) + 1) if k == len(raw) or raw[k] & 0xC0 != 0x80])
         if len(word) <= KEPT_LENGTH:
-            if len(self.tables) >= KEPT_TABLES:
-                self.tables.clear()
             self.tables[word] = found
         return found
 
