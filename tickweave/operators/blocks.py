@@ -87,3 +87,32 @@ def running_max(df: DataFrame, value: str, order: list, block: str, out: str, ke
     keys = list(keys)
     got = with_before(df, keys, block, {"_before": (F.max(value), F.max)})
     return got.withColumn(out, F.greatest(F.max(value).over(upto(in_block(keys, block, order))), F.col("_before"))).drop("_before")
+
+
+def bounded_sum(df: DataFrame, add: Column, floor: Column, reset: Column, carry: Column, order: list[str], block: str, keys: list[str], out: str) -> DataFrame:
+    """Adds ``out``: a sum over the order that starts at 0, where each row is ``v -> floor`` if ``reset``, else ``v -> greatest(v + add, floor)`` (a null floor: no bound).
+
+    Also ``<out>_before`` (0 for the first row) and ``carry_before``: of the row before, the sum and ``carry``.
+    Such functions are closed under composition (max and plus are), so a block hands on
+    one of them. Within a stretch since the last reset the sum is S + M: S the
+    running sum of ``add``, M the running greatest of ``floor - S``.
+    """
+    keys, zero = list(keys), F.lit(0.0)
+    w = in_block(keys, block, order)
+    got = df.withColumns({"_add": F.when(reset, zero).otherwise(add), "_floor": floor, "_reset": reset.cast("int"), "_carry": carry})
+    got = got.withColumn("_cut", F.sum("_reset").over(upto(w)))
+    stretch = upto(Window.partitionBy(*keys, block, "_cut").orderBy(*order))
+    got = got.withColumn("_s", F.sum("_add").over(stretch)).withColumn("_m", F.max(F.col("_floor") - F.col("_s")).over(stretch))
+    # What a block does to the value before it: v -> greatest(v + s, s + m), or s + m after a reset.
+    end = got.groupBy(*keys, block).agg(F.max_by(F.struct("_cut", "_s", "_m", "_carry"), F.struct(*order)).alias("e"))
+    end = end.select(*keys, block, (F.col("e._cut") > 0).alias("_any"), F.col("e._s").alias("_bs"), (F.col("e._s") + F.col("e._m")).alias("_bm"), F.col("e._carry").alias("_end"))
+    over = Window.partitionBy(*keys).orderBy(block)
+    end = end.withColumn("_cut", F.sum(F.col("_any").cast("int")).over(upto(over)))
+    ws = upto(Window.partitionBy(*keys, "_cut").orderBy(block))
+    end = end.withColumn("_t", F.sum(F.when(F.col("_any"), zero).otherwise(F.col("_bs"))).over(ws)).withColumn("_u", F.max(F.col("_bm") - F.col("_t")).over(ws))
+    end = end.withColumn("_after", F.col("_t") + F.greatest("_u", F.when(F.col("_cut") == 0, zero)))
+    before = end.select(*keys, block, F.coalesce(F.lag("_after").over(over), zero).alias("_start"), F.lag("_end").over(over).alias("_had"))
+    back = join_back(got, keys, block, before).withColumn(out, F.col("_s") + F.greatest("_m", F.when(F.col("_cut") == 0, F.col("_start"))))
+    first = F.row_number().over(w) == 1
+    back = back.withColumns({f"{out}_before": F.when(first, F.col("_start")).otherwise(F.lag(out).over(w)), "carry_before": F.when(first, F.col("_had")).otherwise(F.lag("_carry").over(w))})
+    return back.drop("_add", "_floor", "_reset", "_carry", "_cut", "_s", "_m", "_start", "_had")

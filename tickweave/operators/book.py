@@ -6,28 +6,27 @@ generations; within one, what remains is the size less the reductions so far.
 
 Levels: each (feed, side, price) gets the differences of its orders, and assigned
 sizes of price-level feeds; a running sum within the stretch since the last
-assignment is the level. Prices hit by a trade without an order are folded in
-event order by (feed, price).
+assignment is the level. Prices hit by a trade without an order are running sums
+with a bound at 0, composed over blocks of the order.
 
 A modify with an invalid new price or size and another reference takes its own
 reference away only if the old one is not resting (step IFGONE). Which of those
-steps take effect is decided by a fold over the steps of the references that such
-modifies name, and no others; all else stays with the windows.
+steps take effect is found among them alone (fired); all else stays with the windows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickweave.operators.ordering import ORDER
+from tickweave.operators.blocks import bounded_sum
+from tickweave.operators.ordering import ORDER, block_of
+from tickweave.staging import staged
 
 EPS = 1e-9
 SIDES = ["Bid", "Ask"]
-LEVEL_SCHEMA = "f string, side string, price double, k1 long, k2 long, arrival long, sub int, eff_ts long, level double"
 
 
 def valid() -> Column:
@@ -54,29 +53,32 @@ def order_steps(ordered: DataFrame) -> DataFrame:
     return ev.withColumn("_s", F.explode(steps)).select("f", "code", "side", "price", "qty", "ref", "maintain", "ts_ns", "eff_ts", *ORDER, "_s.op", key.alias("key"), F.col("_s.key").isNull().alias("keyless"), "_s.sub", same.alias("same"))
 
 
-FIRED = "f string, k1 long, k2 long, arrival long"
+def fired(steps: DataFrame, odd: DataFrame) -> DataFrame:
+    """f and order of the odd modifies (see above) whose own reference is taken away.
 
-
-def _fired(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The IFGONE steps of one feed that take effect, from the steps of the references that they touch."""
-    rest: dict[str, float] = {}
-    out, met = [], False
-    for r in pdf.sort_values([*ORDER, "sub"], kind="stable").itertuples(index=False):
-        size = rest.get(r.key)
-        if r.op == "SET":
-            rest[r.key] = r.qty
-        elif r.op == "RED":
-            left = 0.0 if size is None else size - (0.0 if pd.isna(r.qty) else r.qty)
-            if left > EPS:
-                rest[r.key] = left
-            else:
-                rest.pop(r.key, None)
-        elif r.op == "DEL":
-            met = rest.pop(r.key, None) is not None
-        elif not met:
-            rest.pop(r.key, None)
-            out.append((r.f, r.k1, r.k2, r.arrival))
-    return pd.DataFrame(out, columns=["f", *ORDER])
+    Such a modify takes effect if its previous reference is not resting: because no order
+    rests there (what the windows say, without any of these steps), or because an earlier one of
+    them took it away in the same generation. So each has a pointer to the last of those;
+    effects are handed along the pointers until no more come. Only the odd modifies
+    themselves take part, and a round is needed for each hop from reference to reference.
+    """
+    touched = odd.select("f", F.explode(F.array("prev_ref", "ref")).alias("key")).where("key is not null").distinct()
+    near = generations(steps.join(touched, ["f", "key"], "left_semi"))
+    w = Window.partitionBy("f", "key").orderBy(*ORDER, "sub")
+    is_if = F.col("op") == "IFGONE"
+    last = F.last(F.when(is_if, F.struct("gen", *ORDER)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    near = near.withColumns({"_was": F.coalesce(F.lag("after").over(w), F.lit(0.0)), "_gen": F.lag("gen").over(w), "_if": last})
+    event = ["f", *ORDER]
+    asked = near.where("op = 'DEL' and code = 'MODIFY'").select(*event, (F.col("_was") > 0).alias("rests"), F.when(F.col("_if.gen") == F.col("_gen"), F.struct("f", *[F.col(f"_if.{c}").alias(c) for c in ORDER])).alias("parent"))
+    told = near.where(is_if).select(*event, "key", "gen")
+    nodes = staged(told.join(asked, event, "left").select(*event, "key", "gen", "parent", (~F.coalesce("rests", F.lit(False))).alias("gone")), "odd")
+    n = -1
+    while (found := nodes.where("gone").count()) > n:
+        n = found
+        upto = Window.partitionBy("f", "key", "gen").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        sofar = nodes.withColumn("any", F.max("gone").over(upto)).where("any").select(F.struct(*event).alias("parent"), F.lit(True).alias("_earlier"))
+        nodes = staged(nodes.join(sofar, "parent", "left").select(*event, "key", "gen", "parent", (F.col("gone") | F.coalesce("_earlier", F.lit(False))).alias("gone")), "odd")
+    return nodes.where("gone").select(*event)
 
 
 def resolved(ordered: DataFrame) -> DataFrame:
@@ -85,22 +87,15 @@ def resolved(ordered: DataFrame) -> DataFrame:
     odd = ordered.where(_odd())
     if odd.isEmpty():
         return steps
-    touched = odd.select("f", F.explode(F.array("prev_ref", "ref")).alias("key")).where("key is not null").distinct()
-    fired = steps.join(touched, ["f", "key"], "left_semi").select("f", "key", "op", "qty", *ORDER, "sub").groupBy("f").applyInPandas(_fired, FIRED)
-    at = steps.join(fired.withColumn("_fired", F.lit(True)), ["f", *ORDER], "left").where("op <> 'IFGONE' or (_fired and not keyless)")
+    at = steps.join(fired(steps, odd).withColumn("_fired", F.lit(True)), ["f", *ORDER], "left").where("op <> 'IFGONE' or (_fired and not keyless)")
     return at.withColumn("op", F.when(F.col("op") == "IFGONE", "DEL").otherwise(F.col("op"))).select(steps.columns)
 
 
-def lifecycle(ordered: DataFrame) -> DataFrame:
-    """Steps with ``before`` (size of the order just before: 0 if it was not resting), ``after``, the side and price it rested at.
-
-    ``killed_before``: a cancel or trade took the order away, and nothing has set its reference since.
-    """
-    steps = resolved(ordered)
+def generations(steps: DataFrame) -> DataFrame:
+    """steps with ``gen`` (SET and DEL of the key so far) and what it rests as after the step: ``after`` (size), ``_side``, ``_price``."""
     w = Window.partitionBy("f", "key").orderBy(*ORDER, "sub")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     gen = Window.partitionBy("f", "key", "gen").orderBy(*ORDER, "sub").rowsBetween(Window.unboundedPreceding, 0)
-    cut = steps.withColumn("gen", F.sum(F.when(F.col("op") == "RED", 0).otherwise(1)).over(upto))
+    cut = steps.withColumn("gen", F.sum(F.when(F.col("op").isin("SET", "DEL"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     is_set = F.col("op") == "SET"
     fin = F.when(F.col("qty").isNotNull() & ~F.isnan("qty"), F.col("qty")).otherwise(0.0)
     cut = cut.withColumns(
@@ -112,12 +107,22 @@ def lifecycle(ordered: DataFrame) -> DataFrame:
         }
     )
     left = F.when(F.col("gen") == 0, 0.0).otherwise(F.col("_size") - F.col("_taken"))
-    cut = cut.withColumn("after", F.when(left > EPS, left).otherwise(0.0))
+    return cut.withColumn("after", F.when(left > EPS, left).otherwise(0.0)).drop("_size", "_taken")
+
+
+def lifecycle(ordered: DataFrame) -> DataFrame:
+    """Steps with ``before`` (size of the order just before: 0 if it was not resting), ``after``, the side and price it rested at.
+
+    ``killed_before``: a cancel or trade took the order away, and nothing has set its reference since.
+    """
+    cut = generations(resolved(ordered))
+    w = Window.partitionBy("f", "key").orderBy(*ORDER, "sub")
+    is_set = F.col("op") == "SET"
     lagged = lambda c: F.lag(c).over(w)
     cut = cut.withColumns({"before": F.when(F.col("keyless"), 0.0).otherwise(F.coalesce(lagged("after"), F.lit(0.0))), "was_side": lagged("_side"), "was_price": lagged("_price")})
     kill = F.col("code").isin("CANCEL", "TRADE") & (F.col("before") > 0) & (F.col("after") <= 0)
     state = F.last(F.when(is_set, 0).when(kill, 1), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return cut.withColumn("killed_before", F.coalesce(state, F.lit(0))).drop("_size", "_taken")
+    return cut.withColumn("killed_before", F.coalesce(state, F.lit(0)))
 
 
 def level_deltas(life: DataFrame) -> DataFrame:
@@ -145,33 +150,28 @@ def feeds_with_levels(ordered: DataFrame) -> DataFrame:
     return ordered.where(F.col("code").isin("LEVEL_SET", "LEVEL_DEL")).groupBy("f").agg(F.min(F.struct(*ORDER)).alias("first_level"))
 
 
-def _fold_prices(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One (feed, price): differences, assignments and trades without an order, in event order."""
-    pdf = pdf.sort_values([*ORDER, "sub"], kind="stable")
-    level: dict[str, float] = {}
-    out = []
-    for r in pdf.itertuples(index=False):
-        side = r.side
-        if r.kind == "take":
-            have = [s for s in SIDES if s in level]
-            if not have:
-                continue
-            side = have[0] if len(have) == 1 else "Ask"
-            if r.delta >= level[side] - EPS:
-                level.pop(side)
-            else:
-                level[side] -= r.delta
-        elif r.kind == "assign":
-            if r.delta <= EPS:
-                level.pop(side, None)
-            else:
-                level[side] = r.delta
-        else:
-            level[side] = level.get(side, 0.0) + r.delta
-            if r.delta < 0 and r.whole and level[side] <= EPS:
-                level.pop(side)
-        out.append((r.f, side, r.price, r.k1, r.k2, r.arrival, r.sub, r.eff_ts, level.get(side, 0.0)))
-    return pd.DataFrame(out, columns=["f", "side", "price", *ORDER, "sub", "eff_ts", "level"])
+def _hit(moves: DataFrame, side: str) -> DataFrame:
+    """One side of prices that are hit by trades without an order: moves and takes, with ``level`` and ``had`` (whether the side showed one just before)."""
+    take, assign = F.col("kind") == "take", F.col("kind") == "assign"
+    # A removal or add that empties a level ends it; so does a take. A part that is traded does not.
+    ends = take | ((F.col("delta") < 0) & F.col("whole"))
+    floor = F.when(assign, F.when(F.col("delta") > EPS, F.col("delta")).otherwise(0.0)).when(ends, 0.0)
+    order = [*ORDER, "sub"]
+    own = moves.where(take | (F.col("side") == side)).withColumn("_block", block_of())
+    # At most EPS is nothing, but after a part was traded from a level that a take had made too small.
+    part = ~ends & ~assign
+    got = bounded_sum(own, F.when(take, -F.col("delta")).otherwise(F.col("delta")), floor, assign, part, order, "_block", ["f", "price"], "level")
+    had = (F.col("level_before") > EPS) | F.coalesce("carry_before", F.lit(False))
+    level = F.when((F.col("level") > EPS) | part, F.col("level")).otherwise(0.0)
+    return got.withColumns({"side": F.lit(side), "had": had, "level": level}).drop("_block", "level_before", "carry_before")
+
+
+def hit_levels(moves: DataFrame) -> DataFrame:
+    """Levels of the prices that trades without an order hit: such a trade takes from the ask if there is one, else from the bid, else from nothing."""
+    asks = staged(_hit(moves, "Ask"), "asks")
+    left = asks.where("kind = 'take' and not had").select(moves.columns)
+    bids = _hit(moves.where("kind <> 'take' and side = 'Bid'").unionByName(left), "Bid")
+    return asks.unionByName(bids).where("kind <> 'take' or had")
 
 
 def levels(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
@@ -179,8 +179,8 @@ def levels(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
 
     Running sums give all levels but those that can be cut short: a price hit by a trade
     without an order, or with both orders and assigned sizes (a removal may be more than
-    what is shown). Only such prices are folded, each (feed, price) by itself. One short
-    job asks which feeds can have any; without one the plan has windows only.
+    what is shown). Those are sums with a bound (blocks.bounded_sum). One short
+    job asks which feeds can have any.
     ``life``: lifecycle(ordered), if it is at hand.
     """
     life = lifecycle(ordered) if life is None else life
@@ -198,10 +198,10 @@ def levels(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
     lost = refless_trades(life, feeds_with_levels(ordered)).where(~F.col("on_level") & F.col("price").isNotNull())
     takes = lost.select("f", "side", "price", *ORDER, F.lit(0).alias("sub"), "eff_ts", F.coalesce("qty", F.lit(0.0)).alias("delta"), F.lit(True).alias("whole"), F.lit("take").alias("kind"))
     n = lambda k: F.count(F.when(F.col("kind") == k, 1))
-    every = moves.unionByName(takes)
+    every = staged(moves.unionByName(takes), "moves")
+    moves = every.where("kind <> 'take'")
     hit = every.groupBy("f", "price").agg(n("take").alias("t"), n("assign").alias("a"), n("delta").alias("d")).where("t > 0 or (a > 0 and d > 0)").select("f", "price")
-    folded = every.join(hit, ["f", "price"], "left_semi").groupBy("f", "price").applyInPandas(_fold_prices, LEVEL_SCHEMA)
-    return _summed(moves.join(hit, ["f", "price"], "left_anti")).select(*cols).unionByName(folded.select(*cols))
+    return _summed(moves.join(hit, ["f", "price"], "left_anti")).select(*cols).unionByName(hit_levels(every.join(hit, ["f", "price"], "left_semi")).select(*cols))
 
 
 def _summed(moves: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ Adds to EVENTS:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.operators.blocks import running_max
@@ -20,6 +20,12 @@ ORDER = ["k1", "k2", "arrival"]
 BLOCK = 1_000_000
 
 
+def block_of(block: int = BLOCK) -> Column:
+    """The block of an ordered row: rows of one block follow one another in the order of a feed."""
+    last = F.col("k1") == LAST
+    return F.struct(F.floor(F.col("k1") / block).cast("long").alias("a"), F.when(last, F.col("k2")).otherwise(F.lit(0)).cast("long").alias("b"), F.when(last, F.floor(F.col("arrival") / block).cast("long")).otherwise(F.lit(0)).cast("long").alias("c"))
+
+
 def ordered_events(events: DataFrame, order_by: str = "sequence", parity: bool = False, block: int = BLOCK) -> DataFrame:
     """EVENTS with k1, k2, eff_ts.
 
