@@ -239,7 +239,7 @@ def finding_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["finding_ranks"] = f"""SELECT row_number() OVER (ORDER BY CASE severity WHEN 'FATAL' THEN 1 WHEN 'SEVERE' THEN 2 ELSE 3 END, kind, "check", subject, message) AS place, severity, kind, "check", subject FROM ({BASE['frame_findings']})"""
 
-DAYS = ["20240103"]
+DAYS = ["20240103", "20240104", "20240109", "20240105"]
 SESSION = sessions.Window("09:30", "16:00", 600)
 
 

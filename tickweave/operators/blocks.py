@@ -67,17 +67,18 @@ def ranked(df: DataFrame, order: list[str], block: str, out: str, keys: list[str
     return got.withColumn(out, F.row_number().over(in_block(keys, block, order)) + F.coalesce("_before", F.lit(0))).drop("_before")
 
 
-def ticks(df: DataFrame, price: str, order: list[str], block: str, out: str) -> DataFrame:
+def ticks(df: DataFrame, price: str, order: list[str], block: str, out: str, keys: list[str] = ()) -> DataFrame:
     """Adds ``out``: the sign of the last change of price from one row to the next (a null price is no change), null before any."""
-    w, blocks = in_block([], block, order), Window.orderBy(block)
+    keys = list(keys)
+    w, blocks = in_block(keys, block, order), Window.partitionBy(*keys).orderBy(block)
     change = lambda a, b: F.nullif(F.signum(a - b), F.lit(0.0))
     own = df.withColumns({"_nth": F.row_number().over(w), "_step": change(F.col(price), F.lag(price).over(w))})
     end = F.struct(*order, price)
-    each = own.groupBy(block).agg(F.min(end)[price].alias("_a"), F.max(end)[price].alias("_b"), last_value("_step", order).alias("_s"))
+    each = own.groupBy(*keys, block).agg(F.min(end)[price].alias("_a"), F.max(end)[price].alias("_b"), last_value("_step", order).alias("_s"))
     each = each.withColumn("_last", F.lag("_b").over(blocks))
     each = each.withColumn("_s", F.coalesce("_s", change(F.col("_a"), F.col("_last"))))
-    each = each.select(block, "_last", latest(F.col("_s")).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    got = join_back(own, [], block, each)
+    each = each.select(*keys, block, "_last", latest(F.col("_s")).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    got = join_back(own, keys, block, each)
     step = F.when(F.col("_nth") == 1, change(F.col(price), F.col("_last"))).otherwise(F.col("_step"))
     return got.withColumn("_step", step).withColumn(out, F.coalesce(latest(F.col("_step")).over(upto(w)), F.col("_before"))).drop("_nth", "_step", "_last", "_before")
 

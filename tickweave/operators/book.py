@@ -228,10 +228,11 @@ def dual_feeds(ordered: DataFrame) -> DataFrame:
     return orders.intersect(feeds_with_levels(ordered).select("f"))
 
 
-def replay_stats(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
-    """One row of counters, as longs: one pass over the events, one shuffle of their steps by event."""
+def replay_stats(ordered: DataFrame, life: DataFrame | None = None, by: Column | None = None) -> DataFrame:
+    """One row of counters, as longs: one pass over the events, one shuffle of their steps by event. ``by``: a function of f, a row (and column) of each of its values."""
+    keys = [] if by is None else [by]
     n = lambda code: F.count(F.when(F.col("code") == code, 1))
-    events = ordered.agg(F.count("*").alias("events"), *[n(c).alias(f"n_{c.lower()}") for c in ("ADD", "CANCEL", "MODIFY", "TRADE", "LEVEL_SET", "LEVEL_DEL")], F.count(F.when((F.col("code") == "MODIFY") & ~F.col("maintain"), 1)).alias("modify_reprioritized"), F.count(F.when(F.col("code").isin("LEVEL_SET", "LEVEL_DEL"), 1)).alias("mbp_level_events"))
+    events = ordered.groupBy(*keys).agg(F.count("*").alias("events"), *[n(c).alias(f"n_{c.lower()}") for c in ("ADD", "CANCEL", "MODIFY", "TRADE", "LEVEL_SET", "LEVEL_DEL")], F.count(F.when((F.col("code") == "MODIFY") & ~F.col("maintain"), 1)).alias("modify_reprioritized"), F.count(F.when(F.col("code").isin("LEVEL_SET", "LEVEL_DEL"), 1)).alias("mbp_level_events"))
     met = F.col("before") > 0
     life = lifecycle(ordered) if life is None else life
     each = life.groupBy("f", *ORDER, "code").agg(F.max(F.when(F.col("op") == "SET", met)).alias("onto"), F.max(F.when(F.col("op") != "SET", met)).alias("took"))
@@ -239,8 +240,11 @@ def replay_stats(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame
     lost = (F.col("code") == "TRADE") & ~F.col("took")
     shown = F.coalesce(F.struct(*ORDER) > F.col("first_level"), F.lit(False))
     count = lambda c: F.count(F.when(c, 1))
-    counted = each.join(first, "f", "left").agg(
+    counted = each.join(first, "f", "left").groupBy(*keys).agg(
         count(F.col("onto") & ((F.col("code") == "ADD") | F.col("took"))).alias("dup_add"), count((F.col("code") == "CANCEL") & ~F.col("took")).alias("cancel_no_order"),
         count(lost & shown).alias("trade_on_mbp_skipped"), count(lost & ~shown).alias("trade_no_ref"),
     )
-    return events.join(counted)  # one row each
+    if by is None:
+        return events.join(counted)  # one row each
+    counters = [c for c in counted.columns if c not in events.columns]
+    return events.join(counted, [c for c in counted.columns if c in events.columns], "left").fillna(0, counters)

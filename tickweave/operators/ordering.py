@@ -52,8 +52,8 @@ def ordered_events(events: DataFrame, order_by: str = "sequence", parity: bool =
     return running.unionByName(degraded).drop("_block", "_has")
 
 
-def coverage(events: DataFrame) -> DataFrame:
-    """Rows, rows with a sequence, and the warning that ordering is only partial."""
-    got = events.agg(F.count("*").alias("rows"), F.count("seq").alias("with_seq"))
+def coverage(events: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(by,) rows, rows with a sequence, and the warning that ordering is only partial."""
+    got = events.groupBy(*by).agg(F.count("*").alias("rows"), F.count("seq").alias("with_seq"))
     share = F.col("with_seq") / F.col("rows")
     return got.withColumn("warning", F.when(F.col("with_seq") == 0, "ORDERING DEGRADED").when(share < 0.999, "ORDERING PARTIAL"))

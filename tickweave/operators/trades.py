@@ -12,8 +12,8 @@ from tickweave.staging import staged
 DAY_US = 86_400_000_000
 
 
-def scrub(trades: DataFrame, breaks: DataFrame | None, corrections: DataFrame | None, keys: tuple[str, ...] = ("matchid", "tradereferencenumber")) -> DataFrame:
-    """Trades without broken prints, with corrected price and quantity, and ``corrected`` (0/1).
+def scrub(trades: DataFrame, breaks: DataFrame | None, corrections: DataFrame | None, keys: tuple[str, ...] = ("matchid", "tradereferencenumber"), by: list[str] = ()) -> DataFrame:
+    """Trades without broken prints, with corrected price and quantity, and ``corrected`` (0/1). ``by``: columns that tell tapes apart.
 
     The key is the first of ``keys`` that both frames have. corrections need
     newprice, newquantity and arrival: the last one of a print wins, each value
@@ -22,13 +22,13 @@ def scrub(trades: DataFrame, breaks: DataFrame | None, corrections: DataFrame |
     out = trades
     key = next((k for k in keys if breaks is not None and k in trades.columns and k in breaks.columns), None)
     if key:
-        out = out.join(breaks.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+        out = out.join(breaks.select(*by, key).where(F.col(key).isNotNull()).distinct(), [*by, key], "left_anti")
     if corrections is None or "matchid" not in out.columns:
         return out.withColumn("corrected", F.lit(0))
-    last = corrections.where("matchid is not null").groupBy("matchid").agg(F.max(F.struct("arrival", "newprice", "newquantity")).alias("_new"))
+    last = corrections.where("matchid is not null").groupBy(*by, "matchid").agg(F.max(F.struct("arrival", "newprice", "newquantity")).alias("_new"))
     ok = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     new = lambda c, old: F.when(ok(F.col(f"_new.{c}")), F.col(f"_new.{c}")).otherwise(F.col(old))
-    joined = out.join(last, "matchid", "left")
+    joined = out.join(last, [*by, "matchid"], "left")
     return joined.withColumn("price", new("newprice", "price")).withColumn("quantity", new("newquantity", "quantity")).withColumn("corrected", F.col("_new").isNotNull().cast("int")).drop("_new")
 
 
@@ -43,14 +43,15 @@ def printable_only(trades: DataFrame) -> DataFrame:
     return trades.where(~F.trim("printable").eqNullSafe(F.lit("NonPrintable")))
 
 
-def signed(trades: DataFrame, order: list[str], block: Column, how: str = "aggressor", buy_label: str = "Bid", price: str = "price") -> DataFrame:
-    """Adds ``sign``: +1 buy, -1 sell, 0 unknown; tick rule over the whole tape where a row says nothing.
+def signed(trades: DataFrame, order: list[str], block: Column, how: str | list[tuple[Column, str]] = "aggressor", buy_label: str = "Bid", price: str = "price", by: list[str] = ()) -> DataFrame:
+    """Adds ``sign``: +1 buy, -1 sell, 0 unknown; tick rule over the whole tape (of each ``by``) where a row says nothing.
 
-    ``block`` cuts the order of ``order`` into blocks (it must grow with it).
+    ``block`` cuts the order of ``order`` into blocks (it must grow with it). ``how``: for all rows, or (condition, how) pairs.
     """
     col = lambda c: F.col(c) if c in trades.columns else None
-    cut = ticks(trades.withColumn("_block", block), price, order, "_block", "_tick")
-    own = declared_sign(how, col("aggressorside"), col("side"), buy_label)
+    cut = ticks(trades.withColumn("_block", block), price, order, "_block", "_tick", by)
+    declared = lambda h: declared_sign(h, col("aggressorside"), col("side"), buy_label)
+    own = declared(how) if isinstance(how, str) else F.coalesce(*[F.when(c, declared(h)) for c, h in how])
     return cut.withColumn("sign", F.coalesce(own, F.col("_tick").cast("int"), F.lit(0))).drop("_block", "_tick")
 
 
@@ -74,17 +75,17 @@ def dense(buckets: DataFrame, step_us: int, zero: list[str], bucket: str = "buck
     return grid.join(buckets, bucket, "left").fillna(0, zero)
 
 
-def trade_buckets(trades: DataFrame, step_us: int, order: list[str], ts_us: str = "ts_us", price: str = "price", qty: str = "quantity", tz: str = "UTC") -> DataFrame:
-    """Signed trades by dense bucket: counts, volumes, last price and VWAP."""
+def trade_buckets(trades: DataFrame, step_us: int, order: list[str], ts_us: str = "ts_us", price: str = "price", qty: str = "quantity", tz: str = "UTC", by: list[str] | None = None) -> DataFrame:
+    """Signed trades by bucket: counts, volumes, last price and VWAP. Buckets are dense; with ``by`` (columns that tell tapes apart) only those with trades."""
     q, p, s = F.col(qty), F.col(price), F.col("sign")
-    got = trades.withColumn("bucket_us", bucket_us(F.col(ts_us), step_us, tz)).groupBy("bucket_us").agg(
+    got = trades.withColumn("bucket_us", bucket_us(F.col(ts_us), step_us, tz)).groupBy(*(by or []), "bucket_us").agg(
         F.count(q).alias("trade_count"), F.sum(q).alias("trade_volume"),
         F.sum((s > 0).cast("long")).alias("trade_buy"), F.sum((s < 0).cast("long")).alias("trade_sell"),
         F.sum(F.when(s > 0, q)).alias("trade_buy_volume"), F.sum(F.when(s < 0, q)).alias("trade_sell_volume"),
         F.max(F.when(p.isNotNull(), F.struct(*order, p.alias("p"))))["p"].alias("last_trade_price"),
         F.try_divide(F.sum(p * q), F.sum(F.when(p.isNotNull(), q))).alias("trade_vwap"),
     )
-    return dense(got, step_us, ["trade_count", "trade_buy", "trade_sell"])
+    return got if by is not None else dense(got, step_us, ["trade_count", "trade_buy", "trade_sell"])
 
 
 def message_buckets(msgs: DataFrame, step_us: int, order: list[str], trade: bool = False, ts_us: str = "ts_us", qty: str = "quantity", tz: str = "UTC") -> DataFrame:

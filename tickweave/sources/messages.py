@@ -8,12 +8,16 @@ Catalyst prunes what a query does not use. A type that cannot be read is an erro
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickweave.schemas import CLOCKS, DOUBLE_COLUMNS, LONG_COLUMNS, MESSAGE_TYPES, NULL_TOKENS, STRING_COLUMNS
+from tickweave.staging import staged
 
+#: Bytes up to which a list of files' pieces is broadcast.
+SMALL = 16 << 20
 KNOWN = [*LONG_COLUMNS, *STRING_COLUMNS, *DOUBLE_COLUMNS]
 
 
@@ -29,8 +33,8 @@ def token(c: Column) -> Column:
     return F.when(~s.isin(NULL_TOKENS), s)
 
 
-def typed(raw: DataFrame) -> DataFrame:
-    """The known columns with their types, nulls where absent; other columns are left out."""
+def typed(raw: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """The known columns with their types, nulls where absent; of other columns only ``keep`` stay."""
     kinds = {**dict.fromkeys(LONG_COLUMNS, "bigint"), **dict.fromkeys(STRING_COLUMNS, "string"), **dict.fromkeys(DOUBLE_COLUMNS, "double")}
     out = []
     for name, kind in kinds.items():
@@ -42,8 +46,7 @@ def typed(raw: DataFrame) -> DataFrame:
         else:
             c = token(F.col(name)) if kind == "string" else number(F.col(name))
         out.append(c.alias(name))
-    extra = [F.col("_place")] if "_place" in raw.columns else [F.monotonically_increasing_id().alias("_place")]
-    return raw.select(*out, *extra)
+    return raw.select(*out, *keep)
 
 
 def read_type(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
@@ -53,19 +56,24 @@ def read_type(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    return typed(placed(raw))
+    at = typed(raw.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id")), ["_file", "_start", "_id"])
+    # Text is read once: the rows are kept in columns before their pieces are ranked.
+    return ranked(staged(at, "read") if fmt == "csv" else at, [])
 
 
-def placed(raw: DataFrame) -> DataFrame:
-    """Adds ``_place``: the rank of a row's piece of file (by name, then offset), then the row within it.
+def ranked(at: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_place`` in place of _file, _start, _id: the rank (within ``keys``) of a row's piece of file, by name, then offset, then the row within it.
 
     Spark packs pieces into tasks by their sizes, so the number that it gives a row
-    orders the rows of one piece only. The pieces (one row each) are ranked together.
+    orders the rows of one piece only. The pieces (one row each) are ranked together;
+    they are broadcast if they are few, which is asked for.
     """
-    at = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
-    pieces = at.select("_file", "_start").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_start")))
-    place = F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return at.join(pieces, ["_file", "_start"]).withColumn("_place", place).drop("_file", "_start", "_rank", "_id")
+    pieces = at.select(*keys, "_file", "_start").distinct()
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("_file") + 64), F.lit(0))).first()[0]
+    by = Window.partitionBy(*keys).orderBy("_file", "_start")
+    rank = pieces.withColumn("_rank", F.row_number().over(by).cast("long"))
+    place = F.shiftleft(F.col("_rank"), 33) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return at.join(F.broadcast(rank) if size <= SMALL else rank, [*keys, "_file", "_start"]).withColumn("_place", place).drop("_file", "_start", "_rank", "_id")
 
 
 def absent(error: Exception) -> bool:
@@ -81,14 +89,14 @@ def messages(spark: SparkSession, root: str, date: str, product: str, types: lis
             raise ValueError(f"unknown message type {name!r}")
         try:
             frame = read_type(spark, f"{root}/{date}/{product}/{name}", fmt)
-        except Exception as error:  # noqa: BLE001  (what Spark raises differs by file system)
-            if on_missing != "empty":
+        except AnalysisException as error:
+            if on_missing != "empty" or not absent(error):  # only what does not exist is taken for empty
                 raise
             failures[name] = str(error).splitlines()[0]
             continue
         frames.append(frame.withColumn("message_type", F.lit(name)))
     if not frames:  # all are missing, and that was asked for
-        frames = [typed(spark.createDataFrame([], message_schema())).withColumn("message_type", F.lit(None).cast("string"))]
+        frames = [typed(spark.createDataFrame([], message_schema())).withColumn("_place", F.lit(0).cast("long")).withColumn("message_type", F.lit(None).cast("string"))]
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
@@ -117,7 +125,7 @@ def in_session(df: DataFrame, date: str, start: str, end: str, tz: str = "Americ
     return df.where((F.col("ts_ns") >= edge(start)) & (F.col("ts_ns") <= edge(end)))
 
 
-def replay_events(msgs: DataFrame, price_scale: float = 1.0) -> DataFrame:
+def replay_events(msgs: DataFrame, price_scale: float | Column = 1.0) -> DataFrame:
     """The rows of EVENTS of typed messages; an admin delete sets its level to 0, a missing previous reference is the own one."""
     code = F.lit(None).cast("string")
     for name, (_, c, _) in MESSAGE_TYPES.items():
