@@ -5,11 +5,12 @@ import math
 import duckdb
 import pytest
 
-from tickweave import log_queries
+from tickweave import log_queries, market_queries
 from tickweave import queries as base
 from tickweave.operators.checks import verdict
 
-QUERIES, ORACLES = base.QUERIES | log_queries.QUERIES, base.ORACLES | log_queries.ORACLES
+QUERIES = base.QUERIES | log_queries.QUERIES | market_queries.QUERIES
+ORACLES = base.ORACLES | log_queries.ORACLES | market_queries.ORACLES
 
 DIR = "/root/testdata/sf0.001"
 SKIPPED = {"lob_wide", "ordering_ab", "snapshot_validate", "pinned_prices", "level_feeds", "orphans_by_feed", "scale_medians"}  # covered by their parts; slow

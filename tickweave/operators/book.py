@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tickweave.operators.blocks import bounded_sum
@@ -228,6 +228,20 @@ def dual_feeds(ordered: DataFrame) -> DataFrame:
     return orders.intersect(feeds_with_levels(ordered).select("f"))
 
 
+def counted(events: DataFrame) -> tuple[DataFrame, Observation]:
+    """(the events, counters of what the replay leaves out or cannot place): counted as they pass by, there after an action.
+
+    rows, no_clock, no_feed, no_seq, no_ref (of order events), rejected_adds (no finite price and size above 0, or no side).
+    """
+    counters = Observation()
+    n = lambda c: F.count(F.when(c, 1))
+    orders = F.col("code").isin("ADD", "CANCEL", "MODIFY", "TRADE")
+    return events.observe(
+        counters, F.count("*").alias("rows"), n(F.col("ts_ns").isNull()).alias("no_clock"), n(F.col("f").isNull()).alias("no_feed"), n(F.col("seq").isNull()).alias("no_seq"),
+        n(orders & F.col("ref").isNull()).alias("no_ref"), n((F.col("code") == "ADD") & ~F.coalesce(valid(), F.lit(False))).alias("rejected_adds"),
+    ), counters
+
+
 def replay_stats(ordered: DataFrame, life: DataFrame | None = None, by: Column | None = None) -> DataFrame:
     """One row of counters, as longs: one pass over the events, one shuffle of their steps by event. ``by``: a function of f, a row (and column) of each of its values."""
     keys = [] if by is None else [by]

@@ -56,6 +56,22 @@ def check_inventory(msgs: DataFrame, failures: list[str] = ()) -> DataFrame:
     )
 
 
+CUBE = ["f", "message_type", "hour"]
+
+
+def message_cube(msgs: DataFrame, hour: Column) -> DataFrame:
+    """f, message_type, hour, level, n, with_price, volume: counts by all three, by feed and type, by feed, by type, and of all, in one shuffle.
+
+    ``level`` names what a row is of; columns that it is not of are null.
+    """
+    sets = [CUBE, CUBE[:2], CUBE[:1], CUBE[1:2], []]
+    fin = lambda c: F.when(~F.isnan(c), F.col(c))
+    got = msgs.withColumn("hour", hour).groupingSets(sets, *CUBE).agg(F.grouping_id().alias("_id"), F.count("*").alias("n"), F.count(fin("price")).alias("with_price"), F.sum(fin("qty")).alias("volume"))
+    names = {0: "feed,type,hour", 1: "feed,type", 3: "feed", 5: "type", 7: "all"}
+    level = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.col("_id").cast("int"))
+    return got.select(*CUBE, level.alias("level"), "n", "with_price", "volume")
+
+
 def feed_matrix(msgs: DataFrame) -> DataFrame:
     """f and a count for each message type."""
     return msgs.groupBy("f").agg(*[_n(t).alias(t) for t in [*ADDS, *REMOVALS, "mt_modify_order", *LEVELS]])

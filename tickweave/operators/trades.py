@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tickweave.functions.series import declared_sign
@@ -39,6 +39,19 @@ def scrub_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     return n0.join(n1).select("n0", (F.col("n0") - F.col("_n1")).alias("broken"), "corrected")
 
 
+def scrub_counted(trades: DataFrame, breaks: DataFrame, corrections: DataFrame, key: str = "matchid") -> tuple[DataFrame, Observation]:
+    """(scrub()'s trades, their counters n0, broken, corrected, no_price): counted as the trades pass by, without a pass of their own.
+
+    The counters are there when an action on the trades has run.
+    """
+    counters = Observation()
+    gone = breaks.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_broken", F.lit(True))
+    marked = scrub(trades, None, corrections).join(gone, key, "left").withColumn("_broken", F.coalesce("_broken", F.lit(False)))
+    n = lambda c: F.count(F.when(c, 1))
+    seen = marked.observe(counters, F.count("*").alias("n0"), n(F.col("_broken")).alias("broken"), n((F.col("corrected") == 1) & ~F.col("_broken")).alias("corrected"), n(F.col("price").isNull()).alias("no_price"))
+    return seen.where("not _broken").drop("_broken"), counters
+
+
 def printable_only(trades: DataFrame) -> DataFrame:
     return trades.where(~F.trim("printable").eqNullSafe(F.lit("NonPrintable")))
 
