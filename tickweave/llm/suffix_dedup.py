@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     whole = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")) if kind in ("bigint", "int") else F.xxhash64("doc_id", "text")
-    whole = whole.select("doc_id", place.alias("k"), F.hash("text").alias("tag"), "text")
+    whole = whole.select("doc_id", place.alias("k"), F.xxhash64("text").alias("tag"), "text")
 
     def cut(batches):
         for batch in batches:
@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             at = pa.array(text)
             yield pa.RecordBatch.from_arrays([batch.column("k").take(at), batch.column("tag").take(at), pa.array(start), pa.array(n), pa.array(bin_), pa.array(digest, pa.binary()), pa.array(twice)], names=["k", "tag", "start", "n", "bin", "digest", "twice"])
 
-    runs = staged(whole.select("k", "tag", "text").mapInArrow(cut, "k long, tag int, start int, n int, bin long, digest binary, twice int"), "windows")
+    runs = staged(whole.select("k", "tag", "text").mapInArrow(cut, "k long, tag long, start int, n int, bin long, digest binary, twice int"), "windows")
     stats = runs.groupBy("bin").agg(F.count("*").alias("runs"), F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.max("twice").alias("twice"))
     stats = stats.where("runs > 1 or twice > 0").select("bin", ((F.col("lo") == F.col("hi")) & (F.col("twice") == 0)).alias("plain"), (F.col("runs") > HOT).alias("hot"))
     shared = staged(runs.drop("twice").join(stats, "bin"), "runs")
@@ -318,22 +318,27 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     lists = wanted.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "n", "bin", "digest", "copies", "hot")).alias("runs"))
 
     def fetch(batches):
+        seen = set()  # rows of one id and text are in one task: their stretches are taken once
         for batch in batches:
             rows = []
-            for text, runs_ in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for k, tag, text, runs_ in zip(*[batch.column(c).to_pylist() for c in ("k", "tag", "text", "runs")], strict=True):
+                if (k, tag) in seen:
+                    continue
+                seen.add((k, tag))
                 raw = text.encode("utf-8", "surrogatepass")
                 rows += [(r["bin"], r["digest"], r["copies"], r["hot"], raw[r["start"] : r["start"] + r["n"] + length - 1]) for r in runs_]
             for s in range(0, len(rows), 20_000):
                 cols = zip(*rows[s : s + 20_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bin", "digest", "copies", "hot", "bytes"])
 
-    fetched = texts.join(lists.hint("shuffle_hash"), ["k", "tag"]).select("text", "runs").mapInArrow(fetch, "bin long, digest binary, copies long, hot boolean, bytes binary")
+    fetched = texts.join(lists.hint("shuffle_hash"), ["k", "tag"]).select("k", "tag", "text", "runs").mapInArrow(fetch, "bin long, digest binary, copies long, hot boolean, bytes binary")
     fetched = staged(fetched, "stretches")
     found = _sorted_bins(fetched.where("not hot").drop("hot"), length).unionByName(_hashed_bins(fetched.where("hot").drop("hot"), length))
     parts_ = found.select("bin", "digest", F.explode(F.arrays_zip("starts", "lengths")).alias("x"))
     spans = mixed_bins.join(parts_, ["bin", "digest"]).select("k", "tag", (F.col("start") + F.col("x.starts")).alias("start"), F.col("x.lengths").alias("n"))
     spans = spans.unionByName(shared.where("plain").select("k", "tag", "start", "n"))
-    every = spans.groupBy("k", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    # A set: rows of one id and text have the same spans, and each needs them once.
+    every = spans.groupBy("k", "tag").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
     def drop(batches):
         for batch in batches:
