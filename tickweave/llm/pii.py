@@ -1,6 +1,6 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
-Entities (email, secret, IBAN, IP address, US social security number, card,
+Entities (email, secret, IBAN, IP address of either kind, US social security number, card,
 phone, person name) are found by one expression. An entity's surrogate is a
 function of the key, its kind and its canonical form only, so mentions of one
 entity agree in every text (coreference). It keeps type and format: digits stay
@@ -51,10 +51,20 @@ TITLES = {
 _ALL = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, reverse=True))
 TITLE = rf"(?<![\p{{L}}])(?:{_ALL})\.? "
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
-SECRET = r"(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_.~-]{8,}[\"']?)"
+#: Words that announce a secret, and what keys of well-known services begin with.
+SECRET_WORDS = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*"
+SERVICE = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|xox[abprs]-|eyJ)"
+_KEYS = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+#: Of eight characters or more up to white space, a quote, a comma or the like; punctuation that ends a clause is not part of it.
+_VALUE = r"[^\s\"'`<>,;]{7,}[^\s\"'`<>,;.:]"
+SECRET = rf"(?<![\p{{L}}\p{{N}}])(?:{SECRET_WORDS}[\"']?{_VALUE}[\"']?|(?:{_KEYS})(?![\p{{L}}\p{{N}}_-]))"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
-SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer around one "::" with a group on each side; with a digit somewhere.
+IP6 = rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\p{{L}}\p{{N}}:])"
+#: With spaces only behind its name.
+SSN = r"(?<![\d-])(?:\d{3}-\d{2}-\d{4}|(?<=(?i:ssn|security number)[:#]{0,1} {0,2})\d{3} \d{2} \d{4})(?![\d-])"
 LOCAL = r"\d{3}[ .-]\d{3}[ .-]\d{4}(?!\d)"
 _LONG = r"\d{13,19}|\d{4}(?: \d{4}){2,3}+(?! \d{4}(?!\d))|\d{4}(?:-\d{4}){2,3}|\d{4}[ -]\d{6}[ -]\d{5}"
 #: What a number does not take in across a separator: the beginning of another entity.
@@ -99,9 +109,14 @@ PHONE = rf"(?<![\d+])(?:\+(?:{_KNOWN}|{_ANY})|\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]{
 #: Words of a name do not begin another entity.
 _WORD = rf"(?!{EMAIL}|{SECRET}|{IBAN}|{TITLE}\p{{Lu}})\p{{Lu}}[\p{{L}}'’-]+"
 NAME = rf"{TITLE}{_WORD}(?: {_WORD}){{0,2}}"
-ENTITY = "|".join([EMAIL, SECRET, IBAN, IP, SSN, PHONE, CARD, NAME])
+ENTITY = "|".join([EMAIL, SECRET, IBAN, IP, IP6, SSN, PHONE, CARD, NAME])
 #: Texts without any of these hold no entity.
-GATE = rf"[0-9@=:]|{TITLE}"
+GATE = rf"[0-9@=:]|{TITLE}|{SERVICE}"
+#: English words that are names as well. Alone at the beginning of a sentence they are taken for words.
+ALSO_WORDS = """art august april baker bell bill bishop black bond brown bush carpenter chase chance church cook dawn day dean drew faith field fields ford fox frank
+glass grace grant gray green guy hall hill hope hunt hunter jack joy june king lane lily long love major mark marsh may miles miller moon nelson page park pat
+pearl penny pierce pope price ray read reed rice rich rivers rob rose ruby rush sharp short skip stone storm sue summer taylor van walker wall ward wells
+white will wise wood woods young""".split()
 
 #: Country codes of the numbering plan; all others have three digits.
 COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
@@ -226,10 +241,13 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
         phone = F.concat(country, F.lit("|"), kept_format(F.substring_index(canon, "|", -1), h), numbers)
         rest = kept_format(canon.substr(F.lit(5), F.length(canon)), h)
         check = F.lpad((98 - mod97(F.concat(rest, canon.substr(1, 2), F.lit("00")))).cast("string"), 2, "0")
+        groups = F.array_join(F.transform(places(canon), lambda i: F.when(canon.substr(i, F.lit(1)) == ":", ":").otherwise(pick("0123456789abcdef", drawn(h, i - 1)))), "")
+        grown6 = F.when(late & (F.length(canon) < 30), F.concat(F.lit(":"), F.array_join(F.transform(F.sequence(F.lit(80), F.lit(83)), lambda i: pick("0123456789abcdef", drawn(h, i))), ""))).otherwise("")
         hexes = F.array_join(F.transform(places(canon), lambda i: pick("0123456789abcdef", drawn(h, i - 1))), "")
         return (
             F.when(kind == "email", email)
             .when(kind == "ip", ip)
+            .when(kind == "ip6", F.concat(groups, grown6))
             .when(kind == "card", card)
             .when(kind == "phone", phone)
             .when(kind == "ssn", F.concat(kept_format(canon, h), numbers))
@@ -243,18 +261,19 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
 
 def kind_of(m: Column) -> Column:
     return (
-        F.when(m.contains("@"), "email")
-        .when(m.rlike(r"^(?i:password|passwd|pwd|token|secret|api)"), "secret")
+        F.when(m.rlike(rf"^(?:{SECRET_WORDS}|(?:{_KEYS})$)"), "secret")
+        .when(m.contains("@"), "email")
+        .when(m.rlike(r"^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]+$"), "ip6")
         .when(m.rlike(r"^[A-Z]{2}\d"), "iban")
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
+        .when(m.rlike(r"^\d{3}([- ])\d{2}\1\d{4}$"), "ssn")
         .when(m.rlike(r"^(?:[+(]|\d{3}[ .-]\d{3}[ .-]\d{4}$)"), "phone")
         .when(m.rlike(r"^\d"), let(F.regexp_replace(m, r"\D", ""), lambda d: F.when(luhn_sum(d, 0) % 10 == 0, "card").otherwise("number")))
         .otherwise("name")
     )
 
 
-SECRET_HEAD = r"^[^=:]*[=:]\s*[\"']?"
+SECRET_HEAD = rf"^(?:{SECRET_WORDS}[\"']?)?{SERVICE}?"
 
 
 def canonical(m: Column, kind: Column) -> Column:
@@ -262,7 +281,7 @@ def canonical(m: Column, kind: Column) -> Column:
     code = F.when(m.startswith("+"), F.regexp_extract(digits, f"^({COUNTRY})", 1)).otherwise("")
     phone = F.concat(F.when((code == "") & (F.length(digits) == 10), "1").otherwise(code), F.lit("|"), digits.substr(F.length(code) + 1, F.length(digits)))
     return (
-        F.when(kind == "email", F.lower(m))
+        F.when(kind.isin("email", "ip6"), F.lower(m))
         .when(kind == "secret", F.regexp_replace(F.regexp_replace(m, SECRET_HEAD, ""), r"[\"']$", ""))
         .when(kind == "iban", F.regexp_replace(m, " ", ""))
         .when(kind == "phone", phone)
@@ -338,17 +357,30 @@ def named(key: str, names: Column, attempts: Column) -> Column:
 
 
 def without_titles(segment: Column, names: Column) -> Column:
-    """A piece of text between mentions, with the words of known names (capitalised or in capitals) replaced."""
+    """A piece of text between mentions, with the words of known names (capitalised or in capitals) replaced.
 
-    def step(a: Column, e: Column) -> Column:
-        whole = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}@._-])\Q"), w, F.lit(r"\E(?![\p{L}\p{N}@_])"))
-        capital = F.concat(F.upper(e["canon"].substr(1, 1)), e["canon"].substr(F.lit(2), F.length(e["canon"])))
-        once = F.regexp_replace(a, whole(capital), F.concat(F.lit("\x00"), cased(capital, e["new"])))
-        return F.regexp_replace(once, whole(F.upper(e["canon"])), F.concat(F.lit("\x00"), F.upper(e["new"])))
+    A name that is an English word as well (ALSO_WORDS) is one only beside another word of a name, or where no sentence begins.
+    """
+    capital = lambda c: F.concat(F.upper(c.substr(1, 1)), c.substr(F.lit(2), F.length(c)))
+    quoted = lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))
+    others = F.array_join(F.transform(names, lambda e: quoted(capital(e["canon"]))), "|")
+    before, after = F.lit(r"(?<![\p{L}\p{N}@._-])"), F.lit(r"(?![\p{L}\p{N}@_])")
 
-    # A mark behind which no word is a name keeps what is new from being replaced again.
-    marked = F.aggregate(names, F.regexp_replace(segment, "\x00", "\x01"), step)
-    return F.when(segment.contains("\x00") | segment.contains("\x01"), segment).otherwise(F.regexp_replace(marked, "\x00", ""))
+    def step(a: Column, e: Column) -> Column:
+        word = quoted(capital(e["canon"]))
+        inside = F.lit(r"(?<!^)(?<![.!?:…][\"'”’)»]{0,1}\s{1,2})(?<!\n)(?<![\"“„«(¿¡])")
+        beside = F.concat(F.lit("(?: (?:\x00|"), others, F.lit(r"(?![\p{L}\p{N}])))"))
+        behind = F.lit(r"(?<=\x00[\p{L}'’-]{1,40} )")
+        sure = F.concat(before, word, after)
+        careful = F.concat(before, F.lit("(?:"), behind, word, F.lit("|"), inside, word, F.lit("|"), word, F.lit("(?="), beside, F.lit("))"), after)
+        pattern = F.when(e["canon"].isin(ALSO_WORDS), careful).otherwise(sure)
+        once = F.regexp_replace(a, pattern, F.concat(F.lit("\x00"), cased(capital(e["canon"]), e["new"])))
+        return F.regexp_replace(once, F.concat(before, quoted(F.upper(e["canon"])), after), F.concat(F.lit("\x00"), F.upper(e["new"])))
+
+    # A mark (\x00) before what is new keeps it from being replaced again; the text's own \x00 and \x01 are escaped meanwhile.
+    escaped = F.regexp_replace(F.regexp_replace(segment, "\x01", "\x01\x03"), "\x00", "\x01\x02")
+    marked = F.regexp_replace(F.aggregate(names, escaped, step), "\x00", "")
+    return F.regexp_replace(F.regexp_replace(marked, "\x01\x02", "\x00"), "\x01\x03", "\x01")
 
 
 def replacement(key: str, m: Column, attempts: Column, names: Column) -> Column:
@@ -371,7 +403,7 @@ def replacement(key: str, m: Column, attempts: Column, names: Column) -> Column:
             return (
                 F.when(k == "email", F.when(m == F.upper(m), F.upper(s)).otherwise(s))
                 .when(k == "secret", secret)
-                .when(k == "ip", s)
+                .when(k.isin("ip", "ip6"), s)
                 .when(k == "phone", filled(m, phone))
                 .otherwise(filled(m, s))
             )
