@@ -12,7 +12,7 @@ from tickweave.operators import checks, replay_checks
 from tickweave.operators.replay_checks import Replay
 from tickweave.plans.sessions import Window
 from tickweave.sources import messages as src
-from tickweave.staging import staged
+from tickweave.staging import scratch, staged
 
 
 def as_checked(msgs: DataFrame, price_scale: float = 1.0) -> DataFrame:
@@ -78,6 +78,11 @@ def main(spark: SparkSession, argv: list[str]) -> int:
     p.add_argument("--save-messages", help="folder to save the messages to")
     p.add_argument("--out", help="file for the report")
     a = p.parse_args(argv)
+    with scratch(spark):
+        return _main(spark, a)
+
+
+def _main(spark: SparkSession, a) -> int:
     if a.messages:
         msgs, failures = src.load(spark, a.messages), {}
     else:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickweave.functions import calendar, features
 from tickweave.operators import blocks, book, checks, ladder, replay_checks, trades
 from tickweave.operators.ordering import ordered_events
+from tickweave.staging import staged
 
 HOUR_US = 3_600_000_000
 G0_US, POINTS = 1_704_067_200_000_000, 721  # 2024-01-01 UTC, hourly through 30 days
@@ -324,7 +325,9 @@ def lob_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ladder.intervals(book.levels(ordered_events(book_events(spark, sf_dir))), G0_US * 1000, HOUR_US * 1000, POINTS)
+    """The stretches of all levels: events are put in order once."""
+    ordered = staged(ordered_events(book_events(spark, sf_dir)), "ordered")
+    return ladder.intervals(book.levels(ordered), G0_US * 1000, HOUR_US * 1000, POINTS)
 
 
 def lob_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
