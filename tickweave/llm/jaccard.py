@@ -10,8 +10,9 @@ count once. Each bucket compares its members' whole signatures; those that agree
 as texts at the threshold do, but for five deviations, are linked, so a bucket that
 unlike texts share links none of them. What is linked, directly or through others,
 is a cluster. A cluster's full sets are sent in blocks (every pair of blocks is one
-unit of work, bounded in rows and bytes), and all its pairs are verified. No pair is
-ever a row. Result: one row per document.
+unit of work, bounded in rows and bytes), and all its pairs are verified, as join()
+counts links. keep_one() needs classes only, and verifies no more pairs than settle
+them (spanned). No pair is ever a row. Result: one row per document.
 
 Defined cases: a text without words (null, empty) has no links and is its own
 class; rows repeat as they come and count as copies of each other; a null id
@@ -22,6 +23,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -252,8 +254,8 @@ def by_node(classes: DataFrame, checked: DataFrame) -> DataFrame:
     return dealt.select("node", "root", F.col("rep").alias("copy_id"), "class_id", n).unionByName(alone)
 
 
-def solved(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, tag, node; classes: node, root, copy_id, class_id, n_links)."""
+def prepared(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, tag, node; classes: node, rep, copies, ..; the full sets of what is in a cluster: node, cluster, blocks, copies, set)."""
     text = F.col(text_col).cast("string")
     one = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     signed = staged(signatures(one, threshold, recall), "signatures")
@@ -278,9 +280,63 @@ def solved(docs: DataFrame, threshold: float, recall: float, id_col: str, text_c
             kept = batch.take(pa.array(keep, pa.int64())).drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=[*kept.schema.names, "set"])
 
-    shipped = texts.mapInArrow(lean(sets), "node binary, cluster binary, blocks int, copies long, set array<long>")
+    return signed.select("doc_id", "tag", "node"), classes, texts.mapInArrow(lean(sets), "node binary, cluster binary, blocks int, copies long, set array<long>")
+
+
+def solved(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, tag, node; classes: node, root, copy_id, class_id, n_links): all pairs of a cluster, as links are counted."""
+    signed, classes, shipped = prepared(docs, threshold, recall, id_col, text_col)
     checked = staged(joined(in_units(shipped, "set"), threshold), "verified")
-    return signed.select("doc_id", "tag", "node"), by_node(classes, checked)
+    return signed, by_node(classes, checked)
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """members(cluster, node, copies, set) with the number of blocks of what is there of each cluster."""
+    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("set")) * 8 / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    return members.join(sizes, "cluster")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members(node, cluster) with ``label``, the root of what links reach."""
+    roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "node")
+    return staged(members.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("label")), "labels")
+
+
+def spanned(shipped: DataFrame, threshold: float) -> DataFrame:
+    """node, label: the components of all links within clusters, from as few verified pairs as settle them.
+
+    Whether two texts are in one component is known without their own pair once others link them. So
+    first each block of a cluster is verified in itself (a set is shipped once), then the best linked text of each
+    component of a block with those of the others. Only in clusters that are still in parts, all
+    pairs between the greatest part and the rest, and within the rest, are verified.
+    """
+    sets = staged(shipped, "sets")
+    members = sets.select("node", "cluster")
+    at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    own = sets.select("cluster", at.alias("i"), at.alias("j"), at.alias("block"), "node", "copies", "set")
+    first = staged(joined(own, threshold), "own-blocks")
+    parts_ = members.join(first, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("part"), F.coalesce("links", F.lit(0)).alias("links"))
+    best = parts_.groupBy("cluster", "part").agg(F.max_by("node", F.struct("links", "node")).alias("node"))
+    several = best.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    heads = best.join(several, "cluster").select("node").join(sets.drop("blocks"), "node")
+    second = staged(joined(in_units(_blocked(heads), "set"), threshold), "heads")
+    labels = _labelled(members, first.unionByName(second))
+    sizes = labels.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("cluster").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("most")).where("parts > 1").select("cluster", "most")
+    if split.isEmpty():
+        return labels.select("node", "label")
+    split_sets = sets.drop("blocks").join(labels.join(split, "cluster").select("node", (F.col("label") == F.col("most")).alias("main")), "node")
+    rest = staged(_blocked(split_sets.where("not main").drop("main")), "rest")
+    main = _blocked(split_sets.where("main").drop("main"))
+    # Units of a block of the rest (i) and one of the main part (j, counted from -1 down).
+    many = main.groupBy("cluster").agg(F.first("blocks").alias("main_blocks"))
+    few = rest.groupBy("cluster").agg(F.first("blocks").alias("rest_blocks"))
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = rest.join(many, "cluster").withColumn("i", at).withColumn("j", F.explode(F.transform(numbers("main_blocks"), lambda k: -1 - k))).withColumn("block", F.col("i"))
+    right = main.join(few, "cluster").withColumn("j", -1 - at).withColumn("i", F.explode(numbers("rest_blocks"))).withColumn("block", F.col("j"))
+    units = [x.select("cluster", "i", "j", "block", "node", "copies", "set") for x in (left, right, in_units(rest, "set"))]
+    third = joined(units[0].unionByName(units[1]).unionByName(units[2]), threshold)
+    return _labelled(members, reduce(DataFrame.unionByName, [first, second, staged(third, "rest-verified")])).select("node", "label")
 
 
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,9 +355,9 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.99999, i
     Rows are told apart by id and text, so a repeated or null id loses no text; of
     rows equal in both one stays. Rows without words stay all.
     """
-    signed, info = solved(docs, threshold, recall, id_col, text_col)
+    signed, _, shipped = prepared(docs, threshold, recall, id_col, text_col)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
-    rooted = signed.where("node is not null").join(info.select("node", "root"), "node")
+    rooted = signed.where("node is not null").join(spanned(shipped, threshold), "node", "left").withColumn("root", F.coalesce("label", "node"))
     best = rooted.groupBy("root").agg(F.min(order).alias("at"))
     kept = staged(best.select(F.col("at.doc_id").alias("_id"), F.col("at.tag").alias("_tag")).distinct(), "kept")
     # How often the row that stays is there: only if any repeats are texts grouped.
