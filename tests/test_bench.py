@@ -9,7 +9,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_bench_prints_seconds_rows_and_shuffle():
-    env = os.environ | {"BENCH_SF_DIR": "/root/testdata/sf0.001", "BENCH_CPUS": "2", "BENCH_RUNS": "1", "BENCH_ONLY": "msg_bucket_agg,lob_levels_by_fold", "BENCH_ROWS": "1", "BENCH_FEED": "200"}
+    env = os.environ | {"BENCH_SF_DIR": "/root/testdata/sf0.001", "BENCH_CPUS": "2", "BENCH_RUNS": "1", "BENCH_ONLY": "msg_bucket_agg,lob_levels_by_fold", "BENCH_FEED": "200"}
     done = subprocess.run([sys.executable, "bench.py"], cwd=ROOT, env=env, capture_output=True, text=True, timeout=300, check=True)
     got = json.loads(done.stdout.strip().splitlines()[-1])
     assert set(got["queries"]) == set(got["rows"]) == set(got["shuffle_mb"]) == {"msg_bucket_agg", "lob_levels_by_fold"}

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tickweave.operators import checks, replay_checks
 from tickweave.operators.replay_checks import Replay
 from tickweave.plans.sessions import Window
+from tickweave.schemas import MESSAGE_TYPES
+from tickweave.sources import lake as lakes
 from tickweave.sources import messages as src
 from tickweave.staging import scratch, staged
 
@@ -75,6 +77,7 @@ def main(spark: SparkSession, argv: list[str]) -> int:
     p.add_argument("--no-replay", action="store_true")
     p.add_argument("--ab", action="store_true")
     p.add_argument("--messages", help="saved messages to read instead")
+    p.add_argument("--lake", help="lake to read from; with --root, new files are landed there first")
     p.add_argument("--save-messages", help="folder to save the messages to")
     p.add_argument("--out", help="file for the report")
     a = p.parse_args(argv)
@@ -85,6 +88,12 @@ def main(spark: SparkSession, argv: list[str]) -> int:
 def _main(spark: SparkSession, a) -> int:
     if a.messages:
         msgs, failures = src.load(spark, a.messages), {}
+    elif a.lake:
+        if a.root:
+            lakes.land(spark, a.root, a.lake, f"{a.lake}-taken", [f"{a.date}/{a.product}"], a.format)
+        msgs = lakes.read(spark, a.lake, [a.date], [a.product], clock=a.clock)
+        absent = lakes.failures(spark, a.lake, [(a.date, a.product, t) for t in MESSAGE_TYPES])  # a few types
+        failures = {r["message_type"]: r["reason"] for r in absent.collect()}
     else:
         msgs, failures = src.messages(spark, a.root, a.date, a.product, None, a.clock, a.format, "empty")
     if a.save_messages:
