@@ -76,6 +76,14 @@ def test_merged_sketches_keep_their_error(spark):
         assert one["n"] == 60_000 and one["error"] <= sketches.RANK_ERROR
 
 
+def test_sketched_medians_find_what_exact_ones_find(spark):
+    m = queries.msgs(spark, DIR).withColumn("price", F.when(F.col("f") == "F2", F.col("price") * 100).otherwise(F.col("price")))
+    exact, near = (checks.check_fields(m, e).where("subject = 'all'").collect() for e in (True, False))
+    assert len(exact) == len(near) == 1 and exact[0]["message"] == near[0]["message"] and abs(exact[0]["value"] / near[0]["value"] - 1) < 0.2
+    health = {r["f"]: r for r in checks.field_health(m, False).collect()}
+    assert all(abs(r["median_price"] / health[r["f"]]["median_price"] - 1) < 0.1 and r["n"] == health[r["f"]]["n"] for r in checks.field_health(m).collect())
+
+
 def test_the_cube_rolls_up(spark):
     m = queries.msgs(spark, DIR)
     cube = market_queries.message_cube(spark, DIR).cache()

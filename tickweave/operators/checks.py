@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickweave.operators import sketches
 from tickweave.operators.blocks import previous
 
 FINDING = "struct<kind:string,severity:string,check:string,subject:string,value:double,message:string>"
@@ -86,14 +87,15 @@ def check_feeds(msgs: DataFrame) -> DataFrame:
     )
 
 
-def field_health(msgs: DataFrame) -> DataFrame:
-    """f, n, and shares: side_ok, bad_price, bad_qty, no_ref; median price."""
+def field_health(msgs: DataFrame, exact: bool = True) -> DataFrame:
+    """f, n, and shares: side_ok, bad_price, bad_qty, no_ref; median price. Not ``exact``: the median of a sketch (sketches.RANK_ERROR), a few KB a feed."""
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     p, q = F.col("price"), F.col("qty")
     bad = lambda c: c.isNull() | F.isnan(c)
+    middle = F.median(F.when(~bad(p), p)) if exact else sketches.quantile(0.5, F.kll_sketch_agg_double(F.when(~bad(p), p), F.lit(sketches.K)))
     return msgs.groupBy("f").agg(
         F.count("*").alias("n"), share(F.trim("side").isin("Bid", "Ask")).alias("side_ok"), share(bad(p)).alias("bad_price"),
-        share(bad(q) | (q < 0)).alias("bad_qty"), share(F.col("ref").isNull()).alias("no_ref"), F.median(F.when(~bad(p), p)).alias("median_price"),
+        share(bad(q) | (q < 0)).alias("bad_qty"), share(F.col("ref").isNull()).alias("no_ref"), middle.alias("median_price"),
     )
 
 
@@ -104,8 +106,8 @@ def side_tokens(msgs: DataFrame, k: int = 4) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def check_fields(msgs: DataFrame) -> DataFrame:
-    health = field_health(msgs)
+def check_fields(msgs: DataFrame, exact: bool = True) -> DataFrame:
+    health = field_health(msgs, exact)
     c = F.col
     each = findings(
         health,
@@ -163,8 +165,8 @@ def check_clock(msgs: DataFrame, lo_ns: int, hi_ns: int) -> DataFrame:
     )
 
 
-def frame_findings(msgs: DataFrame, lo_ns: int, hi_ns: int, failures: list[str] = ()) -> DataFrame:
-    return reduce(DataFrame.unionByName, [check_inventory(msgs, failures), check_feeds(msgs), check_fields(msgs), check_sequence(msgs), check_clock(msgs, lo_ns, hi_ns)])
+def frame_findings(msgs: DataFrame, lo_ns: int, hi_ns: int, failures: list[str] = (), exact: bool = True) -> DataFrame:
+    return reduce(DataFrame.unionByName, [check_inventory(msgs, failures), check_feeds(msgs), check_fields(msgs, exact), check_sequence(msgs), check_clock(msgs, lo_ns, hi_ns)])
 
 
 def verdict(found: DataFrame) -> DataFrame:

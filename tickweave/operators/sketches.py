@@ -29,7 +29,7 @@ def merged(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
 
 
-def quantile(q: float, sketch: str = "sketch") -> Column:
+def quantile(q: float, sketch: str | Column = "sketch") -> Column:
     return F.kll_sketch_get_quantile_double(sketch, F.lit(float(q)))
 
 

@@ -125,6 +125,23 @@ def flow(buckets: DataFrame, root: str, price_scale: float = 1.0) -> DataFrame:
     return buckets.select("bucket_us", *[scaled(c, n).alias(f"{root}_{n}") for c, n in FLOW.items()])
 
 
+def flow_wide(buckets: DataFrame, roots: list[tuple[str, Column, float]], by: list[str] = ()) -> DataFrame:
+    """Buckets of several tapes (trade_buckets with ``by``) as flow() columns side by side: one row for each (by, bucket_us) with trades of any.
+
+    roots: of each tape its root, the condition that its buckets meet, and its price scale.
+    """
+    cells = []
+    for root, own, scale in roots:
+        for c, n in FLOW.items():
+            cells.append(F.max(F.when(own, F.col(c) * scale if n in ("trade_px", "trade_vwap") else F.col(c))).alias(f"{root}_{n}"))
+    return buckets.groupBy(*by, "bucket_us").agg(*cells)
+
+
+def flow_count_columns(roots: list[str]) -> list[str]:
+    """The columns of flow() that are 0 where there are no trades."""
+    return [f"{r}_{n}" for r in roots for n in FLOW.values() if n not in ("trade_px", "trade_vwap")]
+
+
 def attach_flow(grid: DataFrame, flows: list[DataFrame], step_us: int, label: str = "start") -> DataFrame:
     """grid(ts_us, ..) with flows joined on the bucket's start (or end); counts and volumes 0 where absent, prices null."""
     out = grid

@@ -28,12 +28,12 @@ def replayed(msgs: DataFrame, date: str, window: Window = Window(), price_scale:
     return Replay.of(src.replay_events(msgs, price_scale), g0 * 1000, step * 1000, points, order_by)
 
 
-def diagnose(msgs: DataFrame, date: str, window: Window = Window(), price_scale: float = 1.0, order_by: str = "sequence", replay: Replay | bool = True, ab: bool = False, failures: dict[str, str] | None = None) -> DataFrame:  # noqa: B008
-    """All findings of a session's messages, the worst first. replay: whether to replay, or replayed()."""
+def diagnose(msgs: DataFrame, date: str, window: Window = Window(), price_scale: float = 1.0, order_by: str = "sequence", replay: Replay | bool = True, ab: bool = False, failures: dict[str, str] | None = None, exact: bool = True) -> DataFrame:  # noqa: B008
+    """All findings of a session's messages, the worst first. replay: whether to replay, or replayed(). exact: whether medians are."""
     msgs = staged(msgs, "messages")  # read once: logs are text
     g0, step, points = window.of(date)
     lo, hi = g0 * 1000, (g0 + step * (points - 1)) * 1000
-    found = checks.frame_findings(as_checked(msgs, price_scale), lo, hi, list(failures or {}))
+    found = checks.frame_findings(as_checked(msgs, price_scale), lo, hi, list(failures or {}), exact)
     if replay is True:
         replay = replayed(msgs, date, window, price_scale, order_by)
     if replay:
@@ -76,6 +76,7 @@ def main(spark: SparkSession, argv: list[str]) -> int:
     p.add_argument("--format", default="csv")
     p.add_argument("--no-replay", action="store_true")
     p.add_argument("--ab", action="store_true")
+    p.add_argument("--sketched", action="store_true", help="medians from sketches")
     p.add_argument("--messages", help="saved messages to read instead")
     p.add_argument("--lake", help="lake to read from; with --root, new files are landed there first")
     p.add_argument("--save-messages", help="folder to save the messages to")
@@ -101,7 +102,7 @@ def _main(spark: SparkSession, a) -> int:
     needed = {"mt_add_order", "mt_cancel_order", "mt_trade"}
     window, msgs = Window(a.start, a.end, a.step), staged(msgs, "messages")
     replay = None if a.no_replay else replayed(msgs, a.date, window, a.price_scale, a.order_by)
-    found = staged(diagnose(msgs, a.date, window, a.price_scale, a.order_by, replay or False, a.ab, {k: v for k, v in failures.items() if k in needed}), "findings")
+    found = staged(diagnose(msgs, a.date, window, a.price_scale, a.order_by, replay or False, a.ab, {k: v for k, v in failures.items() if k in needed}, not a.sketched), "findings")
     text, rc = report(checks.ranked(found), replay)
     print(text)
     if a.out:

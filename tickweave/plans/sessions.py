@@ -183,8 +183,7 @@ def flows(spark: SparkSession, lake: str, plan: Plan, clock: str = "receipt") ->
     order, how = ["ts_ns", "arrival"], [(F.col("a") == a, asset.sign) for a, asset in enumerate(plan.assets)]
     signed = trades.signed(clean, order, F.expr("ts_ns div 600000000000"), how, by=["s"])
     buckets = trades.trade_buckets(signed, plan.step_us, order, tz=plan.window.tz, by=["k", "a"])
-    cells = [F.max(F.when(F.col("a") == a, F.col(c) * asset.price_scale if n in ("trade_px", "trade_vwap") else F.col(c))).alias(f"{asset.root}_{n}") for a, asset in enumerate(plan.assets) for c, n in trades.FLOW.items()]
-    return buckets.groupBy("k", F.col("bucket_us").alias("ts_us")).agg(*cells)
+    return trades.flow_wide(buckets, [(x.root, F.col("a") == a, x.price_scale) for a, x in enumerate(plan.assets)], ["k"]).withColumnRenamed("bucket_us", "ts_us")
 
 
 def extract_sessions(spark: SparkSession, root: str, dates: list[tuple[str, str]], assets: list[Asset], depth: int = 10, window: Window = Window(), with_flow: bool = True, clock: str = "receipt", fmt: str = "csv", order_by: str = "sequence", on_missing: str = "fail", lake: str | None = None, round_lot: float | None = None, odd_lots: bool = True) -> tuple[DataFrame, DataFrame]:  # noqa: B008
@@ -204,8 +203,7 @@ def extract_sessions(spark: SparkSession, root: str, dates: list[tuple[str, str]
     wide = wide.join(plan.table(spark).where("a = 0").select("k", "session_date", "g0_us"), "k").withColumn("ts_us", F.col("g0_us") + F.col("gi") * plan.step_us)
     columns = [c for a in assets for c in (*ladder.book_names(a.root, depth), ladder.book_mid(a.root), f"{a.root}_nbbo_bid", f"{a.root}_nbbo_ask")]
     if with_flow:
-        counts = [f"{a.root}_{n}" for a in assets for n in trades.FLOW.values() if n not in ("trade_px", "trade_vwap")]
-        wide = wide.join(flows(spark, path, plan, clock), ["k", "ts_us"], "left").fillna(0, counts)
+        wide = wide.join(flows(spark, path, plan, clock), ["k", "ts_us"], "left").fillna(0, trades.flow_count_columns([a.root for a in assets]))
         columns += [f"{a.root}_{n}" for a in assets for n in trades.FLOW.values()]
     regime = F.element_at(F.array(*[F.lit(r) for _, r in dates]), F.col("k") + 1)
     frame = wide.orderBy("k", "ts_us").select("session_date", regime.alias("regime"), F.timestamp_micros("ts_us").alias("ts"), *columns)

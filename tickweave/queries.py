@@ -115,14 +115,16 @@ s AS (SELECT event_id, CASE WHEN event_id % 89 = 0 THEN price + 1 ELSE price END
   CAST(event_id % 89 = 0 AS BIGINT) AS corrected FROM t WHERE event_id % 97 <> 0)"""
 
 
-def asset_flow(spark: SparkSession, sf_dir: str, parity: int, root: str) -> DataFrame:
-    t = trades.printable_only(tape(spark, sf_dir)).where(F.col("user_id") % 2 == parity)
-    return trades.flow(trades.trade_buckets(trades.signed(t, ORDER, day_block(), "tick"), HOUR_US, ORDER), root)
+def asset_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ts_us and the flow of two assets, A and B (by the user's parity): both tapes in one pass."""
+    t = trades.printable_only(tape(spark, sf_dir)).withColumn("asset", F.col("user_id") % 2)
+    buckets = trades.trade_buckets(trades.signed(t, ORDER, day_block(), "tick", by=["asset"]), HOUR_US, ORDER, by=["asset"])
+    return trades.flow_wide(buckets, [(n, F.col("asset") == k, 1.0) for k, n in enumerate("AB")]).withColumnRenamed("bucket_us", "ts_us")
 
 
 def flow_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.range(POINTS).select((F.lit(G0_US) + F.col("id") * HOUR_US).alias("ts_us"))
-    frame = trades.attach_flow(grid, [asset_flow(spark, sf_dir, 0, "A"), asset_flow(spark, sf_dir, 1, "B")], HOUR_US)
+    frame = staged(grid.join(asset_flows(spark, sf_dir), "ts_us", "left").fillna(0, trades.flow_count_columns(["A", "B"])), "flow")
     got = trades.flow_counts(frame, ["A", "B"], day_block())
     return got.select("ts_us", "A_buy", "A_sell", r6(F.col("A_ret_bps")).alias("A_ret_bps"), "B_buy", "B_sell", r6(F.col("B_ret_bps")).alias("B_ret_bps"))
 
@@ -142,9 +144,9 @@ GRID_SQL = f"grid AS (SELECT {G0_US} + i * 3600000000 AS ts_us FROM range({POINT
 
 
 def session_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (asset_flow(spark, sf_dir, p, n).withColumnRenamed("bucket_us", "ts_us") for p, n in ((0, "A"), (1, "B")))
-    pick = lambda df, n: df.where(F.col(f"{n}_trade_px").isNotNull()).select("ts_us", f"{n}_trade_buy", r6(F.col(f"{n}_trade_px")).alias(f"{n}_trade_px"))
-    return trades.join_assets(pick(a, "A"), pick(b, "B"))
+    flows = staged(asset_flows(spark, sf_dir), "flows")
+    pick = lambda n: flows.where(F.col(f"{n}_trade_px").isNotNull()).select("ts_us", f"{n}_trade_buy", r6(F.col(f"{n}_trade_px")).alias(f"{n}_trade_px"))
+    return trades.join_assets(pick("A"), pick("B"))
 
 
 def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
