@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Quarterly month codes, point values and lots.
 MONTH_CODES = {"F": 1, "G": 2, "H": 3, "J": 4, "K": 5, "M": 6, "N": 7, "Q": 8, "U": 9, "V": 10, "X": 11, "Z": 12}
 QUARTERLY = ["H", "M", "U", "Z"]
-POINT_VALUES = {"ES": 50.0, "NQ": 20.0, "RTY": 50.0, "YM": 5.0}
+POINT_VALUES = {"ES": 50.0, "MES": 5.0, "NQ": 20.0, "MNQ": 2.0, "RTY": 50.0, "M2K": 5.0}
 LOTS = {"direct": 100.0, "futures": 1.0}
 
 
@@ -60,3 +60,14 @@ def canonical_root(product: Column, product_type: str) -> Column:
 
 def default_lot(product_type: str) -> float:
     return LOTS[product_type]
+
+
+def point_value(root: Column) -> Column:
+    """Money that one point of a future's price is worth; null for a root without one."""
+    pairs = [F.lit(x) for k, v in POINT_VALUES.items() for x in (k, v)]
+    return F.element_at(F.create_map(*pairs), F.upper(root))
+
+
+def notional(root: Column, price: Column, contracts: Column) -> Column:
+    """price * contracts in money: times the point value of a future, as it is for anything else."""
+    return price * contracts * F.coalesce(point_value(root), F.lit(1.0))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickweave import log_queries as logs
+from tickweave.functions import calendar
 from tickweave.operators import asof, book, checks, coverage, price_discovery, sketches, trades
 
 from tickweave.queries import EV, HOUR_US, LEVELS, MSGS, book_events, events, msgs, r6
@@ -201,9 +202,24 @@ def flow_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["flow_columns"] = f"WITH s AS ({logs.ORACLES['session_frame']}) SELECT a AS asset, a <> 'zz' AS has_flow, CAST(coalesce(CASE a WHEN 'aaa' THEN (SELECT sum(aaa_trade_buy + aaa_trade_sell) FROM s) WHEN 'bb' THEN (SELECT sum(bb_trade_buy + bb_trade_sell) FROM s) END, 0) AS BIGINT) AS n FROM (VALUES ('aaa'), ('bb'), ('zz')) t(a)"
 
+ROOTS = ["es", "MNQ", "RTY", "M2K", "SPY"]
+
+
+def contract_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases as contracts of a few roots: trades, point value, and their worth in money, by root."""
+    root = F.element_at(F.array(*map(F.lit, ROOTS)), (F.col("user_id") % len(ROOTS) + 1).cast("int"))
+    t = events(spark, sf_dir).where("event_type = 'purchase'").select(root.alias("root"), F.col("value").alias("price"), "k")
+    worth = F.sum(F.round(calendar.notional(F.col("root"), F.col("price"), F.col("k")) * 100).cast("long"))
+    return t.groupBy("root", calendar.point_value(F.col("root")).alias("point_value")).agg(F.count("*").alias("n"), worth.alias("cents"))
+
+
+ORACLES["contract_values"] = f"""WITH {EV}, t AS (SELECT ['es', 'MNQ', 'RTY', 'M2K', 'SPY'][user_id % 5 + 1] AS root, value, k FROM ev WHERE event_type = 'purchase'),
+m AS (SELECT *, CAST(CASE upper(root) WHEN 'ES' THEN 50 WHEN 'MNQ' THEN 2 WHEN 'RTY' THEN 50 WHEN 'M2K' THEN 5 END AS DOUBLE) AS point_value FROM t)
+SELECT root, point_value, count(*) AS n, CAST(sum(CAST(round(value * k * coalesce(point_value, 1.0) * 100) AS BIGINT)) AS BIGINT) AS cents FROM m GROUP BY 1, 2"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        lake_counts, absent_types, saved_messages, stream_levels, asof_quotes, seq_gaps, seq_bitmaps, price_quantiles, scrub_counters, event_counters, message_cube, price_gram, flow_columns,
+        contract_values, lake_counts, absent_types, saved_messages, stream_levels, asof_quotes, seq_gaps, seq_bitmaps, price_quantiles, scrub_counters, event_counters, message_cube, price_gram, flow_columns,
     )
 }
