@@ -290,10 +290,20 @@ def solved(docs: DataFrame, threshold: float, recall: float, id_col: str, text_c
     return signed, by_node(classes, checked)
 
 
+#: Rows of nodes or clusters (some 64 bytes each) up to which they are broadcast; more are joined by a shuffle.
+FEW = 200_000
+
+
+def _few(df: DataFrame, name: str) -> DataFrame:
+    """df, written and counted: to be broadcast if it is short, so that what it picks from large sets moves no others."""
+    kept = staged(df, name)
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
 def _blocked(members: DataFrame) -> DataFrame:
     """members(cluster, node, copies, set) with the number of blocks of what is there of each cluster."""
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("set")) * 8 / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
-    return members.join(sizes, "cluster")
+    return members.join(_few(sizes, "blocks"), "cluster")
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -318,22 +328,23 @@ def spanned(shipped: DataFrame, threshold: float) -> DataFrame:
     parts_ = members.join(first, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("part"), F.coalesce("links", F.lit(0)).alias("links"))
     best = parts_.groupBy("cluster", "part").agg(F.max_by("node", F.struct("links", "node")).alias("node"))
     several = best.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-    heads = best.join(several, "cluster").select("node").join(sets.drop("blocks"), "node")
-    second = staged(joined(in_units(_blocked(heads), "set"), threshold), "heads")
+    heads = staged(sets.drop("blocks").join(_few(best.join(several, "cluster").select("node"), "heads"), "node"), "heads")
+    second = staged(joined(in_units(_blocked(heads), "set"), threshold), "heads-verified")
     labels = _labelled(members, first.unionByName(second))
     sizes = labels.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     split = sizes.groupBy("cluster").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("most")).where("parts > 1").select("cluster", "most")
     if split.isEmpty():
         return labels.select("node", "label")
-    split_sets = sets.drop("blocks").join(labels.join(split, "cluster").select("node", (F.col("label") == F.col("most")).alias("main")), "node")
-    rest = staged(_blocked(split_sets.where("not main").drop("main")), "rest")
+    parted = labels.join(split, "cluster").select("node", (F.col("label") == F.col("most")).alias("main"))
+    split_sets = staged(sets.drop("blocks").join(_few(parted, "parted"), "node"), "parted-sets")
+    rest = _blocked(split_sets.where("not main").drop("main"))
     main = _blocked(split_sets.where("main").drop("main"))
     # Units of a block of the rest (i) and one of the main part (j, counted from -1 down).
     many = main.groupBy("cluster").agg(F.first("blocks").alias("main_blocks"))
     few = rest.groupBy("cluster").agg(F.first("blocks").alias("rest_blocks"))
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = rest.join(many, "cluster").withColumn("i", at).withColumn("j", F.explode(F.transform(numbers("main_blocks"), lambda k: -1 - k))).withColumn("block", F.col("i"))
-    right = main.join(few, "cluster").withColumn("j", -1 - at).withColumn("i", F.explode(numbers("rest_blocks"))).withColumn("block", F.col("j"))
+    left = rest.join(_few(many, "main-blocks"), "cluster").withColumn("i", at).withColumn("j", F.explode(F.transform(numbers("main_blocks"), lambda k: -1 - k))).withColumn("block", F.col("i"))
+    right = main.join(_few(few, "rest-blocks"), "cluster").withColumn("j", -1 - at).withColumn("i", F.explode(numbers("rest_blocks"))).withColumn("block", F.col("j"))
     units = [x.select("cluster", "i", "j", "block", "node", "copies", "set") for x in (left, right, in_units(rest, "set"))]
     third = joined(units[0].unionByName(units[1]).unionByName(units[2]), threshold)
     return _labelled(members, reduce(DataFrame.unionByName, [first, second, staged(third, "rest-verified")])).select("node", "label")
