@@ -1,4 +1,7 @@
-"""The book and the tape as streams."""
+"""The tape as a stream, and the book in its plainest form: a feed's whole book as one state.
+
+``live`` is the form for large books and for event time; this one needs no particular state store.
+"""
 
 from __future__ import annotations
 
