@@ -13,7 +13,6 @@ QUERIES = base.QUERIES | log_queries.QUERIES | market_queries.QUERIES
 ORACLES = base.ORACLES | log_queries.ORACLES | market_queries.ORACLES
 
 DIR = "/root/testdata/sf0.001"
-SKIPPED = {"lob_wide", "ordering_ab", "snapshot_validate", "pinned_prices", "level_feeds", "orphans_by_feed", "scale_medians"}  # covered by their parts; slow
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def plain(v):
     return None if isinstance(v, float) and math.isnan(v) else float(v) if isinstance(v, (int, float)) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIPPED))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     df = QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
