@@ -8,21 +8,38 @@ order share the summaries, so the rows are read twice however many there are.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Events in one task of a sort or window, about.
+ROWS = 150_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks that share out the work on df (of which this asks the number of rows, in a short job if df is staged): what one holds does not grow with df."""
+    spark = df.sparkSession
+    return max(ceil(df.count() / ROWS), min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def join_back(df: DataFrame, keys: list[str], block: str, before: DataFrame) -> DataFrame:
     """df with the other columns of before(keys, block), one row a block."""
     match = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in [*keys, block]]
     return df.alias("_l").join(before.alias("_r"), match, "left").select("_l.*", *[f"_r.{c}" for c in before.columns if c not in (*keys, block)])
 
 
-def with_before(df: DataFrame, keys: list[str], block: str, handed: dict[str, tuple[Column, object]]) -> DataFrame:
-    """df with a column for each of ``handed``: name -> (what a block hands on, an aggregate; how earlier blocks' values run together)."""
+def before_blocks(df: DataFrame, keys: list[str], block: str, handed: dict[str, tuple[Column, object]]) -> DataFrame:
+    """A row a block with a column for each of ``handed``: name -> (what a block hands on, an aggregate; how earlier blocks' values run together)."""
     w = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     each = df.groupBy(*keys, block).agg(*[one.alias(name) for name, (one, _) in handed.items()])
-    return join_back(df, keys, block, each.select(*keys, block, *[running(F.col(name)).over(w).alias(name) for name, (_, running) in handed.items()]))
+    return each.select(*keys, block, *[running(F.col(name)).over(w).alias(name) for name, (_, running) in handed.items()])
+
+
+def with_before(df: DataFrame, keys: list[str], block: str, handed: dict[str, tuple[Column, object]]) -> DataFrame:
+    """df with the columns of before_blocks()."""
+    return join_back(df, keys, block, before_blocks(df, keys, block, handed))
 
 
 def last_value(value: str, order: list[str]) -> Column:
@@ -83,11 +100,11 @@ def ticks(df: DataFrame, price: str, order: list[str], block: str, out: str, key
     return got.withColumn("_step", step).withColumn(out, F.coalesce(latest(F.col("_step")).over(upto(w)), F.col("_before"))).drop("_nth", "_step", "_last", "_before")
 
 
-def running_max(df: DataFrame, value: str, order: list, block: str, out: str, keys: list[str] = ()) -> DataFrame:
-    """Adds ``out``: the greatest value up to and with the row."""
-    keys = list(keys)
-    got = with_before(df, keys, block, {"_before": (F.max(value), F.max)})
-    return got.withColumn(out, F.greatest(F.max(value).over(upto(in_block(keys, block, order))), F.col("_before"))).drop("_before")
+def running_max(df: DataFrame, value: str, order: list, block: str, out: str, keys: list[str], tasks: int) -> DataFrame:
+    """Adds ``out``: the greatest value up to and with the row. keys and block are never null; rows are dealt out and sorted once, in ``tasks``."""
+    own = df.repartition(tasks, *keys, block).withColumn(out, F.max(value).over(upto(in_block(keys, block, order))))
+    before = before_blocks(df, keys, block, {"_before": (F.max(value), F.max)})
+    return own.join(before.hint("shuffle_hash"), [*keys, block], "left").withColumn(out, F.greatest(out, "_before")).drop("_before")
 
 
 def bounded_sum(df: DataFrame, add: Column, floor: Column, reset: Column, carry: Column, order: list[str], block: str, keys: list[str], out: str) -> DataFrame:

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tickweave.operators.blocks import bounded_sum
+from tickweave.operators.blocks import bounded_sum, tasks_for
 from tickweave.operators.ordering import ORDER, block_of
 from tickweave.staging import staged
 
@@ -115,8 +115,9 @@ def lifecycle(ordered: DataFrame) -> DataFrame:
 
     ``killed_before``: a cancel or trade took the order away, and nothing has set its reference since.
     """
-    cut = generations(resolved(ordered))
-    w = Window.partitionBy("f", "key").orderBy(*ORDER, "sub")
+    # Dealt out by the number of events: else a task's share, sorted in memory, would be what few partitions make it.
+    cut = generations(resolved(ordered).repartition(tasks_for(ordered), "f", "key"))
+    w = Window.partitionBy("f", "key").orderBy("gen", *ORDER, "sub")  # gen never falls: the order that the rows have by now
     is_set = F.col("op") == "SET"
     lagged = lambda c: F.lag(c).over(w)
     cut = cut.withColumns({"before": F.when(F.col("keyless"), 0.0).otherwise(F.coalesce(lagged("after"), F.lit(0.0))), "was_side": lagged("_side"), "was_price": lagged("_price")})
@@ -249,15 +250,21 @@ def replay_stats(ordered: DataFrame, life: DataFrame | None = None, by: Column |
     events = ordered.groupBy(*keys).agg(F.count("*").alias("events"), *[n(c).alias(f"n_{c.lower()}") for c in ("ADD", "CANCEL", "MODIFY", "TRADE", "LEVEL_SET", "LEVEL_DEL")], F.count(F.when((F.col("code") == "MODIFY") & ~F.col("maintain"), 1)).alias("modify_reprioritized"), F.count(F.when(F.col("code").isin("LEVEL_SET", "LEVEL_DEL"), 1)).alias("mbp_level_events"))
     met = F.col("before") > 0
     life = lifecycle(ordered) if life is None else life
-    each = life.groupBy("f", *ORDER, "code").agg(F.max(F.when(F.col("op") == "SET", met)).alias("onto"), F.max(F.when(F.col("op") != "SET", met)).alias("took"))
-    first = feeds_with_levels(ordered).select("f", "first_level")
-    lost = (F.col("code") == "TRADE") & ~F.col("took")
+    first = F.broadcast(feeds_with_levels(ordered).select("f", "first_level"))  # a row a feed
+    is_set, code = F.col("op") == "SET", F.col("code")
+    # All counters but one are of single steps. That one is of modifies which take one order away and set another, both resting.
+    lost = (code == "TRADE") & ~met
     shown = F.coalesce(F.struct(*ORDER) > F.col("first_level"), F.lit(False))
     count = lambda c: F.count(F.when(c, 1))
-    counted = each.join(first, "f", "left").groupBy(*keys).agg(
-        count(F.col("onto") & ((F.col("code") == "ADD") | F.col("took"))).alias("dup_add"), count((F.col("code") == "CANCEL") & ~F.col("took")).alias("cancel_no_order"),
+    single = life.join(first, "f", "left").groupBy(*keys).agg(
+        count(is_set & (code == "ADD") & met).alias("dup_add"), count((code == "CANCEL") & ~met).alias("cancel_no_order"),
         count(lost & shown).alias("trade_on_mbp_skipped"), count(lost & ~shown).alias("trade_no_ref"),
     )
+    moved = life.where((code == "MODIFY") & met).groupBy("f", *ORDER).agg(F.max(is_set).alias("onto"), F.max(~is_set).alias("took")).where("onto and took")
+    names = single.columns
+    zeros = [F.lit(0).cast("long").alias(c) for c in names[-3:]]
+    both = single.unionByName(moved.groupBy(*keys).agg(F.count("*").alias("dup_add")).select("*", *zeros))
+    counted = both.groupBy(*names[:-4]).agg(*[F.sum(c).alias(c) for c in names[-4:]])
     if by is None:
         return events.join(counted)  # one row each
     counters = [c for c in counted.columns if c not in events.columns]

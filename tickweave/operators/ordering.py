@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.operators.blocks import running_max
+from tickweave.operators.blocks import running_max, tasks_for
 
 REMOVALS = ["CANCEL", "TRADE", "LEVEL_DEL"]
 LAST = (1 << 63) - 1
@@ -40,7 +40,7 @@ def ordered_events(events: DataFrame, order_by: str = "sequence", parity: bool =
     if parity:
         some = has.agg(F.coalesce(F.max("_has"), F.lit(False)).alias("_any"))
         has = has.join(F.broadcast(some)).select("f", F.col("_any").alias("_has"))  # one row
-    marked = events.join(has, "f")
+    marked = events.join(F.broadcast(has), "f")  # a row a feed: events of a feed do not meet in one task
     keyed = marked.withColumns({"k1": F.when(F.col("_has"), F.coalesce("seq", F.lit(LAST))).otherwise(F.col("ts_ns")), "k2": elim})
     # Blocks grow with the order; rows without a sequence, the last of their feed, are cut by arrival.
     late = F.col("seq").isNull()
@@ -48,7 +48,7 @@ def ordered_events(events: DataFrame, order_by: str = "sequence", parity: bool =
     zero = F.lit(0).cast("long")
     keyed = keyed.withColumn("_block", F.struct(at.alias("a"), F.when(late, F.col("k2")).otherwise(zero).alias("b"), F.when(late, F.floor(F.col("arrival") / block).cast("long")).otherwise(zero).alias("c")))
     degraded = keyed.where(~F.col("_has")).withColumn("eff_ts", F.col("ts_ns"))
-    running = running_max(keyed.where("_has"), "ts_ns", ORDER, "_block", "eff_ts", ["f"])
+    running = running_max(keyed.where("_has"), "ts_ns", ORDER, "_block", "eff_ts", ["f"], tasks_for(events))
     return running.unionByName(degraded).drop("_block", "_has")
 
 

@@ -321,15 +321,19 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_seq.join(ranked.select(F.col("arrival").alias("event_id"), "clock_rank"), "event_id")
 
 
+def ordered_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in order: this is done once for all that a query asks of them."""
+    return staged(ordered_events(book_events(spark, sf_dir)), "ordered")
+
+
 def lob_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = book.levels(ordered_events(book_events(spark, sf_dir)))
     return got.select("f", "side", "price", F.col("arrival").alias("event_id"), F.col("sub").cast("long").alias("sub"), r6(F.col("level")).alias("level"))
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stretches of all levels: events are put in order once."""
-    ordered = staged(ordered_events(book_events(spark, sf_dir)), "ordered")
-    return ladder.intervals(book.levels(ordered), G0_US * 1000, HOUR_US * 1000, POINTS)
+    """The stretches of all levels."""
+    return ladder.intervals(book.levels(ordered_book(spark, sf_dir)), G0_US * 1000, HOUR_US * 1000, POINTS)
 
 
 def lob_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +355,7 @@ def lob_crossed_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lob_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.replay_stats(ordered_events(book_events(spark, sf_dir)))
+    return book.replay_stats(ordered_book(spark, sf_dir))
 
 
 def resting_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
