@@ -25,7 +25,7 @@ def test_tasks_of_the_replay_grow_with_the_events(spark, small_tasks):
     rows = [(f"F{k % 2}", "ADD" if k % 4 < 2 else "CANCEL", "Bid", float(1 + k // 4), 5.0, str(k // 4), str(k // 4), True, k, 1000 * k, k) for k in range(800)]
     ordered = ordered_events(spark.createDataFrame(rows, EVENTS), block=5)
     life = book.lifecycle(ordered)
-    for df in (ordered, life):
+    for df in (ordered, life, book.levels(ordered, life)):
         assert df.count() >= 600 and most_in_a_task(df) <= 180
 
 

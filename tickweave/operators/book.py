@@ -194,21 +194,24 @@ def levels(ordered: DataFrame, life: DataFrame | None = None) -> DataFrame:
     fin = F.when(F.col("qty").isNotNull() & ~F.isnan("qty") & (F.col("code") == "LEVEL_SET"), F.col("qty")).otherwise(0.0)
     assigned = ordered.where(F.col("code").isin("LEVEL_SET", "LEVEL_DEL") & F.col("side").isin(SIDES) & F.col("price").isNotNull()).withColumns({"sub": F.lit(0), "delta": fin, "whole": F.lit(True), "kind": F.lit("assign")})
     moves = reduce(DataFrame.unionByName, [x.select(*base) for x in (deltas, assigned)])
+    n_tasks = tasks_for(ordered)
     if not priced and not dual:
-        return _summed(moves).select(*cols)
+        return _summed(moves, n_tasks).select(*cols)
     lost = refless_trades(life, feeds_with_levels(ordered)).where(~F.col("on_level") & F.col("price").isNotNull())
     takes = lost.select("f", "side", "price", *ORDER, F.lit(0).alias("sub"), "eff_ts", F.coalesce("qty", F.lit(0.0)).alias("delta"), F.lit(True).alias("whole"), F.lit("take").alias("kind"))
     n = lambda k: F.count(F.when(F.col("kind") == k, 1))
     every = staged(moves.unionByName(takes), "moves")
     moves = every.where("kind <> 'take'")
     hit = every.groupBy("f", "price").agg(n("take").alias("t"), n("assign").alias("a"), n("delta").alias("d")).where("t > 0 or (a > 0 and d > 0)").select("f", "price")
-    return _summed(moves.join(hit, ["f", "price"], "left_anti")).select(*cols).unionByName(hit_levels(every.join(hit, ["f", "price"], "left_semi")).select(*cols))
+    return _summed(moves.join(hit, ["f", "price"], "left_anti"), n_tasks).select(*cols).unionByName(hit_levels(every.join(hit, ["f", "price"], "left_semi")).select(*cols))
 
 
-def _summed(moves: DataFrame) -> DataFrame:
+def _summed(moves: DataFrame, tasks: int) -> DataFrame:
     """Levels as running sums since the last assignment."""
-    w = Window.partitionBy("f", "side", "price").orderBy(*ORDER, "sub").rowsBetween(Window.unboundedPreceding, 0)
-    stretch = Window.partitionBy("f", "side", "price", "_set").orderBy(*ORDER, "sub").rowsBetween(Window.unboundedPreceding, 0)
+    # Dealt out by a hash of side and price: windows compare doubles in a normal form, which a price as it is does not share.
+    moves = moves.withColumn("_at", F.xxhash64("side", F.col("price") + 0.0)).repartition(tasks, "f", "_at")
+    w = Window.partitionBy("f", "_at", "side", "price").orderBy(*ORDER, "sub").rowsBetween(Window.unboundedPreceding, 0)
+    stretch = Window.partitionBy("f", "_at", "side", "price", "_set").orderBy(*ORDER, "sub").rowsBetween(Window.unboundedPreceding, 0)
     return moves.withColumn("_set", F.sum(F.when(F.col("kind") == "assign", 1).otherwise(0)).over(w)).withColumn("level", F.sum("delta").over(stretch))
 
 

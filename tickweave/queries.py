@@ -327,7 +327,7 @@ def ordered_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lob_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = book.levels(ordered_events(book_events(spark, sf_dir)))
+    got = book.levels(ordered_book(spark, sf_dir))
     return got.select("f", "side", "price", F.col("arrival").alias("event_id"), F.col("sub").cast("long").alias("sub"), r6(F.col("level")).alias("level"))
 
 
