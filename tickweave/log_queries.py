@@ -17,7 +17,7 @@ from tickweave.functions import calendar, features
 from tickweave.operators import book, checks, ladder, replay_checks
 from tickweave.operators.ordering import ordered_events
 from tickweave.plans import sessions
-from tickweave.queries import EV, G0_US, GRID_SQL, HOUR_US, LADDERS, ORACLES as BASE, POINTS, SPANS, book_events, events, ladders, r6, spans
+from tickweave.queries import EV, G0_US, GRID_SQL, HOUR_US, LADDERS, ORACLES as BASE, POINTS, SPANS, book_events, events, ladders, ordered_book, r6, spans
 from tickweave.sources import messages as src
 from tickweave.staging import new_path, staged
 
@@ -212,7 +212,7 @@ def scale_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oldest_wrong_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = replay_checks.wrong_side(ordered_events(book_events(spark, sf_dir)))
+    found = replay_checks.wrong_side(ordered_book(spark, sf_dir))
     return replay_checks.oldest_wrong(found).select("f", "n", "ref", "side", "price", F.col("born").alias("born_ns"), F.col("k").cast("long").alias("k"))
 
 
