@@ -389,7 +389,7 @@ def pinned_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrong_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay_checks.wrong_side(ordered_events(book_events(spark, sf_dir))).select("f", "ref", "side", "price", r6(F.col("size")).alias("size"))
+    return replay_checks.wrong_side(ordered_book(spark, sf_dir)).select("f", "ref", "side", "price", r6(F.col("size")).alias("size"))
 
 
 def ordering_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
