@@ -368,7 +368,7 @@ def orphan_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resurrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay_checks.resurrections(ordered_events(book_events(spark, sf_dir))).select(F.col("arrival").alias("event_id"), "f", "ref")
+    return replay_checks.resurrections(ordered_book(spark, sf_dir)).select(F.col("arrival").alias("event_id"), "f", "ref")
 
 
 def resting_series(spark: SparkSession, sf_dir: str) -> DataFrame:
