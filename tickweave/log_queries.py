@@ -17,7 +17,7 @@ from tickweave.functions import calendar, features
 from tickweave.operators import book, checks, ladder, replay_checks
 from tickweave.operators.ordering import ordered_events
 from tickweave.plans import sessions
-from tickweave.queries import EV, G0_US, GRID_SQL, HOUR_US, LADDERS, ORACLES as BASE, POINTS, SPANS, book_events, events, ladders, ordered_book, r6, spans
+from tickweave.queries import EV, G0_US, GRID_SQL, HOUR_US, LADDERS, ORACLES as BASE, POINTS, SPANS, events, ladders, ordered_book, r6, spans
 from tickweave.sources import messages as src
 from tickweave.staging import new_path, staged
 
@@ -217,7 +217,7 @@ def oldest_wrong_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans_by_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay_checks.orphans_by_feed(replay_checks.orphans(ordered_events(book_events(spark, sf_dir))))
+    return replay_checks.orphans_by_feed(replay_checks.orphans(ordered_book(spark, sf_dir)))
 
 
 _LADDER2 = """q AS (SELECT gi, max(price) FILTER (WHERE side = 'Bid' AND level = 1) AS b1, max(qty) FILTER (WHERE side = 'Bid' AND level = 1) AS bq1, max(price) FILTER (WHERE side = 'Ask' AND level = 1) AS a1, max(qty) FILTER (WHERE side = 'Ask' AND level = 1) AS aq1,
