@@ -363,7 +363,7 @@ def resting_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = replay_checks.orphans(ordered_events(book_events(spark, sf_dir)))
+    got = replay_checks.orphans(ordered_book(spark, sf_dir))
     return got.select(F.col("arrival").alias("event_id"), "f", "code", "ref", F.col("add_present").cast("long").alias("add_present"), F.col("on_other_feed").cast("long").alias("on_other_feed"))
 
 
