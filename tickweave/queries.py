@@ -359,7 +359,7 @@ def lob_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resting_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.resting(ordered_events(book_events(spark, sf_dir))).select("f", "ref", "side", "price", r6(F.col("size")).alias("size"))
+    return book.resting(ordered_book(spark, sf_dir)).select("f", "ref", "side", "price", r6(F.col("size")).alias("size"))
 
 
 def orphan_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,7 +372,7 @@ def resurrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resting_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay_checks.resting_series(ordered_events(book_events(spark, sf_dir)), G0_US * 1000, HOUR_US * 1000, POINTS)
+    return replay_checks.resting_series(ordered_book(spark, sf_dir), G0_US * 1000, HOUR_US * 1000, POINTS)
 
 
 def resting_sextiles(spark: SparkSession, sf_dir: str) -> DataFrame:
