@@ -57,3 +57,17 @@ def test_counters_of_modifies_that_move_an_order_onto_another(spark, seed):
     assert dup > 0 and (one["dup_add"], one["cancel_no_order"], one["trade_no_ref"] + one["trade_on_mbp_skipped"]) == (dup, lost["CANCEL"], lost["TRADE"])
     by = book.replay_stats(ordered, by=F.col("f")).agg(F.sum("dup_add"), F.sum("cancel_no_order")).first()
     assert tuple(by) == (dup, lost["CANCEL"])
+
+
+def test_files_of_logs_are_as_many_as_folders_and_tasks(spark, tmp_path):
+    """A task writes few folders: files are not tasks times folders."""
+    from tickweave import log_queries as logs
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = logs.numbered(spark, "/root/testdata/sf0.001").withColumn("folder", F.when(F.col("user_id") % 2 == 0, "d/EVEN").otherwise("d/ODD"))
+        logs.write_logs(rows, f"file://{tmp_path}", ["d/EVEN", "d/ODD"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "d").glob("*/*/*.csv"))
+    assert len({f.parent for f in files}) == 12 and len(files) < 12 + 4

@@ -55,7 +55,7 @@ def write_logs(df: DataFrame, root: str, folders: list[str]) -> None:
     one that there is, never null or constant; else Spark would sort by it once more,
     and that loses the order of event_id as soon as it spills.
     """
-    raw = df.withColumn("at", F.concat_ws("/", "folder", F.expr(_KIND))).repartitionByRange("event_id").sortWithinPartitions("at", "event_id")
+    raw = df.withColumn("at", F.concat_ws("/", "folder", F.expr(_KIND))).repartitionByRange("at", "event_id").sortWithinPartitions("at", "event_id")
     raw.selectExpr("at", *[f"{e} AS {n}" for n, e in LOG.items()]).write.partitionBy("at").option("header", True).csv(f"{root}/parts")
     jvm = df.sparkSession.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
