@@ -3,10 +3,13 @@
 import random
 from types import SimpleNamespace
 
+import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_book import stream
+from tickweave import market_queries
 from tickweave.operators.fold import fold_feed
 from tickweave.operators.ordering import REMOVALS
 from tickweave.schemas import EVENTS
@@ -110,3 +113,15 @@ def test_rows_as_the_watermark_passes_without_a_sequence(monkeypatch):
     assert got[["arrival", "eff_ts", "level"]].astype(object).values.tolist() == [[7, 100 * SECOND, 9.0], [2, 101 * SECOND, 11.0], [3, 102 * SECOND, 13.0], [4, 103 * SECOND, 15.0]]
     assert got["seq"].isna().tolist() == [False, False, True, True]
     assert fed(store, [], 150_000)["level"].tolist() == [17.0]
+
+
+def test_times_that_start_anew_are_waited_for(spark, tmp_path):
+    """The events twice, keys shifted and times not: the second half is as old as the first, and none is left out."""
+    one = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    one.unionByName(one.withColumns({"event_id": F.col("event_id") + 1000, "user_id": F.col("user_id") + 1500})).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    df = market_queries.stream_levels(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = db.execute(market_queries.ORACLES["stream_levels"])
+    names = [d[0] for d in got.description]
+    assert sorted(tuple(r) for r in df.select(names).collect()) == sorted(got.fetchall())

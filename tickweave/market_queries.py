@@ -74,10 +74,14 @@ def stream_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = new_path(spark, "stream")
     every = book_events(spark, sf_dir).select([F.col(f.name).cast(f.dataType) for f in EVENTS.fields])
     middle = every.agg(((F.min("arrival") + F.max("arrival")) / 2).alias("m"), F.max("ts_ns").alias("end")).first()
-    end = spark.range(1).select(*[F.lit("END" if f.name == "code" else "F0" if f.name == "f" else middle["end"] + 40 * 24 * HOUR_US * 1000 if f.name == "ts_ns" else None).cast(f.dataType).alias(f.name) for f in EVENTS.fields])
-    for part in (every.where(F.col("arrival") < middle["m"]), every.where(F.col("arrival") >= middle["m"]).unionByName(end)):
+    # The second run's events may lie further back than three hours (times that start anew): the book waits for them.
+    second = F.col("arrival") >= middle["m"]
+    back = every.agg((F.max(F.when(~second, F.col("ts_ns"))) - F.min(F.when(second, F.col("ts_ns")))).alias("ns")).first()["ns"]
+    late_s = max(3 * 3600, (back or 0) // 10**9 + 2)
+    end = spark.range(1).select(*[F.lit("END" if f.name == "code" else "F0" if f.name == "f" else middle["end"] + (40 * 24 * 3600 + late_s) * 10**9 if f.name == "ts_ns" else None).cast(f.dataType).alias(f.name) for f in EVENTS.fields])
+    for part in (every.where(~second), every.where(second).unionByName(end)):
         part.write.mode("append").parquet(f"{place}/in")
-        stream = live_levels(spark.readStream.schema(EVENTS).parquet(f"{place}/in"), HOUR_US // 1000, "3 hours")
+        stream = live_levels(spark.readStream.schema(EVENTS).parquet(f"{place}/in"), HOUR_US // 1000, f"{late_s} seconds")
         stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(f"{place}/out")
     return got.select("kind", "f", "side", "price", F.col("arrival").alias("event_id"), "eff_ts", (r6(F.col("level")) + 0.0).alias("level")).distinct()
